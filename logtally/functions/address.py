@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import non_empty_parts, trim_white_space
-
 # Fixed values.
 ADDRESS_LENGTH = 48
 UNDECLARED_CLIENT = "127.0.0.1"
@@ -38,21 +36,17 @@ def _ipv6_pattern() -> str:
 IPV6 = _ipv6_pattern()
 
 
-def _whole(pattern: str) -> str:
-    return rf"\A{pattern}\z"
+# The first non-empty item of the list, up to its end or, after an IPv4 address, up to a port.
+_START = r"(?U)\A,*+\s*+"
+_END = r"\s*(?:,|\z)"
+_FROM_IPV4 = rf"{_START}({IPV4})(?::|{_END})"
+_FROM_IPV6 = rf"{_START}({IPV6}){_END}"
+_FROM_BRACKETS = rf"{_START}\[({IPV6})\]"
 
 
 def normalize_forwarded_for(c: Column) -> Column:
-    first = trim_white_space(F.get(non_empty_parts(F.translate(c, "+", ""), ","), F.lit(0)))
-    bracketed = F.regexp_extract(first, r"\A\[([^\]]*)\]", 1)
-    host = F.substring_index(first, ":", 1)
-    address = (
-        F.when(first.startswith("["), F.when(bracketed.rlike(_whole(IPV6)), bracketed))
-        # With no colon the host is the whole text; with one colon it is the part before the port.
-        .when(host.rlike(_whole(IPV4)), host)
-        .when(first.rlike(_whole(IPV6)), first)
-    )
-    return (
-        F.when((c == "") | (c == "-"), UNDECLARED_CLIENT)
-        .when(c.isNotNull(), F.substring(F.coalesce(address, F.lit(NO_ADDRESS)), 1, ADDRESS_LENGTH))
-    )
+    """First address of the list, without its port; NULL stays NULL (field not declared)."""
+    items = F.translate(c, "+", "")
+    found = [F.nullif(F.regexp_extract(items, p, 1), F.lit("")) for p in (_FROM_IPV4, _FROM_IPV6, _FROM_BRACKETS)]
+    address = F.substring(F.coalesce(*found, F.lit(NO_ADDRESS)), 1, ADDRESS_LENGTH)
+    return F.when((c == "") | (c == "-"), UNDECLARED_CLIENT).when(c.isNotNull(), address)

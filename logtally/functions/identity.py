@@ -1,18 +1,19 @@
-"""What a request is about: a map service, a portal item, a login, a device."""
+"""What a request is about: a map service, a portal item, a login, a device.
+
+Each rule is one anchored pattern over the raw field, so a row that does not match costs one
+quick failed comparison, and the value can sit inside a filter or a grouping key without its
+parts being evaluated again and again. Repeated slashes count as one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import path_segments, normalize_root
-
-# Path segments, product tokens and lengths that identify requests.
+# Path shapes, product tokens and lengths that identify requests.
 PORTAL_SEGMENT = "portal"
-SERVICES_PATH = ("rest", "services")
 SERVICE_TYPE_SUFFIX = "server"
-CONTENT_PATH = ("sharing", "rest", "content")
-USERS_PATH = ("sharing", "rest", "community", "users")
+SITE_LENGTH = 16
 PORTAL_ITEM_ID_LENGTH = 64
 FIELD_MAPS_TOKEN = "arcgis-fieldmaps"
 SURVEY_FRAMEWORK_TOKEN = "appframework/"
@@ -22,53 +23,46 @@ _GUID_AT_END = r"\(([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\)\z"
 _FIRST_GROUP_AFTER_FRAMEWORK = r"appframework/[^(]*\(([^)]*)\)"
 _PLAIN_GUID = r"\A[0-9a-f]{32}\z"
 
-
-def _segment(segments: Column, index: int) -> Column:
-    return F.get(segments, F.lit(index))
+# site / rest / services / [folder /] name / type [/ anything]; a folder is preferred.
+_SERVICE = (
+    rf"(?s)\A/*+(?!{PORTAL_SEGMENT}(?:/|\z))([^/]{{1,{SITE_LENGTH}}})[^/]*+/+rest/+services/+"
+    rf"(?:([^/]+)/+([^/]+)/+([^/]*{SERVICE_TYPE_SUFFIX})|([^/]+)/+([^/]*{SERVICE_TYPE_SUFFIX}))(?:/.*)?\z"
+)
+_SERVICE_PARTS = "$1/$2/$3$5/$4$6"
 
 
-def _path_is(segments: Column, start: int, names: tuple[str, ...]) -> Column:
-    match = F.lit(True)
-    for i, name in enumerate(names):
-        match = match & (_segment(segments, start + i) == name)
-    return match
+def _or_null(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
 
 
-def service_identity(uri_stem: Column) -> Column:
-    """``struct(site, folder, service_name, service_type)``, NULL when not a service request.
+def service_key(uri_stem: Column) -> Column:
+    """``site/folder/name/type`` in lower case, the folder empty if there is none; NULL when the
+    request is not for a service. One text to group by; :func:`service_fields` takes it apart.
 
     The exclusion of portal traffic is a fixed name, unlike the configurable adaptor name below.
     """
-    seg = path_segments(F.lower(uri_stem))
-    is_services = (_segment(seg, 0) != PORTAL_SEGMENT) & _path_is(seg, 1, SERVICES_PATH)
-
-    def identity(folder: Column, first: int) -> Column:
-        return F.struct(
-            normalize_root(uri_stem).alias("site"),
-            folder.alias("folder"),
-            _segment(seg, first).alias("service_name"),
-            _segment(seg, first + 1).alias("service_type"),
-        )
-
-    return F.when(
-        is_services & _segment(seg, 5).endswith(SERVICE_TYPE_SUFFIX), identity(_segment(seg, 3), 4)
-    ).when(
-        is_services & _segment(seg, 4).endswith(SERVICE_TYPE_SUFFIX),
-        identity(F.lit(None).cast("string"), 3),
-    )
+    low = F.lower(uri_stem)
+    return F.when(low.rlike(_SERVICE), F.regexp_replace(low, _SERVICE, _SERVICE_PARTS))
+
+
+def service_fields(key: Column) -> list[Column]:
+    """``site, folder, service_name, service_type`` of a service key."""
+    parts = F.split(key, "/")
+    return [
+        F.get(parts, F.lit(0)).alias("site"),
+        _or_null(F.get(parts, F.lit(1))).alias("folder"),
+        F.get(parts, F.lit(2)).alias("service_name"),
+        F.get(parts, F.lit(3)).alias("service_type"),
+    ]
 
 
 def portal_item_id(uri_stem: Column, adaptor_name: str) -> Column:
     """Item id of a portal content request, in its own case; NULL otherwise."""
-    seg, low = path_segments(uri_stem), path_segments(F.lower(uri_stem))
-    is_content = (_segment(low, 0) == adaptor_name.lower()) & _path_is(low, 1, CONTENT_PATH)
-    is_user = _segment(low, 4) == "users"
-    item = (
-        F.when(_segment(low, 4) == "items", _segment(seg, 5))
-        .when(is_user & (_segment(low, 6) == "items") & _segment(seg, 7).isNotNull(), _segment(seg, 7))
-        .when(is_user & (_segment(low, 7) == "items"), _segment(seg, 8))
+    pattern = (
+        rf"(?i)\A/*+\Q{adaptor_name}\E/+sharing/+rest/+content/+"
+        r"(?:items|users/+[^/]+/+items|users/+[^/]+/+[^/]+/+items)/+([^/]+)"
     )
-    return F.when(is_content, F.substring(item, 1, PORTAL_ITEM_ID_LENGTH))
+    return _or_null(F.substring(F.regexp_extract(uri_stem, pattern, 1), 1, PORTAL_ITEM_ID_LENGTH))
 
 
 def login_username(uri_stem: Column, adaptor_name: str) -> Column:
@@ -76,17 +70,17 @@ def login_username(uri_stem: Column, adaptor_name: str) -> Column:
 
     A ``+`` is literal, and a ``%`` that starts no valid escape stays as it is.
     """
-    low = path_segments(F.lower(uri_stem))
-    is_user = (_segment(low, 0) == adaptor_name.lower()) & _path_is(low, 1, USERS_PATH)
-    escaped = F.regexp_replace(F.replace(_segment(low, 5), F.lit("+"), F.lit("%2b")), r"%(?![0-9a-f]{2})", "%25")
-    return F.when(is_user, F.lower(F.try_url_decode(escaped)))
+    pattern = rf"(?i)\A/*+\Q{adaptor_name}\E/+sharing/+rest/+community/+users/+([^/]+)"
+    name = _or_null(F.regexp_extract(uri_stem, pattern, 1))
+    escaped = F.regexp_replace(F.replace(name, F.lit("+"), F.lit("%2B")), r"%(?![0-9A-Fa-f]{2})", "%25")
+    return F.lower(F.try_url_decode(escaped))
 
 
 def field_maps_device_id(user_agent: Column) -> Column:
     """Install id of the field app: a hyphenated GUID in the last parentheses."""
     low = F.lower(user_agent)
-    is_app = low.contains(FIELD_MAPS_TOKEN) & low.endswith(")")
-    return F.when(is_app, F.nullif(F.regexp_extract(low, _GUID_AT_END, 1), F.lit("")))
+    is_app = low.endswith(")") & low.contains(FIELD_MAPS_TOKEN)
+    return F.when(is_app, _or_null(F.regexp_extract(low, _GUID_AT_END, 1)))
 
 
 def survey123_device_id(user_agent: Column) -> Column:
@@ -94,4 +88,4 @@ def survey123_device_id(user_agent: Column) -> Column:
     low = F.lower(user_agent)
     is_app = low.contains(SURVEY_FRAMEWORK_TOKEN) & low.contains(SURVEY_PRODUCT_TOKEN)
     last_item = F.substring_index(F.regexp_extract(low, _FIRST_GROUP_AFTER_FRAMEWORK, 1), ";+", -1)
-    return F.when(is_app & last_item.rlike(_PLAIN_GUID), last_item)
+    return F.when(is_app, _or_null(F.regexp_extract(last_item, _PLAIN_GUID, 0)))

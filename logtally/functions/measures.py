@@ -23,8 +23,8 @@ def ms_to_seconds(ms: Column) -> Column:
 
 
 def round3(c: Column) -> Column:
-    """Three decimals, halves to even."""
-    return F.bround(c, 3)
+    """Three decimals: scaled, rounded to the nearest whole number with halves to even, unscaled."""
+    return F.rint(c * 1000) / F.lit(1000.0)
 
 
 def average_time(total_second: Column, hits: Column) -> Column:

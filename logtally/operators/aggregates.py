@@ -18,7 +18,8 @@ from ..functions.identity import (
     field_maps_device_id,
     login_username,
     portal_item_id,
-    service_identity,
+    service_fields,
+    service_key,
     survey123_device_id,
 )
 from ..functions.measures import is_failed, is_success, ms_to_seconds
@@ -30,8 +31,13 @@ from ..functions.text import (
 )
 from . import filters
 
-OK = is_success(F.col("status"))
-TIME = F.col("time_taken_ms").cast("long")
+
+def _ok() -> Column:
+    return is_success(F.col("status"))
+
+
+def _time() -> Column:
+    return F.col("time_taken_ms").cast("long")
 
 
 def _sum(value: Column) -> Column:
@@ -40,7 +46,7 @@ def _sum(value: Column) -> Column:
 
 def _flat(requests: DataFrame, *keys: str) -> DataFrame:
     return requests.groupBy("local_date", *keys).agg(
-        ms_to_seconds(F.sum(TIME)).alias("time_taken_second"), F.count(F.lit(1)).alias("hits")
+        ms_to_seconds(F.sum(_time())).alias("time_taken_second"), F.count(F.lit(1)).alias("hits")
     )
 
 
@@ -75,16 +81,21 @@ def aggregate_by_referer_and_uri(requests: DataFrame) -> DataFrame:
 
 
 def aggregate_by_service(requests: DataFrame) -> DataFrame:
-    keyed = requests.withColumn("s", service_identity(F.col("uri_stem")))
-    matched = filters.filter_identity_matched(keyed, "s").select("local_date", "s.*", "status", "time_taken_ms")
+    """Grouped by one key text, taken apart into its four columns on the few grouped rows."""
+    keyed = requests.withColumn("service", service_key(F.col("uri_stem")))
     failed = is_failed(F.col("status"))
-    return matched.groupBy("local_date", *S.KEYS[S.BY_SERVICE]).agg(
-        ms_to_seconds(_sum(F.when(OK, TIME))).alias("successful_time_taken_second"),
-        ms_to_seconds(_sum(F.when(failed, TIME))).alias("failed_time_taken_second"),
-        F.count(F.lit(1)).alias("hits"),
-        F.count_if(OK).alias("successful_hits"),
-        F.count_if(failed).alias("failed_hits"),
+    grouped = (
+        filters.filter_identity_matched(keyed, "service")
+        .groupBy("local_date", "service")
+        .agg(
+            ms_to_seconds(_sum(F.when(_ok(), _time()))).alias("successful_time_taken_second"),
+            ms_to_seconds(_sum(F.when(failed, _time()))).alias("failed_time_taken_second"),
+            F.count(F.lit(1)).alias("hits"),
+            F.count_if(_ok()).alias("successful_hits"),
+            F.count_if(failed).alias("failed_hits"),
+        )
     )
+    return grouped.select("local_date", *service_fields(F.col("service")), *S.MEASURES[S.BY_SERVICE])
 
 
 def aggregate_by_portal_item(requests: DataFrame, settings: HarvestSettings = HarvestSettings()) -> DataFrame:
@@ -95,9 +106,9 @@ def aggregate_by_portal_item(requests: DataFrame, settings: HarvestSettings = Ha
         filters.filter_identity_matched(keyed, "portal_item_id")
         .groupBy("local_date", "portal_item_id")
         .agg(
-            ms_to_seconds(F.sum(TIME)).alias("time_taken_second"),
+            ms_to_seconds(F.sum(_time())).alias("time_taken_second"),
             F.count(F.lit(1)).alias("hits"),
-            F.count_if(OK).alias("successful_hits"),
+            F.count_if(_ok()).alias("successful_hits"),
             F.count_if(is_failed(F.col("status"))).alias("failed_hits"),
         )
     )
@@ -113,7 +124,7 @@ LOGIN_ORDER = ("login_ts", "login_file", "login_block")
 
 def with_login(requests: DataFrame, settings: HarvestSettings) -> DataFrame:
     """Adds the username and order of a successful login; all NULL on other rows."""
-    name = F.when(OK, login_username(F.col("uri_stem"), settings.portal_web_adaptor_name))
+    name = F.when(_ok(), login_username(F.col("uri_stem"), settings.portal_web_adaptor_name))
     named = requests.withColumn("login_username", name)
     return named.select(
         "*",
@@ -141,7 +152,7 @@ def _by_device(requests: DataFrame, device_id: Column, settings: HarvestSettings
         .groupBy("local_date", "device_id", "login_username", *LOGIN_ORDER)
         .agg(
             F.min("line_id").alias("first_line_id"),
-            F.sum(TIME).alias("time_taken_ms"),
+            F.sum(_time()).alias("time_taken_ms"),
             F.count(F.lit(1)).alias("hits"),
         )
     )
@@ -174,6 +185,7 @@ INVALID_LINES = "invalid_lines"
 def _grouping_sets(settings: HarvestSettings) -> dict[str, list[str]]:
     login = ["login_username", *LOGIN_ORDER]
     sets = {name: ["local_date", *S.KEYS[name]] for name in S.ALL_TABLES if name not in S.DEVICE_TABLES}
+    sets[S.BY_SERVICE] = ["local_date", "service"]
     if not settings.compute_by_referer_and_uri:
         del sets[S.BY_REFERER_AND_URI]
     sets[S.BY_FIELD_MAPS_DEVICE] = ["local_date", "field_maps_device_id", *login]
@@ -195,31 +207,28 @@ def aggregate_all(requests: DataFrame, settings: HarvestSettings) -> DataFrame:
         "file",
         "line_id",
         "status",
-        TIME.alias("ms"),
+        _time().alias("ms"),
         F.when(F.col("reason").isNull(), 0).otherwise(1).alias("invalid"),
         normalize_uri_stem(F.col("uri_stem")).alias("uri_stem"),
         normalize_root(F.col("uri_stem")).alias("root"),
         normalize_user_agent(F.col("user_agent")).alias("user_agent"),
         normalize_referer(F.col("referer")).alias("referer"),
         normalize_forwarded_for(F.col("forwarded_for")).alias("forwarded_for_ip"),
-        service_identity(F.col("uri_stem")).alias("service"),
+        service_key(F.col("uri_stem")).alias("service"),
         portal_item_id(F.col("uri_stem"), settings.portal_web_adaptor_name).alias("portal_item_id"),
         field_maps_device_id(F.col("user_agent")).alias("field_maps_device_id"),
         survey123_device_id(F.col("user_agent")).alias("survey123_device_id"),
         "login_username",
         *LOGIN_ORDER,
     )
-    service_keys = S.KEYS[S.BY_SERVICE]
-    flat = keyed.select("*", *[F.col(f"service.{k}").alias(k) for k in service_keys]).drop("service")
-
     sets = _grouping_sets(settings) | {INVALID_LINES: ["file"]}
     columns = list(dict.fromkeys(c for s in sets.values() for c in s))
-    grouped = flat.groupingSets([[F.col(c) for c in s] for s in sets.values()], *columns).agg(
+    grouped = keyed.groupingSets([[F.col(c) for c in s] for s in sets.values()], *columns).agg(
         F.grouping_id().alias("set_id"),
         F.count(F.lit(1)).alias("hits"),
-        F.count_if(OK).alias("successful_hits"),
+        F.count_if(_ok()).alias("successful_hits"),
         _sum(F.col("ms")).alias("time_taken_ms"),
-        _sum(F.when(OK, F.col("ms"))).alias("successful_time_taken_ms"),
+        _sum(F.when(_ok(), F.col("ms"))).alias("successful_time_taken_ms"),
         F.sum("invalid").alias("invalid"),
         F.min("line_id").alias("first_line_id"),
     )
@@ -239,6 +248,7 @@ def aggregate_all(requests: DataFrame, settings: HarvestSettings) -> DataFrame:
         name.alias("table_name"),
         "local_date",
         *[c for c in S.STORED_COLUMNS if c in columns],
+        *service_fields(F.col("service")),
         F.coalesce("field_maps_device_id", "survey123_device_id").alias("device_id"),
         "login_username",
         *LOGIN_ORDER,

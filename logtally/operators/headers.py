@@ -4,7 +4,7 @@ The layout can change at any line of a file, so it has to be carried forward ove
 that follow. Doing that with a window per file would put a whole file into one task. Instead one
 light pass condenses every input split to a single row (its header lines, line count and first
 line id); carrying the layout from split to split is then a window over those few rows, and the
-lines get theirs through an equi join on ``(file, block_start)`` with one matching row each.
+lines get theirs through an equi join on ``(file, block_start)``, mostly with one row each.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ REQUIRED_FIELDS = ("date", "time", "cs-uri-stem", "cs(User-Agent)", "cs(Referer)
 FORWARDED_FOR_FIELD = "X-Forwarded-For"
 NO_HEADER_REASON = "no #Fields header block found"
 
-# Split rows up to this many are broadcast (about 200 bytes each); beyond it the join shuffles.
-BROADCAST_SPLITS = 1_000_000
+# Layout rows up to this many are broadcast (about 200 bytes each); beyond it the join shuffles
+# on ``(file, block_start)``, whose groups are no larger than an input split.
+BROADCAST_ROWS = 1_000_000
 
 
 def is_header(line: Column) -> Column:
@@ -110,50 +111,54 @@ def _missing_fields(header_line: Column) -> Column:
 
 
 def split_layouts(splits: DataFrame) -> DataFrame:
-    """``(file, block_start, first_line_no, first_id, blocks)``: the layouts in force within each
-    split, in order, starting with the one carried in from the splits before."""
+    """``(file, block_start, line_no_base, from_id, to_id, layout)``: the stretches of lines within
+    each split that one layout governs, the first one carried in from the splits before. A header
+    that repeats the layout before it starts no new stretch, so most splits have one row."""
     inside = F.transform("headers", lambda h: F.struct(h["line_id"].alias("from_id"), layout(h["line"]).alias("layout")))
-    own = splits.select(
-        "file", "block_start", "first_id", "n_lines", inside.alias("inside"), _first_line_no().alias("first_line_no")
-    )
+    own = splits.select("file", "block_start", "first_id", "n_lines", inside.alias("inside"))
     carried = F.last(F.try_element_at("inside", F.lit(-1))["layout"], ignorenulls=True).over(_before())
-    opening = F.array(F.struct(F.col("first_id").alias("from_id"), F.col("carried").alias("layout")))
-    blocks = F.concat(opening, F.col("inside"))
-    # A header that repeats the layout before it changes nothing; drop it.
-    changes = F.filter(
-        blocks,
-        lambda b, i: (i == 0) | ~b["layout"].eqNullSafe(F.get(F.col("blocks")["layout"], i - 1)),
-    )
-    return (
-        own.withColumn("carried", carried)
-        .withColumn("blocks", blocks)
-        .select("file", "block_start", "first_id", "first_line_no", changes.alias("blocks"))
+    opening = own.select("*", carried.alias("carried"), (_first_line_no() - F.col("first_id")).alias("line_no_base"))
+    stretches = opening.select(
+        "file",
+        "block_start",
+        "line_no_base",
+        F.inline(
+            F.concat(
+                F.array(F.struct(F.col("first_id").alias("from_id"), F.col("carried").alias("layout"))), F.col("inside")
+            )
+        ),
     )
+    in_split = W.partitionBy("file", "block_start").orderBy("from_id", F.col("layout").asc_nulls_first())
+    changed = ~F.col("layout").eqNullSafe(F.lag("layout").over(in_split)) | (F.row_number().over(in_split) == 1)
+    kept = stretches.withColumn("changed", changed).where("changed").drop("changed")
+    return kept.withColumn("to_id", F.lead("from_id").over(in_split))
 
 
 def header_blocks(lines: DataFrame, layouts: DataFrame, broadcast: bool) -> DataFrame:
     """Data lines with ``layout``, the one of the header governing them (NULL before the first
     header). ``layouts`` must hold every split to read; files left out of it are left out here."""
-    side = F.broadcast(layouts) if broadcast else layouts
-    blocks, line_id = F.col("blocks"), F.col("line_id")
-    governing = F.when(F.size(blocks) == 1, F.get(blocks, F.lit(0))["layout"]).otherwise(
-        F.element_at(F.filter(blocks, lambda b: b["from_id"] <= line_id), -1)["layout"]
+    side = layouts.withColumnsRenamed({"file": "in_file", "block_start": "in_block"})
+    governs = (
+        (F.col("file") == F.col("in_file"))
+        & (F.col("block_start") == F.col("in_block"))
+        & (F.col("line_id") >= F.col("from_id"))
+        & (F.col("to_id").isNull() | (F.col("line_id") < F.col("to_id")))
     )
     return (
         lines.where(is_data(F.col("line")))
-        .join(side, ["file", "block_start"])
+        .join(F.broadcast(side) if broadcast else side, governs)
         .select(
             "file",
             "file_utc_date",
             "block_start",
             "line_id",
-            (F.col("first_line_no") + line_id - F.col("first_id")).alias("line_no"),
+            (F.col("line_no_base") + F.col("line_id")).alias("line_no"),
             "line",
-            governing.alias("layout"),
+            "layout",
         )
     )
 
 
 def fits_broadcast(layouts: DataFrame) -> bool:
-    """Whether the split rows are few enough to send to every executor; counted, not guessed."""
-    return layouts.count() <= BROADCAST_SPLITS
+    """Whether the layout rows are few enough to send to every executor; counted, not guessed."""
+    return layouts.count() <= BROADCAST_ROWS

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import non_empty_parts
+from .once import evaluate_once
 
 # Exact shape of the two time fields (four-digit year from 0001).
 DATE_SHAPE = r"\A(?!0000)\d{4}-\d{2}-\d{2}\z"
@@ -59,20 +60,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         parse_int32(F.col("status_text")).alias("status"),
         parse_int32(F.col("time_taken_text")).alias("time_taken_ms"),
     )
-    return typed.select(
-        "file",
-        "file_utc_date",
-        "block_start",
-        "line_id",
-        "line_no",
-        "utc_ts",
-        "uri_stem",
-        "user_agent",
-        "referer",
-        "status",
-        "time_taken_ms",
-        "forwarded_for",
-        _reason().alias("reason"),
+    values = ("utc_ts", "uri_stem", "user_agent", "referer", "status", "time_taken_ms", "forwarded_for")
+    return evaluate_once(
+        typed,
+        keep=("file", "file_utc_date", "block_start", "line_id", "line_no"),
+        values=[*map(F.col, values), _reason().alias("reason")],
     )
 
 

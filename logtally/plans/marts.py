@@ -24,7 +24,9 @@ from ..operators.filters import RANGE_ALL, tag_ranges
 from . import leaderboards as L
 from . import queries as Q
 
-RANGE = F.lit(RANGE_ALL).alias("range")
+
+def _all() -> Column:
+    return F.lit(RANGE_ALL).alias("range")
 
 
 def _series(table: DataFrame, b: ReportBoundaries) -> DataFrame:
@@ -64,7 +66,7 @@ def mart_root_evolution(by_root: DataFrame, settings: ReportSettings, b: ReportB
 def mart_root_complete(by_root: DataFrame, settings: ReportSettings, b: ReportBoundaries) -> DataFrame:
     totals = Q.root_range_totals(by_root, b.year_start, b.today, settings.included_roots)
     return complete_roots(totals, settings.included_roots).select(
-        RANGE,
+        _all(),
         "root",
         "hits",
         round3(F.col("total_time_taken_second")).alias("total_time_taken_second"),
@@ -146,7 +148,7 @@ def mart_service_leaderboards(by_service: DataFrame, settings: ReportSettings, b
 def mart_service_complete(by_service: DataFrame, settings: ReportSettings, b: ReportBoundaries) -> DataFrame:
     totals = Q.service_range_totals(by_service, b.year_start, b.today, settings.included_roots)
     return totals.select(
-        RANGE,
+        _all(),
         *Q.SERVICE,
         "hits",
         round3(F.col("total_time_taken_second")).alias("total_time_taken_second"),
@@ -186,7 +188,7 @@ def mart_portal_leaderboards(by_item: DataFrame, b: ReportBoundaries) -> DataFra
 
 def mart_portal_complete(by_item: DataFrame, b: ReportBoundaries) -> DataFrame:
     return Q.portal_item_range_totals(by_item, b.year_start, b.today).select(
-        RANGE,
+        _all(),
         "portal_item_id",
         "hits",
         round3(F.col("total_time_taken_second")).alias("total_time_taken_second"),
@@ -206,7 +208,7 @@ def mart_device_leaderboard(by_device: DataFrame, b: ReportBoundaries) -> DataFr
 
 def mart_device_complete(by_device: DataFrame, b: ReportBoundaries) -> DataFrame:
     return Q.device_range_totals(by_device, b.year_start, b.today).select(
-        RANGE,
+        _all(),
         "username",
         "device_id",
         "hits",

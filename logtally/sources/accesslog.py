@@ -137,11 +137,13 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def clean_lines(log: DataFrame, files_per_day: int = 2) -> DataFrame:
-    """``(file, event_id, kind, line)``: the access log as well-formed files, a header first in
-    each. A request whose forwarded-for is undeclared goes to a file without that field."""
+def clean_lines(log: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
+    """``(file, event_id, kind, line)``: the access log as well-formed files of bounded length, a
+    header first in each. A request whose forwarded-for is undeclared goes to a file without that
+    field."""
     declared = F.col("forwarded_for").isNotNull()
-    piece = F.when(declared, F.col("event_id") % files_per_day).otherwise(files_per_day)
+    number = F.floor(F.col("event_id") / rows_per_file).cast("string")
+    piece = F.concat(number, F.when(declared, "a").otherwise("b"))
     text = [F.date_format("utc_ts", "yyyy-MM-dd HH:mm:ss")] + [
         F.col(c).cast("string") for c in ("uri_stem", "user_agent", "referer", "status", "time_taken_ms")
     ]
