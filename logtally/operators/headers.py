@@ -124,11 +124,13 @@ def split_layouts(splits: DataFrame) -> DataFrame:
         "line_no_base",
         F.inline(
             F.concat(
-                F.array(F.struct(F.col("first_id").alias("from_id"), F.col("carried").alias("layout"))), F.col("inside")
+                # Just before the split's first line, which may be a header itself.
+                F.array(F.struct((F.col("first_id") - 1).alias("from_id"), F.col("carried").alias("layout"))),
+                F.col("inside"),
             )
         ),
     )
-    in_split = W.partitionBy("file", "block_start").orderBy("from_id", F.col("layout").asc_nulls_first())
+    in_split = W.partitionBy("file", "block_start").orderBy("from_id")
     changed = ~F.col("layout").eqNullSafe(F.lag("layout").over(in_split)) | (F.row_number().over(in_split) == 1)
     kept = stretches.withColumn("changed", changed).where("changed").drop("changed")
     return kept.withColumn("to_id", F.lead("from_id").over(in_split))
