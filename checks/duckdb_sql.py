@@ -130,11 +130,11 @@ whole AS (
 TEXT = f"""
 per_event AS ({LOG_LINES_SQL.format(access_log="al")}),
 lines AS (
-  SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id, kind) AS line_no FROM (
-    SELECT file, file_utc_date, event_id, 0 AS kind, header AS line FROM per_event WHERE header IS NOT NULL
-    UNION ALL SELECT file, file_utc_date, event_id, 1, remark FROM per_event WHERE remark IS NOT NULL
-    UNION ALL SELECT file, file_utc_date, event_id, 2, blank FROM per_event WHERE blank IS NOT NULL
-    UNION ALL SELECT file, file_utc_date, event_id, 3, data FROM per_event)
+  SELECT *, CAST(strptime(substr(file, 5, 6), '%y%m%d') AS DATE) AS file_utc_date, row_number() OVER (PARTITION BY file ORDER BY event_id, kind) AS line_no FROM (
+    SELECT file, event_id, 0 AS kind, header AS line FROM per_event WHERE header IS NOT NULL
+    UNION ALL SELECT file, event_id, 1, remark FROM per_event WHERE remark IS NOT NULL
+    UNION ALL SELECT file, event_id, 2, blank FROM per_event WHERE blank IS NOT NULL
+    UNION ALL SELECT file, event_id, 3, data FROM per_event)
 ),
 marked AS (
   SELECT *, CASE WHEN lower(line) LIKE '#fields:%' THEN list_filter(string_split(lower(substr(line, 9)), ' '), lambda s: s <> '') END AS own_names
@@ -256,7 +256,7 @@ def top_services(outcome: str, by_average: bool) -> str:
     extra = f"{total(ms)} AS total_time_taken_second, " if by_average else ""
     return q(
         f"SELECT * FROM (SELECT {SVC}, {extra}CAST(sum({outcome}_hits) AS BIGINT) AS hits, "
-        f"row_number() OVER (PARTITION BY site ORDER BY {order} DESC, folder NULLS FIRST, service_name, service_type) AS rank "
+        f"CAST(row_number() OVER (PARTITION BY site ORDER BY {order} DESC, folder NULLS FIRST, service_name, service_type) AS INTEGER) AS rank "
         f"FROM t_service WHERE {IN_RANGE} GROUP BY {SVC} HAVING sum({outcome}_hits) > 0) WHERE rank <= 50"
     )
 
@@ -316,8 +316,8 @@ def _metric(name: str, hits: str, value: str) -> str:
 
 
 SERVICE_LEADERBOARDS = q(
-    f"SELECT range, site, metric, rank, {LABEL} AS label, (round_even((value) * 1000, 0) / 1e3) AS value FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY range, site, metric ORDER BY value DESC, folder NULLS FIRST, service_name, service_type) AS rank FROM ("
+    f"SELECT range, site, metric, rank, {LABEL} AS label, (round_even((value) * 1000, 0) / 1e3) AS value FROM (SELECT *, CAST(row_number() OVER "
+    "(PARTITION BY range, site, metric ORDER BY value DESC, folder NULLS FIRST, service_name, service_type) AS INTEGER) AS rank FROM ("
     + " UNION ALL ".join(
         [
             _metric("successful-hits", "successful_hits", "sum(successful_hits)"),
@@ -330,7 +330,7 @@ SERVICE_LEADERBOARDS = q(
 )
 
 PORTAL_LEADERBOARDS = q(
-    "SELECT range, metric, rank, portal_item_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY range, metric ORDER BY hits DESC, portal_item_id) AS rank FROM ("
+    "SELECT range, metric, rank, portal_item_id, hits FROM (SELECT *, CAST(row_number() OVER (PARTITION BY range, metric ORDER BY hits DESC, portal_item_id) AS INTEGER) AS rank FROM ("
     + " UNION ALL ".join(
         f"SELECT range, '{outcome}-hits' AS metric, portal_item_id, CAST(sum({outcome}_hits) AS BIGINT) AS hits "
         f"FROM {both_ranges('t_item')} GROUP BY 1, 2, 3 HAVING sum({outcome}_hits) > 0"
@@ -343,7 +343,7 @@ PORTAL_LEADERBOARDS = q(
 def device_leaderboard(name: str) -> str:
     return q(
         "SELECT range, rank, coalesce(donor || ' · ' || t.device_id, t.device_id) AS label, hits FROM ("
-        "SELECT *, row_number() OVER (PARTITION BY range ORDER BY hits DESC, device_id) AS rank FROM ("
+        "SELECT *, CAST(row_number() OVER (PARTITION BY range ORDER BY hits DESC, device_id) AS INTEGER) AS rank FROM ("
         f"SELECT range, device_id, {SUM_HITS} FROM {both_ranges(name)} GROUP BY 1, 2)) t "
         f"LEFT JOIN {name}_donor d ON t.device_id = d.device_id WHERE rank <= 50"
     )
@@ -371,7 +371,7 @@ def _flat_board(dimension: str, name: str, key: str, where: str = "true") -> str
 
 
 FLAT_LEADERBOARDS = q(
-    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dimension, range ORDER BY hits DESC, value) AS rank FROM ("
+    "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY dimension, range ORDER BY hits DESC, value) AS INTEGER) AS rank FROM ("
     + " UNION ALL ".join(
         [
             _flat_board("forwarded-for-ip", "t_ip", "forwarded_for_ip"),
@@ -487,9 +487,9 @@ SQL: dict[str, str] = {
         "SELECT event_id, user_id, CAST(utc_ts AS VARCHAR) AS utc_ts, CAST(utc_date AS VARCHAR) AS utc_date, uri_stem, user_agent, referer, forwarded_for, status, time_taken_ms FROM al"
     ),
     # 2.1
-    "local_offset": q(f"SELECT CAST(d AS VARCHAR) AS local_date, CAST(offset_s AS INTEGER) AS offset_s, zone FROM {ZONES}"),
+    "local_offset": q(f"SELECT CAST(d AS VARCHAR) AS local_date, CAST(offset_s AS BIGINT) AS offset_s, zone FROM {ZONES}"),
     "required_utc_dates": q(
-        "SELECT CAST(d AS VARCHAR) AS local_date, CAST(offset_s AS INTEGER) AS offset_s, CAST(unnest(CASE WHEN offset_s < 0 THEN [d, d + 1] "
+        "SELECT CAST(d AS VARCHAR) AS local_date, CAST(offset_s AS BIGINT) AS offset_s, CAST(unnest(CASE WHEN offset_s < 0 THEN [d, d + 1] "
         f"WHEN offset_s > 0 THEN [d - 1, d] ELSE [d] END) AS VARCHAR) AS utc_date, zone FROM {ZONES}"
     ),
     "discover_files": q(f"SELECT DISTINCT {CLEAN_FILE} AS file, CAST(utc_date AS VARCHAR) AS file_utc_date FROM al"),

@@ -172,9 +172,10 @@ def discover_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = read_log_lines(spark, log_directory(spark, sf), file_dates(spark, sf))
-    return lines.groupBy("file", "file_utc_date").agg(
+    counted = lines.groupBy("file").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars")
     )
+    return counted.withColumn("file_utc_date", discovery.file_utc_date(F.col("file")))
 
 
 def date_completeness(spark: SparkSession, sf: str) -> DataFrame:

@@ -36,17 +36,17 @@ def _ipv6_pattern() -> str:
 IPV6 = _ipv6_pattern()
 
 
-# The first non-empty item of the list, up to its end or, after an IPv4 address, up to a port.
-_START = r"(?U)\A,*+\s*+"
+# The first non-empty item of the list: an IPv4 address up to a port or the item's end, an IPv6
+# address up to the item's end, or one in brackets followed by anything.
 _END = r"\s*(?:,|\z)"
-_FROM_IPV4 = rf"{_START}({IPV4})(?::|{_END})"
-_FROM_IPV6 = rf"{_START}({IPV6}){_END}"
-_FROM_BRACKETS = rf"{_START}\[({IPV6})\]"
+_FIRST_ADDRESS = (
+    rf"(?U)\A,*+\s*+\[?((?<!\[)(?:{IPV4}(?=:|{_END})|{IPV6}(?={_END}))|(?<=\[){IPV6}(?=\]))"
+)
 
 
 def normalize_forwarded_for(c: Column) -> Column:
     """First address of the list, without its port; NULL stays NULL (field not declared)."""
-    items = F.translate(c, "+", "")
-    found = [F.nullif(F.regexp_extract(items, p, 1), F.lit("")) for p in (_FROM_IPV4, _FROM_IPV6, _FROM_BRACKETS)]
-    address = F.substring(F.coalesce(*found, F.lit(NO_ADDRESS)), 1, ADDRESS_LENGTH)
-    return F.when((c == "") | (c == "-"), UNDECLARED_CLIENT).when(c.isNotNull(), address)
+    address = F.nullif(F.regexp_extract(F.replace(c, F.lit("+"), F.lit("")), _FIRST_ADDRESS, 1), F.lit(""))
+    return F.when((c == "") | (c == "-"), UNDECLARED_CLIENT).when(
+        c.isNotNull(), F.substring(F.coalesce(address, F.lit(NO_ADDRESS)), 1, ADDRESS_LENGTH)
+    )

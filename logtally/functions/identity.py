@@ -19,13 +19,13 @@ FIELD_MAPS_TOKEN = "arcgis-fieldmaps"
 SURVEY_FRAMEWORK_TOKEN = "appframework/"
 SURVEY_PRODUCT_TOKEN = "survey123"
 
-_GUID_AT_END = r"\(([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\)\z"
-_FIRST_GROUP_AFTER_FRAMEWORK = r"appframework/[^(]*\(([^)]*)\)"
-_PLAIN_GUID = r"\A[0-9a-f]{32}\z"
+_GUID_AT_END = r"(?i)\(([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\)\z"
+# The group that follows the first framework token, and in it the item after the last ";+".
+_GUID_IN_GROUP = rf"(?is)\A(?>.*?{SURVEY_FRAMEWORK_TOKEN})[^(]*+\((?:[^)]*;\+)?([0-9a-f]{{32}})\)"
 
 # site / rest / services / [folder /] name / type [/ anything]; a folder is preferred.
 _SERVICE = (
-    rf"(?s)\A/*+(?!{PORTAL_SEGMENT}(?:/|\z))([^/]{{1,{SITE_LENGTH}}})[^/]*+/+rest/+services/+"
+    rf"(?is)\A/*+(?!{PORTAL_SEGMENT}(?:/|\z))([^/]{{1,{SITE_LENGTH}}})[^/]*+/+rest/+services/+"
     rf"(?:([^/]+)/+([^/]+)/+([^/]*{SERVICE_TYPE_SUFFIX})|([^/]+)/+([^/]*{SERVICE_TYPE_SUFFIX}))(?:/.*)?\z"
 )
 _SERVICE_PARTS = "$1/$2/$3$5/$4$6"
@@ -41,8 +41,7 @@ def service_key(uri_stem: Column) -> Column:
 
     The exclusion of portal traffic is a fixed name, unlike the configurable adaptor name below.
     """
-    low = F.lower(uri_stem)
-    return F.when(low.rlike(_SERVICE), F.regexp_replace(low, _SERVICE, _SERVICE_PARTS))
+    return F.when(uri_stem.rlike(_SERVICE), F.lower(F.regexp_replace(uri_stem, _SERVICE, _SERVICE_PARTS)))
 
 
 def service_fields(key: Column) -> list[Column]:
@@ -78,14 +77,11 @@ def login_username(uri_stem: Column, adaptor_name: str) -> Column:
 
 def field_maps_device_id(user_agent: Column) -> Column:
     """Install id of the field app: a hyphenated GUID in the last parentheses."""
-    low = F.lower(user_agent)
-    is_app = low.endswith(")") & low.contains(FIELD_MAPS_TOKEN)
-    return F.when(is_app, _or_null(F.regexp_extract(low, _GUID_AT_END, 1)))
+    is_app = user_agent.endswith(")") & user_agent.rlike(f"(?i){FIELD_MAPS_TOKEN}")
+    return F.when(is_app, F.lower(_or_null(F.regexp_extract(user_agent, _GUID_AT_END, 1))))
 
 
 def survey123_device_id(user_agent: Column) -> Column:
     """Install id of the survey app: last ``;+`` item of the first group after the framework token."""
-    low = F.lower(user_agent)
-    is_app = low.contains(SURVEY_FRAMEWORK_TOKEN) & low.contains(SURVEY_PRODUCT_TOKEN)
-    last_item = F.substring_index(F.regexp_extract(low, _FIRST_GROUP_AFTER_FRAMEWORK, 1), ";+", -1)
-    return F.when(is_app, _or_null(F.regexp_extract(last_item, _PLAIN_GUID, 0)))
+    is_app = user_agent.rlike(f"(?i){SURVEY_PRODUCT_TOKEN}")
+    return F.when(is_app, F.lower(_or_null(F.regexp_extract(user_agent, _GUID_IN_GROUP, 1))))

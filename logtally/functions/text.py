@@ -45,10 +45,21 @@ def normalize_root(c: Column) -> Column:
     return F.when(first == "", EMPTY).otherwise(F.substring(F.lower(first), 1, ROOT_LENGTH))
 
 
+def _spaces_for_plus(c: Column) -> Column:
+    return F.lower(F.replace(c, F.lit("+"), F.lit(" ")))
+
+
+def _visible(character: Column) -> Column:
+    return character.between("!", "~") & (character != "+")
+
+
 def normalize_user_agent(c: Column) -> Column:
-    return F.substring(F.lower(F.translate(c, "+", " ")), 1, USER_AGENT_LENGTH)
+    return F.substring(_spaces_for_plus(c), 1, USER_AGENT_LENGTH)
 
 
 def normalize_referer(c: Column) -> Column:
-    text = trim_white_space(F.lower(F.translate(c, "+", " ")))
-    return F.when((text == "") | (text == EMPTY), EMPTY).otherwise(F.substring(text, 1, REFERER_LENGTH))
+    """Trimmed only when an end may be white space; nothing left becomes ``-``."""
+    bare = _visible(F.substring(c, 1, 1)) & _visible(F.substring(c, -1, 1))
+    text = _spaces_for_plus(c)
+    trimmed = F.when(bare, text).otherwise(trim_white_space(text))
+    return F.substring(F.coalesce(F.nullif(trimmed, F.lit("")), F.lit(EMPTY)), 1, REFERER_LENGTH)

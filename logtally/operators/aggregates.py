@@ -116,30 +116,38 @@ def aggregate_by_portal_item(requests: DataFrame, settings: HarvestSettings = Ha
 
 # --- devices -------------------------------------------------------------------------------
 
-# A login is ordered by time, then by file and position. These go into the grouping key of a
-# first aggregation, because a minimum over them would need a variable-width buffer and with it
-# a sort of every device request; here only the few login rows add groups.
-LOGIN_ORDER = ("login_ts", "login_file", "login_block")
+# Fixed-width fields of a login's order, and the character between its parts.
+_SECONDS_WIDTH, _POSITION_WIDTH, _SEPARATOR = 12, 19, "\u0001"
+_LOGIN_PARTS = rf"(?s)\A[^{_SEPARATOR}]*{_SEPARATOR}[^{_SEPARATOR}]*{_SEPARATOR}.{{{2 * _POSITION_WIDTH}}}(.*)\z"
 
 
 def with_login(requests: DataFrame, settings: HarvestSettings) -> DataFrame:
-    """Adds the username and order of a successful login; all NULL on other rows."""
+    """Adds ``login``: a successful login as one text that sorts by time, file and place in the
+    file and ends in the username; NULL for any other request."""
     name = F.when(_ok(), login_username(F.col("uri_stem"), settings.portal_web_adaptor_name))
-    named = requests.withColumn("login_username", name)
-    return named.select(
-        "*",
-        F.when(F.col("login_username").isNotNull(), F.col("utc_ts")).alias("login_ts"),
-        F.when(F.col("login_username").isNotNull(), F.col("file")).alias("login_file"),
-        F.when(F.col("login_username").isNotNull(), F.col("block_start")).alias("login_block"),
+    text = F.format_string(
+        f"%0{_SECONDS_WIDTH}d{_SEPARATOR}%s{_SEPARATOR}%0{_POSITION_WIDTH}d%0{_POSITION_WIDTH}d%s",
+        F.unix_seconds(F.col("utc_ts").cast("timestamp")),
+        F.col("file"),
+        F.col("block_start"),
+        F.col("line_id"),
+        F.col("login_username"),
+    )
+    return requests.withColumn("login_username", name).withColumn(
+        "login", F.when(F.col("login_username").isNotNull(), text)
     )
 
 
-def first_login(per_login: DataFrame, *keys: str) -> DataFrame:
+def first_login(per_login: DataFrame) -> DataFrame:
     """Device rows at login grain to one row per device and date: hits and time add up, and the
-    earliest login of the date names the user."""
-    order = F.struct(*[F.col(c) for c in LOGIN_ORDER], F.col("first_line_id"), F.col("login_username"))
-    return per_login.groupBy(*keys).agg(
-        F.min(F.when(F.col("login_username").isNotNull(), order))["login_username"].alias("username"),
+    earliest login of the date names the user.
+
+    Two steps, because a minimum over texts makes Spark sort its input. Putting the login into
+    the grouping key first leaves that sort only one row per device, date and login; the large
+    step before it stays a hash aggregation.
+    """
+    return per_login.groupBy("local_date", "device_id").agg(
+        F.regexp_extract(F.min("login"), _LOGIN_PARTS, 1).alias("username"),
         F.sum("time_taken_ms").alias("time_taken_ms"),
         F.sum("hits").alias("hits"),
     )
@@ -149,14 +157,10 @@ def _by_device(requests: DataFrame, device_id: Column, settings: HarvestSettings
     device_requests = filters.filter_identity_matched(requests.withColumn("device_id", device_id), "device_id")
     per_login = (
         with_login(device_requests, settings)
-        .groupBy("local_date", "device_id", "login_username", *LOGIN_ORDER)
-        .agg(
-            F.min("line_id").alias("first_line_id"),
-            F.sum(_time()).alias("time_taken_ms"),
-            F.count(F.lit(1)).alias("hits"),
-        )
+        .groupBy("local_date", "device_id", "login")
+        .agg(F.sum(_time()).alias("time_taken_ms"), F.count(F.lit(1)).alias("hits"))
     )
-    return first_login(per_login, "local_date", "device_id").select(
+    return first_login(per_login).select(
         "local_date",
         "device_id",
         "username",
@@ -180,85 +184,94 @@ def aggregate_by_survey123_device(
 # --- all ten in one pass ---------------------------------------------------------------------
 
 INVALID_LINES = "invalid_lines"
-
-
-def _grouping_sets(settings: HarvestSettings) -> dict[str, list[str]]:
-    login = ["login_username", *LOGIN_ORDER]
-    sets = {name: ["local_date", *S.KEYS[name]] for name in S.ALL_TABLES if name not in S.DEVICE_TABLES}
-    sets[S.BY_SERVICE] = ["local_date", "service"]
+_LENGTH_WIDTH = 4
+
+
+def _packed_keys(settings: HarvestSettings) -> dict[str, Column]:
+    """The key of each table as one text, NULL where the request does not belong to it."""
+    referer = F.col("k_referer")
+    keys = {
+        S.BY_URI: F.col("k_uri"),
+        S.BY_ROOT: normalize_root(F.col("uri_stem")),
+        S.BY_USER_AGENT: normalize_user_agent(F.col("user_agent")),
+        S.BY_REFERER: referer,
+        S.BY_FORWARDED_FOR_IP: normalize_forwarded_for(F.col("forwarded_for")),
+        S.BY_REFERER_AND_URI: F.concat(
+            F.lpad(F.length(referer).cast("string"), _LENGTH_WIDTH, "0"), referer, F.col("k_uri")
+        ),
+        S.BY_SERVICE: service_key(F.col("uri_stem")),
+        S.BY_PORTAL_ITEM: portal_item_id(F.col("uri_stem"), settings.portal_web_adaptor_name),
+        S.BY_FIELD_MAPS_DEVICE: F.concat(F.col("k_field"), F.lit(_SEPARATOR), F.coalesce("login", F.lit(""))),
+        S.BY_SURVEY123_DEVICE: F.concat(F.col("k_survey"), F.lit(_SEPARATOR), F.coalesce("login", F.lit(""))),
+    }
     if not settings.compute_by_referer_and_uri:
-        del sets[S.BY_REFERER_AND_URI]
-    sets[S.BY_FIELD_MAPS_DEVICE] = ["local_date", "field_maps_device_id", *login]
-    sets[S.BY_SURVEY123_DEVICE] = ["local_date", "survey123_device_id", *login]
-    return sets
+        del keys[S.BY_REFERER_AND_URI]
+    return keys
+
+
+def _unpacked_keys() -> list[Column]:
+    """Stored key columns out of ``table_name`` and the packed ``key``."""
+    key = F.col("key")
+
+    def of(*tables: str, value: Column) -> Column:
+        return F.when(F.col("table_name").isin(*tables), value)
+
+    pair = of(S.BY_REFERER_AND_URI, value=F.substring(key, 1, _LENGTH_WIDTH).try_cast("int"))
+    after = F.lit(_LENGTH_WIDTH + 1)
+    of_pair = F.col("table_name") == S.BY_REFERER_AND_URI
+    device, login = F.substring_index(key, _SEPARATOR, 1), F.substr(key, F.instr(key, _SEPARATOR) + 1)
+    return [
+        F.when(of_pair, F.substr(key, after + pair)).otherwise(of(S.BY_URI, value=key)).alias("uri_stem"),
+        of(S.BY_ROOT, value=key).alias("root"),
+        of(S.BY_USER_AGENT, value=key).alias("user_agent"),
+        F.when(of_pair, F.substr(key, after, pair)).otherwise(of(S.BY_REFERER, value=key)).alias("referer"),
+        of(S.BY_FORWARDED_FOR_IP, value=key).alias("forwarded_for_ip"),
+        *service_fields(of(S.BY_SERVICE, value=key)),
+        of(S.BY_PORTAL_ITEM, value=key).alias("portal_item_id"),
+        of(*S.DEVICE_TABLES, value=device).alias("device_id"),
+        of(*S.DEVICE_TABLES, value=F.nullif(login, F.lit(""))).alias("login"),
+        of(INVALID_LINES, value=key).alias("file"),
+    ]
 
 
 def aggregate_all(requests: DataFrame, settings: HarvestSettings) -> DataFrame:
-    """All aggregates from one scan of the requests, as ``table_name`` plus the union of their
+    """All aggregates from one pass over the requests, as ``table_name`` plus the union of their
     key columns. Device rows come at login grain and still need :func:`first_login`.
 
+    Every key is packed into one text and the ten are unpivoted, so the aggregation sees narrow
+    rows ``(table, date, key)`` and one hash map, combines them within each task, and shuffles
+    grouped rows once. Keys are taken apart again on the grouped rows.
+
     ``requests`` may include rejected lines (``reason`` set, ``local_date`` NULL); they are only
     counted, per file, under the name ``invalid_lines``.
     """
     if "reason" not in requests.columns:
         requests = requests.withColumn("reason", F.lit(None).cast("string"))
-    keyed = with_login(requests, settings).select(
-        "local_date",
-        "file",
-        "line_id",
-        "status",
-        _time().alias("ms"),
-        F.when(F.col("reason").isNull(), 0).otherwise(1).alias("invalid"),
-        normalize_uri_stem(F.col("uri_stem")).alias("uri_stem"),
-        normalize_root(F.col("uri_stem")).alias("root"),
-        normalize_user_agent(F.col("user_agent")).alias("user_agent"),
-        normalize_referer(F.col("referer")).alias("referer"),
-        normalize_forwarded_for(F.col("forwarded_for")).alias("forwarded_for_ip"),
-        service_key(F.col("uri_stem")).alias("service"),
-        portal_item_id(F.col("uri_stem"), settings.portal_web_adaptor_name).alias("portal_item_id"),
-        field_maps_device_id(F.col("user_agent")).alias("field_maps_device_id"),
-        survey123_device_id(F.col("user_agent")).alias("survey123_device_id"),
-        "login_username",
-        *LOGIN_ORDER,
-    )
-    sets = _grouping_sets(settings) | {INVALID_LINES: ["file"]}
-    columns = list(dict.fromkeys(c for s in sets.values() for c in s))
-    grouped = keyed.groupingSets([[F.col(c) for c in s] for s in sets.values()], *columns).agg(
-        F.grouping_id().alias("set_id"),
-        F.count(F.lit(1)).alias("hits"),
-        F.count_if(_ok()).alias("successful_hits"),
-        _sum(F.col("ms")).alias("time_taken_ms"),
-        _sum(F.when(_ok(), F.col("ms"))).alias("successful_time_taken_ms"),
-        F.sum("invalid").alias("invalid"),
-        F.min("line_id").alias("first_line_id"),
+    prepared = with_login(requests, settings).select(
+        "*",
+        normalize_uri_stem(F.col("uri_stem")).alias("k_uri"),
+        normalize_referer(F.col("referer")).alias("k_referer"),
+        field_maps_device_id(F.col("user_agent")).alias("k_field"),
+        survey123_device_id(F.col("user_agent")).alias("k_survey"),
     )
-
-    def set_id(members: list[str]) -> int:
-        return int("".join("0" if c in members else "1" for c in columns), 2)
-
-    name = F.coalesce(*[F.when(F.col("set_id") == set_id(s), F.lit(t)) for t, s in sets.items()])
-    # Rows whose key does not apply to them (no service, no device, a rejected line) form one
-    # NULL group per date and set.
-    applies = F.coalesce(
-        *[F.when(F.col("set_id") == set_id(s), F.col(s[1]).isNotNull() & F.col(s[0]).isNotNull())
-          for t, s in sets.items() if t != INVALID_LINES],
-        F.col("invalid") > 0,
+    keys = _packed_keys(settings) | {INVALID_LINES: F.when(F.col("reason").isNotNull(), F.col("file"))}
+    tags = {t: str(i) for i, t in enumerate(keys)}
+    wide = prepared.select("local_date", "status", _time().alias("ms"), *[k.alias(tags[t]) for t, k in keys.items()])
+    grouped = (
+        wide.unpivot(["local_date", "status", "ms"], list(tags.values()), "tag", "key")
+        .where(F.col("key").isNotNull() & (F.col("local_date").isNotNull() | (F.col("tag") == tags[INVALID_LINES])))
+        .groupBy("tag", "local_date", "key")
+        .agg(
+            F.count(F.lit(1)).alias("hits"),
+            F.count_if(_ok()).alias("successful_hits"),
+            _sum(F.col("ms")).alias("time_taken_ms"),
+            _sum(F.when(_ok(), F.col("ms"))).alias("successful_time_taken_ms"),
+        )
     )
-    return grouped.where(applies).select(
-        name.alias("table_name"),
-        "local_date",
-        *[c for c in S.STORED_COLUMNS if c in columns],
-        *service_fields(F.col("service")),
-        F.coalesce("field_maps_device_id", "survey123_device_id").alias("device_id"),
-        "login_username",
-        *LOGIN_ORDER,
-        "first_line_id",
-        "file",
-        "invalid",
-        "hits",
-        "successful_hits",
-        "time_taken_ms",
-        "successful_time_taken_ms",
+    name = F.coalesce(*[F.when(F.col("tag") == tag, F.lit(t)) for t, tag in tags.items()])
+    measures = ("hits", "successful_hits", "time_taken_ms", "successful_time_taken_ms")
+    return grouped.select(name.alias("table_name"), "local_date", "key", *measures).select(
+        "table_name", "local_date", *_unpacked_keys(), *measures
     )
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import non_empty_parts, trim_white_space
+from ..functions.text import non_empty_parts
+from ..sources.discovery import file_utc_date
 
 # Header prefix and field names.
 HEADER_PREFIX = "#fields:"
@@ -31,7 +32,9 @@ def is_header(line: Column) -> Column:
 
 
 def is_data(line: Column) -> Column:
-    return (~line.startswith("#")) & (trim_white_space(line) != "")
+    """Neither a directive nor blank. The first character settles it for all but odd lines."""
+    first = F.substring(line, 1, 1)
+    return F.when(first.between("!", "~"), first != "#").otherwise(line.rlike(r"(?U)\S"))
 
 
 def header_fields(line: Column) -> Column:
@@ -58,13 +61,14 @@ LAYOUT_FIELDS = ("date", "time", "uri_stem", "user_agent", "referer", "status",
 
 def split_index(lines: DataFrame) -> DataFrame:
     """One row per input split. The aggregate combines within each scan task, so what is
-    shuffled is one small row per split."""
-    return lines.groupBy("file", "file_utc_date", "block_start").agg(
+    shuffled is one small row per split. The file's date is read off its name here, not per line."""
+    index = lines.groupBy("file", "block_start").agg(
         F.min("line_id").alias("first_id"),
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(is_data(F.col("line"))).alias("data_lines"),
         F.array_sort(F.collect_list(F.when(is_header(F.col("line")), F.struct("line_id", "line")))).alias("headers"),
     )
+    return index.withColumn("file_utc_date", file_utc_date(F.col("file")))
 
 
 def _before() -> W:
@@ -111,15 +115,16 @@ def _missing_fields(header_line: Column) -> Column:
 
 
 def split_layouts(splits: DataFrame) -> DataFrame:
-    """``(file, block_start, line_no_base, from_id, to_id, layout)``: the stretches of lines within
+    """``(file, file_utc_date, block_start, line_no_base, from_id, to_id, layout)``: the stretches of lines within
     each split that one layout governs, the first one carried in from the splits before. A header
     that repeats the layout before it starts no new stretch, so most splits have one row."""
     inside = F.transform("headers", lambda h: F.struct(h["line_id"].alias("from_id"), layout(h["line"]).alias("layout")))
-    own = splits.select("file", "block_start", "first_id", "n_lines", inside.alias("inside"))
+    own = splits.select("file", "file_utc_date", "block_start", "first_id", "n_lines", inside.alias("inside"))
     carried = F.last(F.try_element_at("inside", F.lit(-1))["layout"], ignorenulls=True).over(_before())
     opening = own.select("*", carried.alias("carried"), (_first_line_no() - F.col("first_id")).alias("line_no_base"))
     stretches = opening.select(
         "file",
+        "file_utc_date",
         "block_start",
         "line_no_base",
         F.inline(

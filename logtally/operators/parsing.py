@@ -8,21 +8,37 @@ from pyspark.sql import functions as F
 from ..functions.text import non_empty_parts
 from .once import evaluate_once
 
-# Exact shape of the two time fields (four-digit year from 0001).
-DATE_SHAPE = r"\A(?!0000)\d{4}-\d{2}-\d{2}\z"
-TIME_SHAPE = r"\A\d{2}:\d{2}:\d{2}\z"
+# Fixed value.
 NO_HEADER_YET = "no header block seen yet"
 
 
 def split_fields(line: Column) -> Column:
-    return non_empty_parts(line, " ")
+    """Fields between single or repeated spaces; the common case needs no second pass."""
+    has_empty = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    return F.when(has_empty, non_empty_parts(line, " ")).otherwise(F.split(line, " "))
 
 
 def parse_utc_ts(date_text: Column, time_text: Column) -> Column:
-    """Strict ``yyyy-MM-dd HH:mm:ss``, NULL otherwise. The shape test makes the plain cast
-    strict, and the cast is far cheaper than a pattern-driven parser."""
-    text = F.concat_ws(" ", date_text, time_text)
-    return F.when(date_text.rlike(DATE_SHAPE) & time_text.rlike(TIME_SHAPE), text.try_cast("timestamp_ntz"))
+    """Strict ``yyyy-MM-dd HH:mm:ss`` from year 1 on, NULL otherwise.
+
+    A cast takes more spellings (short fields, signs, zones, fractions) but only digits between
+    separators, so fixing the places of the separators and the final digit makes it strict, at a
+    fraction of the cost of a pattern.
+    """
+
+    def has(text: Column, length: int, separator: str, *places: int) -> Column:
+        shape = F.length(text) == length
+        for place in places:
+            shape = shape & (F.substring(text, place, 1) == separator)
+        return shape
+
+    strict = (
+        has(date_text, 10, "-", 5, 8)
+        & has(time_text, 8, ":", 3, 6)
+        & F.substring(time_text, 8, 1).between("0", "9")
+        & (date_text >= "0001")
+    )
+    return F.when(strict, F.concat_ws(" ", date_text, time_text).try_cast("timestamp_ntz"))
 
 
 def parse_int32(text: Column) -> Column:

@@ -184,8 +184,7 @@ def _write_devices(
     per_login = _read_batch(store, batch, name + LOGIN_GRAIN)
     if per_login is None:
         return [], []
-    keys = ("local_date", "device_id")
-    new = write_scratch(A.first_login(per_login, *keys), "devices")
+    new = write_scratch(A.first_login(per_login), "devices")
     old = store.read_stored(name, manifest=base).where(~F.col("local_date").isin(dates)).select(*new.columns)
     table = old.unionByName(new)
     changed = [r.local_date for r in D.backfilled_dates(table).where(~F.col("local_date").isin(dates)).collect()]
@@ -202,7 +201,7 @@ def _summary(store: AggregateStore, batch: str, text: Text, cal: DataFrame) -> D
     if rejected is None:
         counted = totals.withColumn("invalid", F.lit(0).cast("long"))
     else:
-        counted = totals.join(rejected.select("file", "invalid"), "file", "left")
+        counted = totals.join(rejected.select("file", F.col("hits").alias("invalid")), "file", "left")
     return (
         counted.join(F.broadcast(cal), F.col("file_utc_date") == F.col("utc_date"))
         .groupBy("local_date")

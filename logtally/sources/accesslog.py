@@ -73,7 +73,7 @@ WITH l AS (
     coalesce(forwarded_for, '-') AS xff
   FROM {access_log}
 )
-SELECT file, utc_date AS file_utc_date, event_id,
+SELECT file, event_id,
   CASE WHEN event_id % 40 <> event_id % 2 OR (day(utc_date) = 17 AND event_id % 2 = 0) THEN NULL
     WHEN event_id % 40 = 1 AND day(utc_date) = 13
       THEN '#Fields: date time cs-uri-stem cs(User-Agent) sc-status time-taken'
@@ -126,14 +126,13 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         per_event.select(
             "file",
-            "file_utc_date",
             "event_id",
             (F.col("event_id") - F.col("event_id") % 200).alias("block_start"),
             F.posexplode(F.array("header", "remark", "blank", "data")).alias("kind", "line"),
         )
         .where(F.col("line").isNotNull())
         .withColumn("line_id", F.row_number().over(order).cast("long"))
-        .select("file", "file_utc_date", "block_start", "line_id", "line")
+        .select("file", "block_start", "line_id", "line")
     )
 
 

@@ -19,7 +19,7 @@ def offset_seconds(local_date: Column, time_zone: str) -> Column:
     """Offset from UTC in force at local midnight of ``local_date``, whatever the session zone."""
     midnight = local_date.cast("timestamp_ntz")
     in_utc = F.convert_timezone(F.lit(time_zone), F.lit("UTC"), midnight)
-    return F.timestamp_diff("SECOND", in_utc, midnight)
+    return (midnight - in_utc).cast("interval second").cast("bigint")
 
 
 def local_offset(dates: DataFrame, time_zone: str) -> DataFrame:

@@ -14,11 +14,11 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .discovery import file_utc_date, name_filter
+from .discovery import name_filter
 
 
 def read_log_lines(spark: SparkSession, directory: str, utc_dates: Iterable[date]) -> DataFrame:
-    """``(file, file_utc_date, block_start, line_id, line)`` of the needed files.
+    """``(file, block_start, line_id, line)`` of the needed files.
 
     ``\\r\\n``, ``\\r`` and ``\\n`` end a line; a byte-order mark is dropped. An unreadable file
     fails the job. Use the one returned frame for every pass over the text: the file listing is
@@ -33,6 +33,4 @@ def read_log_lines(spark: SparkSession, directory: str, utc_dates: Iterable[date
             F.monotonically_increasing_id().alias("line_id"),
             F.col("value").alias("line"),
         )
-        .withColumn("file_utc_date", file_utc_date(F.col("file")))
-        .select("file", "file_utc_date", "block_start", "line_id", "line")
     )
