@@ -25,6 +25,7 @@ from logtally.plans import queries as Q
 from logtally.plans.harvest import Text, date_status, harvest, index_text
 from logtally.session import new_scratch_dir
 from logtally.sinks import tsv
+from logtally.sinks.files import SharedFiles
 from logtally.sinks.store import AggregateStore, replace_daily_batch
 from logtally.sources import accesslog as AL
 from logtally.sources import calendar as C
@@ -61,12 +62,49 @@ def presentable(df: DataFrame) -> DataFrame:
 # --- inputs --------------------------------------------------------------------------------------
 
 
+_made: dict[tuple, tuple[str, object]] = {}
+
+
+def _once(spark: SparkSession, key: tuple, make: Callable[[str], object]):
+    """Tables, files and stores derived from the driver's tables are written once per session and
+    scale, to a folder of their own, and made again should that folder be gone."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _made or not SharedFiles(spark, _made[full][0]).exists(_made[full][0]):
+        path = new_scratch_dir(spark, key[0])
+        _made[full] = (path, make(path))
+    return _made[full][1]
+
+
+def _derived(spark: SparkSession, sf: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A whole table computed from the driver's tables, kept as parquet."""
+
+    def make(path: str) -> DataFrame:
+        df = build(spark, sf)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return _once(spark, (name, sf), make)
+
+
 def access_log(spark: SparkSession, sf: str) -> DataFrame:
-    return AL.access_log(spark, sf)
+    return _derived(spark, sf, "access_log", AL.access_log)
+
+
+def log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _derived(spark, sf, "log_lines", lambda *_: AL.log_lines(access_log(spark, sf)))
+
+
+def span(spark: SparkSession, sf: str) -> tuple[date, date]:
+    return _once(spark, ("span", sf), lambda path: _span(access_log(spark, sf), path))
+
+
+def _span(log: DataFrame, path: str) -> tuple[date, date]:
+    SharedFiles(log.sparkSession, path).write_text(path, "")
+    return AL.local_date_span(log)
 
 
 def calendar(spark: SparkSession, sf: str, zone: str = ZONE) -> DataFrame:
-    return C.calendar(spark, *AL.local_date_span(spark, sf), zone)
+    return C.calendar(spark, *span(spark, sf), zone)
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +123,7 @@ def shifted_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 def shifted_calendar(spark: SparkSession, sf: str, zone: str = DST_ZONE) -> DataFrame:
     shift = timedelta(days=DST_SHIFT_DAYS)
-    start, end = AL.local_date_span(spark, sf)
+    start, end = span(spark, sf)
     return C.calendar(spark, start + shift, end + shift, zone)
 
 
@@ -108,40 +146,31 @@ def table(name: str, spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_text(spark: SparkSession, sf: str) -> Text:
-    return index_text(AL.log_lines(spark, sf))
+    def make(path: str) -> Text:
+        SharedFiles(spark, path).write_text(path, "")
+        return index_text(log_lines(spark, sf))
 
-
-_made: dict[tuple, object] = {}
-
-
-def _once(spark: SparkSession, key: tuple, make: Callable[[], object]):
-    """Files and stores derived from the tables are written once per session and scale."""
-    full = (spark.sparkContext.applicationId, *key)
-    if full not in _made:
-        _made[full] = make()
-    return _made[full]
+    return _once(spark, ("log_text", sf), make)
 
 
 def log_directory(spark: SparkSession, sf: str) -> str:
-    def make() -> str:
-        return AL.write_log_files(AL.clean_lines(access_log(spark, sf)), new_scratch_dir(spark, "logs"))
-
-    return _once(spark, ("logs", sf), make)
+    lines = access_log(spark, sf)
+    return _once(spark, ("logs", sf), lambda path: AL.write_log_files(AL.clean_lines(lines), path))
 
 
 def harvested_store(spark: SparkSession, sf: str) -> AggregateStore:
     """Log files of the access log, harvested for every local date that has all its files."""
 
-    def make() -> AggregateStore:
-        store = AggregateStore(spark, new_scratch_dir(spark, "store"))
-        harvest(spark, log_directory(spark, sf), *AL.local_date_span(spark, sf), store, SETTINGS)
+    def make(path: str) -> AggregateStore:
+        store = AggregateStore(spark, path)
+        harvest(spark, log_directory(spark, sf), *span(spark, sf), store, SETTINGS)
         return store
 
     return _once(spark, ("store", sf), make)
 
 
 def file_dates(spark: SparkSession, sf: str) -> list[date]:
-    start, end = AL.local_date_span(spark, sf)
+    start, end = span(spark, sf)
     return [start + timedelta(days=i) for i in range((end - start).days + 1)]
 
 
@@ -240,12 +269,12 @@ def skipped_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def data_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return AL.log_lines(spark, sf).where(H.is_data(F.col("line"))).select("file", "line")
+    return log_lines(spark, sf).where(H.is_data(F.col("line"))).select("file", "line")
 
 
 def split_fields(spark: SparkSession, sf: str) -> DataFrame:
     fields = P.split_fields(F.col("line"))
-    return AL.log_lines(spark, sf).where(H.is_data(F.col("line"))).select(
+    return log_lines(spark, sf).where(H.is_data(F.col("line"))).select(
         "file", "line", F.size(fields).alias("n"), F.get(fields, F.lit(2)).alias("third"), F.element_at(fields, -1).alias("last")
     )
 

@@ -118,10 +118,10 @@ def as_requests(log: DataFrame) -> DataFrame:
     )
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_lines(log: DataFrame) -> DataFrame:
     """The access log as text lines, in the shape :func:`..sources.lines.read_log_lines` gives;
     a split holds 200 consecutive events."""
-    per_event = spark.sql(LOG_LINES_SQL, access_log=access_log(spark, sf_dir))
+    per_event = log.sparkSession.sql(LOG_LINES_SQL, access_log=log)
     order = W.partitionBy("file", "block_start").orderBy("event_id", "kind")
     return (
         per_event.select(
@@ -179,9 +179,7 @@ def write_log_files(lines: DataFrame, directory: str) -> str:
     return directory
 
 
-def local_date_span(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
-    """First and last local date any event can fall on."""
-    ts = spark.read.parquet(f"{sf_dir}/events.parquet").agg(
-        F.min("ts").cast("date"), F.max("ts").cast("date")
-    ).first()
-    return ts[0] - timedelta(days=1), ts[1] + timedelta(days=1)
+def local_date_span(log: DataFrame) -> tuple[date, date]:
+    """First and last local date any request can fall on."""
+    first, last = log.agg(F.min("utc_date"), F.max("utc_date")).first()
+    return first - timedelta(days=1), last + timedelta(days=1)
