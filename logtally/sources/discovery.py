@@ -23,21 +23,22 @@ def name_filter(utc_dates: Iterable[date]) -> str:
     return "u_ex{" + ",".join(sorted({d.strftime("%y%m%d") for d in utc_dates})) + "}*.log"
 
 
+def _listing(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
+    """``(path)`` of the matching files in the top folder, empty ones included, which a scan would
+    leave out. These are the names Spark's own file index holds on the driver, nothing more."""
+    found = spark.read.option("pathGlobFilter", pattern).text(directory).inputFiles()
+    encoded = spark.createDataFrame([(p,) for p in found], "value string")
+    return encoded.select(F.url_decode(F.replace(F.col("value"), F.lit("+"), F.lit("%2B"))).alias("path"))
+
+
 def discover_files(spark: SparkSession, directory: str, utc_dates: Iterable[date]) -> DataFrame:
-    """``(path, file, file_utc_date, length)`` of the needed files in the top folder. Contents
-    are not read."""
+    """``(path, file, file_utc_date)`` of the needed files in the top folder. Contents are not
+    read."""
     return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", name_filter(utc_dates))
-        .load(directory)
-        .select(
-            "path",
-            F.element_at(F.split("path", "/"), -1).alias("file"),
-            "length",
-        )
+        _listing(spark, directory, name_filter(utc_dates))
+        .withColumn("file", F.substring_index("path", "/", -1))
         .withColumn("file_utc_date", file_utc_date(F.col("file")))
         .where(F.col("file_utc_date").isNotNull())
-        .select("path", "file", "file_utc_date", "length")
     )
 
 
