@@ -18,6 +18,8 @@ def build_session(app_name: str = "logtally", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Lets a small result still use every core; without effect once partitions are large.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     }
     builder = SparkSession.builder.appName(app_name)
     if master:
