@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 import uuid
 
@@ -43,8 +43,12 @@ def scratch_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    root = os.environ.setdefault("LOGTALLY_LOCAL_SCRATCH", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return root
+    return _local_scratch()
+
+
+@functools.cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def new_scratch_dir(spark: SparkSession, label: str) -> str:
