@@ -19,7 +19,8 @@ from . import (
     secrets,
     toxicity,
 )
-from .common import crc_bucket, labelled_sample, same_key, row_key, table
+from .common import crc_bucket, labelled_sample, row_key, same_key, table
+from .duckdb_sql import SQL as SQL  # re-exported beside QUERIES
 
 DECISION = 0.3
 
@@ -128,4 +129,3 @@ QUERIES = {
         op10_quality_model,
     )
 }
-SQL: dict[str, str] = {}
