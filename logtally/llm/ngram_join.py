@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_RUN, add_columns, cut_lineage, map_arrow, split_by_membership, split_words, text_of
 from .components import components
 
-SIGNATURE_WORDS = 16
+SIGNATURE_WORDS = 32
 FAN_OUT = 16
 TREE_MEMBERS = 1_000
 #: Node pairs that one step of a traversal looks at together; bounds memory only.
@@ -162,20 +162,30 @@ def _sets(docs: DataFrame, ids: DataFrame, settings: JoinSettings) -> DataFrame:
         return [
             pa.array([len(s) for s in sets], pa.int64()),
             longs_array(sets),
-            pa.array([signature(s).tobytes() for s in sets], pa.binary()),
+            longs_array([signature(s) for s in sets]),
         ]
 
-    return add_columns(members, [F.col("doc_id").alias("id")], [word_hashes()], "n long, shingles array<long>, bits binary", make)
+    return add_columns(members, [F.col("doc_id").alias("id")], [word_hashes()], "n long, shingles array<long>, bits array<long>", make)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The pairs (a, b) whose sets link.
+
+    Sizes and signatures, which are narrow, are compared first: each differing bit is a differing
+    shingle at least. Only pairs that may link then fetch whole sets.
+    """
     p, q = settings.threshold.numerator, settings.threshold.denominator
+    narrow = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"set_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    fit = (q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
+    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    likely = (
+        pairs.join(narrow("a"), "a")
+        .join(narrow("b"), "b")
+        .where((q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")) & ((q + p) * differing <= (q - p) * (F.col("n_a") + F.col("n_b"))))
+    )
+    both = likely.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    counted = both.where(fit).select("a", "b", "n_a", "n_b", shared.alias("shared"))
+    counted = both.select("a", "b", "n_a", "n_b", shared.alias("shared"))
     return counted.where(q * F.col("shared") >= p * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b").distinct()
 
 
@@ -257,8 +267,7 @@ def _tree_candidates(members: DataFrame, settings: JoinSettings) -> DataFrame:
         held = None
         for batch in batches:
             now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "id", "label", "n")]
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS)
-            now.append(bits)
+            now.append(batch.column("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SIGNATURE_WORDS))
             if held is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
             starts = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
