@@ -14,12 +14,13 @@ The network is fitted on a bounded sample of labelled rows (``TrainSettings``),
 weights (about 1 MB) are broadcast, and every document is scored where it lies, window batches at a
 time, without a shuffle.
 
-Results for odd input: a null text or one without letters scores 0; repeated rows score alike;
+Results for odd input: a null text or one without words scores 0; repeated rows score alike;
 extra columns are ignored; without labelled rows of both classes every text scores 0.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Sequence
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import add_columns
 
-LETTERS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"\w+")
 #: Words that a worker holds projected, and words scored together; bounds of memory only.
-MEMO_WORDS = 60_000
-GROUP_WORDS = 150_000
+MEMO_WORDS = 150_000
+GROUP_WORDS = 50_000
 
 
 @dataclass(frozen=True)
@@ -47,11 +48,13 @@ class TrainSettings:
     vocabulary: int = 12_000
     char_buckets: int = 4_096
     width: int = 8
-    hidden: int = 10
+    hidden: int = 8
     window: int = 32
-    stride: int = 24
+    stride: int = 28
     rounds: int = 8
-    batch: int = 128
+    least_updates: int = 300
+    """A small sample takes more rounds, to make so many steps."""
+    batch: int = 64
     rate: float = 0.01
     seed: int = 3
 
@@ -61,12 +64,15 @@ def windows(words: int, settings: TrainSettings) -> range:
     return range(0, max(1, words - (settings.window - settings.stride)), settings.stride)
 
 
-def char_grams(word: str, buckets: int) -> list[int]:
-    """Buckets of the trigrams of the padded word."""
-    data = f"^{word}$".encode()
-    codes = np.frombuffer(data, np.uint8).astype(np.uint32)
+def char_grams(words: Sequence[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the trigrams of the padded words, and the word each belongs to."""
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode(), np.uint8).astype(np.uint32)
+    if not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     mixed = (codes[:-2] * np.uint32(0x9E3779B1)) ^ (codes[1:-1] * np.uint32(0x85EBCA77)) ^ (codes[2:] * np.uint32(0xC2B2AE3D))
-    return ((mixed ^ (mixed >> np.uint32(15))) % np.uint32(buckets)).tolist()
+    owner = np.cumsum(codes == ord("^")) - 1
+    inside = owner[:-2] == owner[2:]
+    return ((mixed ^ (mixed >> np.uint32(15))) % np.uint32(buckets))[inside].astype(np.int64), owner[:-2][inside]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -90,9 +96,7 @@ class Network:
     def features(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of distinct words: embedding rows, character buckets and the word each bucket belongs to."""
         rows = np.array([self.vocabulary.get(w, 0) for w in words], np.int64)
-        grams = [char_grams(w, self.settings.char_buckets) for w in words]
-        owner = np.repeat(np.arange(len(words)), [len(g) for g in grams])
-        return rows, np.array([b for g in grams for b in g], np.int64), owner
+        return rows, *char_grams(words, self.settings.char_buckets)
 
     def inputs(self, rows: np.ndarray, buckets: np.ndarray, owner: np.ndarray) -> np.ndarray:
         w = self.weights
@@ -203,14 +207,19 @@ class Network:
         """Rows of ``memo_rows`` for words, adding those not yet there."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-            self.memo_rows = []
-        new = [w for w in dict.fromkeys(words) if w not in self.memo]
-        if new:
-            first = len(self.memo)
-            self.memo.update((w, first + i) for i, w in enumerate(new))
+        rows = np.fromiter(map(self.memo.get, words, itertools.repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0).tolist()
+        if missing:
+            first, new = len(self.memo), list(dict.fromkeys(words[i] for i in missing))
+            self.memo.update(zip(new, itertools.count(first)))
+            rows[missing] = [self.memo[words[i]] for i in missing]
             tables = self.projected(self.inputs(*self.features(new)))
-            self.memo_rows = [np.concatenate([a, b]) for a, b in zip(self.memo_rows, tables, strict=True)] if self.memo_rows else list(tables)
-        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+            if not self.memo_rows or len(self.memo) > len(self.memo_rows[0]):
+                room = 2 * len(self.memo)
+                self.memo_rows = [np.concatenate([*(x[:first] for x in self.memo_rows[at : at + 1]), np.zeros((room - first, t.shape[1]), np.float32)]) for at, t in enumerate(tables)]
+            for held, table in zip(self.memo_rows, tables, strict=True):
+                held[first : len(self.memo)] = table
+        return rows
 
     def score_windows(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of all windows of texts (each of one word or more), and each text's first window."""
@@ -229,7 +238,7 @@ class Network:
                 scores[places] = np.maximum.reduceat(found, firsts)
 
         for i, text in enumerate(texts):
-            words = LETTERS.findall(text.lower()) if text else []
+            words = WORDS.findall(text.lower()) if text else []
             # A very long text goes in overlapping pieces of whole windows.
             step = GROUP_WORDS // self.settings.stride * self.settings.stride
             for a in range(0, max(1, len(words) - (self.settings.window - self.settings.stride)), step):
@@ -289,7 +298,7 @@ def _start(texts: list[list[str]], labels: np.ndarray, settings: TrainSettings)
 
 def train(texts: Sequence[str | None], labels: Sequence[int], settings: TrainSettings = TrainSettings()) -> Network | None:
     """The network of a sample of labelled texts, or None unless both classes are there."""
-    split = [(LETTERS.findall(t.lower()), y) for t, y in zip(texts, labels, strict=True) if t]
+    split = [(WORDS.findall(t.lower()), y) for t, y in zip(texts, labels, strict=True) if t]
     split = [(words, y) for words, y in split if words]
     target = np.array([y for _, y in split], np.float32)
     if not len(target) or target.min() == target.max():
@@ -306,13 +315,15 @@ def train(texts: Sequence[str | None], labels: Sequence[int], settings: TrainSet
     owner = np.repeat(np.arange(len(words)), counts)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.weights.items()}
     step = 0
-    for turn in range(settings.rounds):
+    turn = 0
+    while turn < settings.rounds or step < settings.least_updates:
         if turn == 0:
             typical = net.weights["words"][features[0], 0]
             worst = np.where(mask, typical[index], -9).max(axis=1)
         else:
             tables = net.projected(net.inputs(*features))
             worst = np.concatenate([net.forward(tables, index[a : a + 4096], mask[a : a + 4096]) for a in range(0, len(index), 4096)])
+        turn += 1
         order = np.lexsort((-worst, owner))
         picked = order[firsts]
         others = (firsts + rng.integers(0, 1 << 30, len(firsts)) % counts)[target == 0]
