@@ -13,10 +13,12 @@ training set without rows makes every text ``und``.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import defaultdict
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import add_columns, by_hash, text_of
 
 UNDETERMINED = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Words outside the model that one Python worker remembers.
-MEMO_WORDS = 400_000
+WORDS, LETTERS = re.compile(r"\w+"), re.compile(r"[^\W\d_]+")
+#: Words outside the model that a task remembers, and words scored together; bounds of memory only.
+MEMO_WORDS = 300_000
+GROUP_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -36,9 +39,9 @@ class FitSettings:
     """Bounds of the fit: about so many rows of each language are read, and the most frequent
     words and n-grams of them kept."""
 
-    rows_per_language: int = 1_500
+    rows_per_language: int = 1_000
     languages: int = 200
-    known_words: int = 60_000
+    known_words: int = 50_000
     grams: int = 150_000
     longest_gram: int = 5
     seed: int = 7
@@ -53,33 +56,74 @@ class LanguageModel:
     grams: dict[str, int]
     scores: np.ndarray
     longest_gram: int
-    memo: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean of the known n-grams of the greatest length that has one."""
-        padded = f"^{word}$"
-        for n in range(min(self.longest_gram, len(padded)), 0, -1):
-            rows = [r for i in range(len(padded) - n + 1) if (r := self.grams.get(padded[i : i + n])) is not None]
-            if rows:
-                return self.scores[rows].mean(axis=0)
-        return np.zeros(len(self.languages), np.float32)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.languages:
-            return UNDETERMINED, 0.0
-        get = self.words.get
-        rows = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        table = self.scores[rows]
-        for i in np.flatnonzero(rows < 0):
-            word = words[i]
-            if (scores := self.memo.get(word)) is None:
-                if len(self.memo) >= MEMO_WORDS:
-                    self.memo.clear()
-                scores = self.memo[word] = self.unseen(word)
-            table[i] = scores
-        best = int(table.sum(axis=0, dtype=np.float64).argmax())
-        return self.languages[best], float((table.argmax(axis=1) == best).mean())
+    def backed_off(self, words: Sequence[str]) -> np.ndarray:
+        """Scores of unseen words: the mean of the known n-grams of the greatest length that has one.
+        A word without letters scores nan."""
+        get, rows, sizes = self.grams.get, [], []
+        for word in words:
+            found: list[int] = []
+            letters = word if word.isalpha() else "".join(LETTERS.findall(word))
+            padded = f"^{letters}$"
+            for n in range(min(self.longest_gram, len(padded)), 0, -1) if letters else ():
+                found = [r for i in range(len(padded) - n + 1) if (r := get(padded[i : i + n])) is not None]
+                if found:
+                    break
+            rows += found
+            sizes.append(len(found) if letters else -1)
+        count = np.array(sizes)
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        some = count > 0
+        if rows:
+            out[some] = np.add.reduceat(self.scores[rows], np.r_[0, np.cumsum(count[some])[:-1]], axis=0) / count[some, None]
+        out[count < 0] = np.nan
+        return out
+
+
+class Reader:
+    """Scores texts with a model, remembering the words it has looked up."""
+
+    def __init__(self, model: LanguageModel):
+        self.model = model
+        self.index = dict(model.words)
+        self.table = model.scores[: len(model.words)]
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        if len(self.index) > len(self.model.words) + MEMO_WORDS:
+            self.__init__(self.model)
+        rows = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(words[i] for i in missing))
+            self.index.update(zip(new, itertools.count(len(self.table))))
+            self.table = np.concatenate([self.table, self.model.backed_off(new)])
+            rows[missing] = [self.index[words[i]] for i in missing]
+        return rows
+
+    def predict(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
+        languages = self.model.languages
+        found = [(UNDETERMINED, 0.0)] * len(texts)
+        split = [(i, words) for i, t in enumerate(texts) if t and languages and (words := WORDS.findall(t.lower()))]
+        while split:
+            # As many texts as make up a group of words, one at least.
+            size, end = 0, 0
+            while end < len(split) and (not end or size + len(split[end][1]) <= GROUP_WORDS):
+                size += len(split[end][1])
+                end += 1
+            group, split = split[:end], split[end:]
+            rows = self._rows([w for _, words in group for w in words])
+            scores = self.table[rows]
+            counted = ~np.isnan(scores[:, 0])
+            best_of_word = np.where(counted, np.nan_to_num(scores).argmax(axis=1), -1)
+            starts = np.r_[0, np.cumsum([len(words) for _, words in group])[:-1]]
+            best = np.add.reduceat(np.nan_to_num(scores.astype(np.float64)), starts, axis=0).argmax(axis=1)
+            total = np.add.reduceat(counted.astype(np.int64), starts)
+            lengths = np.diff(np.r_[starts, len(rows)])
+            agree = np.add.reduceat((best_of_word == np.repeat(best, lengths)).astype(np.int64), starts)
+            for (i, _), b, k, n in zip(group, best.tolist(), agree.tolist(), total.tolist(), strict=True):
+                if n:
+                    found[i] = (languages[b], k / n)
+        return found
 
 
 def fit(labelled: DataFrame, settings: FitSettings = FitSettings()) -> LanguageModel:
@@ -98,55 +142,57 @@ def fit(labelled: DataFrame, settings: FitSettings = FitSettings()) -> LanguageM
         .groupBy("word", "lang")
         .count()
         .groupBy("word")
-        .agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("by_lang"))
+        .agg(F.sum("count").alias("total"), F.collect_list("lang").alias("langs"), F.collect_list("count").alias("counts"))
         .orderBy(F.desc("total"), "word")
         .limit(2 * settings.known_words)
-        .collect()
+        .toArrow()
     )
-    languages = sorted({x.lang for r in counts for x in r.by_lang})
+    langs, words = counts["langs"].combine_chunks(), counts["word"].to_pylist()
+    of_word = np.repeat(np.arange(len(words)), np.diff(langs.offsets.to_numpy()))
+    names = langs.flatten().to_pylist()
+    languages = sorted(set(names))
     at = {x: i for i, x in enumerate(languages)}
-    word_counts: dict[str, np.ndarray] = {}
-    gram_counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
-    for r in counts:
-        row = np.zeros(len(languages))
-        for x in r.by_lang:
-            row[at[x.lang]] = x["count"]
-        if r.total > 1 and len(word_counts) < settings.known_words:
-            word_counts[r.word] = row
-        padded = f"^{r.word}$"
+    by_word = np.zeros((len(words), len(languages)))
+    by_word[of_word, [at[x] for x in names]] = counts["counts"].combine_chunks().flatten().to_numpy()
+    known = np.flatnonzero(counts["total"].to_numpy() > 1)[: settings.known_words]
+
+    ids: dict[str, int] = defaultdict(lambda: len(ids))
+    gram_ids, gram_words = [], []
+    for i, word in enumerate(words):
+        padded = f"^{word}$"
+        before = len(gram_ids)
         for n in range(1, settings.longest_gram + 1):
-            for i in range(len(padded) - n + 1):
-                gram_counts[padded[i : i + n]] += row
-    gram_rows = sorted(gram_counts.items(), key=lambda x: (-x[1].sum(), x[0]))[: settings.grams]
+            gram_ids += [ids[padded[k : k + n]] for k in range(len(padded) - n + 1)]
+        gram_words.append(len(gram_ids) - before)
+    by_gram = np.zeros((len(ids), len(languages)))
+    np.add.at(by_gram, np.array(gram_ids, np.int64), by_word[np.repeat(np.arange(len(words)), np.array(gram_words, np.int64))])
+    grams = list(ids)
+    kept = sorted(range(len(grams)), key=lambda i: (-by_gram[i].sum(), grams[i]))[: settings.grams]
     return LanguageModel(
         languages,
-        {w: i for i, w in enumerate(word_counts)},
-        {g: len(word_counts) + i for i, (g, _) in enumerate(gram_rows)},
-        np.vstack(
-            [
-                _log_frequencies(list(word_counts.values()), len(languages)),
-                _log_frequencies([x for _, x in gram_rows], len(languages)),
-            ]
-        ),
+        {words[i]: row for row, i in enumerate(known)},
+        {grams[i]: len(known) + row for row, i in enumerate(kept)},
+        np.vstack([_log_frequencies(by_word[known]), _log_frequencies(by_gram[kept])]),
         settings.longest_gram,
     )
 
 
-def _log_frequencies(rows: list[np.ndarray], languages: int) -> np.ndarray:
+def _log_frequencies(counts: np.ndarray) -> np.ndarray:
     """Log of the share of each row in its language's total; unseen pairs count a half."""
-    if not rows:
-        return np.zeros((0, languages), np.float32)
-    counts = np.vstack(rows) + 0.5
-    return (np.log(counts) - np.log(counts.sum(axis=0)) + math.log(len(rows))).astype(np.float32)
+    smooth = counts + 0.5
+    return (np.log(smooth) - np.log(smooth.sum(axis=0)) + math.log(max(1, len(counts)))).astype(np.float32)
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str | Column]) -> DataFrame:
     """The ``keep`` columns of ``docs`` with ``lang_pred`` and ``score``, the share of words whose own
     best language is the predicted one. ``keep`` must not hold those two names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    readers: list[Reader] = []
 
     def predict(texts: pa.Array) -> list[pa.Array]:
-        found = [shared.value.predict(text.as_py()) for text in texts]
+        if not readers:
+            readers.append(Reader(shared.value))
+        found = readers[0].predict(texts.to_pylist())
         return [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
 
     return add_columns(docs, keep, [F.col("text")], "lang_pred string, score double", predict)
