@@ -700,6 +700,8 @@ SQL: dict[str, str] = {
     "harvest_by_portal_item": _harvested("t_item"),
     "harvest_by_field_maps_device": _harvested("t_field", filled=True),
     "harvest_by_survey123_device": _harvested("t_survey", filled=True),
+    "harvest_skipped": qt("SELECT file, CAST(file_utc_date AS VARCHAR) AS file_utc_date, reason FROM t_skipped"),
+    "harvest_rejects": qt("SELECT file, line_no, reason FROM parsed WHERE reason IS NOT NULL"),
     "replace_daily_batch": rows("t_service", "local_date <> DATE '2024-01-05'"),
     "export_tsv": TSV,
     # 2.12

@@ -251,15 +251,15 @@ def _as_stored_rows(df: DataFrame, name: str) -> DataFrame:
 
 def header_blocks(spark: SparkSession, sf: str) -> DataFrame:
     t = log_text(spark, sf)
-    return H.header_blocks(t.lines, t.layouts, t.broadcast).select(
+    return H.header_blocks(t.lines, t.layouts).select(
         "file", "line_no", F.col("layout.n").alias("n_fields"), *[f"layout.{f}" for f in H.LAYOUT_FIELDS]
     )
 
 
 def header_blocks_shuffled(spark: SparkSession, sf: str) -> DataFrame:
-    """The same through the join used when the split rows are too many to broadcast."""
+    """The same through the sort-merge join Spark takes when the split rows are too many to broadcast."""
     t = log_text(spark, sf)
-    return H.header_blocks(t.lines, t.layouts, broadcast=False).select(
+    return H.header_blocks(t.lines, t.layouts.hint("merge")).select(
         "file", "line_no", F.col("layout.n").alias("n_fields"), *[f"layout.{f}" for f in H.LAYOUT_FIELDS]
     )
 
@@ -457,6 +457,28 @@ def aggregate_all(spark: SparkSession, sf: str) -> DataFrame:
 # --- 2.11 sinks ----------------------------------------------------------------------------------------
 
 
+def harvest_diagnostics(spark: SparkSession, sf: str) -> str:
+    """What a harvest of files with several headers each, bad lines and bad headers reports; the
+    files hold ``log_lines``, so the reader of real files sees them."""
+
+    def make(path: str) -> str:
+        lines = log_lines(spark, sf).withColumnsRenamed({"block_start": "event_id", "line_id": "kind"})
+        logs = AL.write_log_files(lines, new_scratch_dir(spark, "odd_logs"))
+        store = AggregateStore(spark, new_scratch_dir(spark, "odd_store"))
+        harvest(spark, logs, *span(spark, sf), store, SETTINGS, diagnostics=path)
+        return path
+
+    return _once(spark, ("diagnostics", sf), make)
+
+
+def harvest_skipped(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{harvest_diagnostics(spark, sf)}/skipped")
+
+
+def harvest_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{harvest_diagnostics(spark, sf)}/rejects")
+
+
 def harvested(name: str) -> Query:
     return lambda spark, sf: harvested_store(spark, sf).read_table(name)
 
@@ -640,6 +662,8 @@ REGISTRY: dict[str, Query] = {
     "top_devices_survey123": _on(SURVEY, L.top_devices, *RANGE),
     # 2.11
     **{f"harvest_{name.removeprefix('aggregated_')}": harvested(name) for name in S.ALL_TABLES},
+    "harvest_skipped": harvest_skipped,
+    "harvest_rejects": harvest_rejects,
     "replace_daily_batch": replaced,
     "export_tsv": exported_tsv,
     # 2.12

@@ -67,12 +67,16 @@ def portal_item_id(uri_stem: Column, adaptor_name: str) -> Column:
 def login_username(uri_stem: Column, adaptor_name: str) -> Column:
     """User name of a portal community request, percent-decoded and lower-cased; NULL otherwise.
 
-    A ``+`` is literal, and a ``%`` that starts no valid escape stays as it is.
+    A ``+`` is literal, and a ``%`` that starts no valid escape stays as it is. A name whose escapes
+    are not UTF-8 stays as it is too.
     """
     pattern = rf"(?i)\A/*+\Q{adaptor_name}\E/+sharing/+rest/+community/+users/+([^/]+)"
     name = _or_null(F.regexp_extract(uri_stem, pattern, 1))
     escaped = F.regexp_replace(F.replace(name, F.lit("+"), F.lit("%2B")), r"%(?![0-9A-Fa-f]{2})", "%25")
-    return F.lower(F.try_url_decode(escaped))
+    decoded = F.try_url_decode(escaped)
+    # The decoder puts a replacement character for bytes that are not UTF-8.
+    spoilt = decoded.contains("\ufffd") & ~name.rlike("(?i)%EF%BF%BD|\ufffd")
+    return F.lower(F.when(spoilt, name).otherwise(decoded))
 
 
 def field_maps_device_id(user_agent: Column) -> Column:

@@ -24,6 +24,7 @@ from ..functions.identity import (
 )
 from ..functions.measures import is_failed, is_success, ms_to_seconds
 from ..functions.text import (
+    REFERER_LENGTH,
     normalize_referer,
     normalize_root,
     normalize_uri_stem,
@@ -121,13 +122,19 @@ _SECONDS_WIDTH, _POSITION_WIDTH, _SEPARATOR = 12, 19, "\u0001"
 _LOGIN_PARTS = rf"(?s)\A[^{_SEPARATOR}]*{_SEPARATOR}[^{_SEPARATOR}]*{_SEPARATOR}.{{{2 * _POSITION_WIDTH}}}(.*)\z"
 
 
+def _seconds_of_era(ts: Column) -> Column:
+    """Seconds since the year 1 of a time without zone: never negative, the same in any session zone."""
+    days = F.datediff(F.to_date(ts), F.lit("0001-01-01").cast("date")).cast("long")
+    return days * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def with_login(requests: DataFrame, settings: HarvestSettings) -> DataFrame:
     """Adds ``login``: a successful login as one text that sorts by time, file and place in the
     file and ends in the username; NULL for any other request."""
     name = F.when(_ok(), login_username(F.col("uri_stem"), settings.portal_web_adaptor_name))
     text = F.format_string(
         f"%0{_SECONDS_WIDTH}d{_SEPARATOR}%s{_SEPARATOR}%0{_POSITION_WIDTH}d%0{_POSITION_WIDTH}d%s",
-        F.unix_seconds(F.col("utc_ts").cast("timestamp")),
+        _seconds_of_era(F.col("utc_ts")),
         F.col("file"),
         F.col("block_start"),
         F.col("line_id"),
@@ -183,8 +190,8 @@ def aggregate_by_survey123_device(
 
 # --- all ten in one pass ---------------------------------------------------------------------
 
-INVALID_LINES = "invalid_lines"
-_LENGTH_WIDTH = 4
+INVALID_LINES, VALID_LINES = "invalid_lines", "valid_lines"
+_LENGTH_WIDTH = len(str(REFERER_LENGTH))
 
 
 def _packed_keys(settings: HarvestSettings) -> dict[str, Column]:
@@ -230,7 +237,7 @@ def _unpacked_keys() -> list[Column]:
         of(S.BY_PORTAL_ITEM, value=key).alias("portal_item_id"),
         of(*S.DEVICE_TABLES, value=device).alias("device_id"),
         of(*S.DEVICE_TABLES, value=F.nullif(login, F.lit(""))).alias("login"),
-        of(INVALID_LINES, value=key).alias("file"),
+        of(INVALID_LINES, VALID_LINES, value=key).alias("file"),
     ]
 
 
@@ -242,11 +249,11 @@ def aggregate_all(requests: DataFrame, settings: HarvestSettings) -> DataFrame:
     rows ``(table, date, key)`` and one hash map, combines them within each task, and shuffles
     grouped rows once. Keys are taken apart again on the grouped rows.
 
-    ``requests`` may include rejected lines (``reason`` set, ``local_date`` NULL); they are only
-    counted, per file, under the name ``invalid_lines``.
+    ``requests`` may include rejected lines (``reason`` set) and lines without ``local_date``. Those
+    marked ``counted`` are counted per file, under the names ``valid_lines`` and ``invalid_lines``.
     """
-    if "reason" not in requests.columns:
-        requests = requests.withColumn("reason", F.lit(None).cast("string"))
+    if "counted" not in requests.columns:
+        requests = requests.withColumns({"reason": F.lit(None).cast("string"), "counted": F.lit(False)})
     prepared = with_login(requests, settings).select(
         "*",
         normalize_uri_stem(F.col("uri_stem")).alias("k_uri"),
@@ -254,12 +261,15 @@ def aggregate_all(requests: DataFrame, settings: HarvestSettings) -> DataFrame:
         field_maps_device_id(F.col("user_agent")).alias("k_field"),
         survey123_device_id(F.col("user_agent")).alias("k_survey"),
     )
-    keys = _packed_keys(settings) | {INVALID_LINES: F.when(F.col("reason").isNotNull(), F.col("file"))}
+    keys = _packed_keys(settings) | {
+        INVALID_LINES: F.when(F.col("counted") & F.col("reason").isNotNull(), F.col("file")),
+        VALID_LINES: F.when(F.col("counted") & F.col("reason").isNull(), F.col("file")),
+    }
     tags = {t: str(i) for i, t in enumerate(keys)}
     wide = prepared.select("local_date", "status", _time().alias("ms"), *[k.alias(tags[t]) for t, k in keys.items()])
     grouped = (
         wide.unpivot(["local_date", "status", "ms"], list(tags.values()), "tag", "key")
-        .where(F.col("key").isNotNull() & (F.col("local_date").isNotNull() | (F.col("tag") == tags[INVALID_LINES])))
+        .where(F.col("key").isNotNull() & (F.col("local_date").isNotNull() | F.col("tag").isin(tags[INVALID_LINES], tags[VALID_LINES])))
         .groupBy("tag", "local_date", "key")
         .agg(
             F.count(F.lit(1)).alias("hits"),

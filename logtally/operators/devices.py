@@ -20,16 +20,21 @@ def donors(table: DataFrame) -> DataFrame:
     )
 
 
-def backfill_usernames(table: DataFrame) -> DataFrame:
-    """The device table with every missing username taken from its donor, on any date; known
-    usernames are never changed."""
+def fill_usernames(table: DataFrame, known: DataFrame) -> DataFrame:
+    """``table`` with missing usernames taken from ``known`` donors."""
     return (
-        table.join(donors(table), "device_id", "left")
+        table.join(known, "device_id", "left")
         .withColumn("username", F.coalesce("username", "donor"))
         .select(*table.columns)
     )
 
 
+def backfill_usernames(table: DataFrame) -> DataFrame:
+    """The device table with every missing username taken from its donor, on any date; known
+    usernames are never changed."""
+    return fill_usernames(table, donors(table))
+
+
 def backfilled_dates(table: DataFrame) -> DataFrame:
     """``(local_date)`` of the partitions a back-fill would change."""
     return (

@@ -4,7 +4,8 @@ The layout can change at any line of a file, so it has to be carried forward ove
 that follow. Doing that with a window per file would put a whole file into one task. Instead one
 light pass condenses every input split to a single row (its header lines, line count and first
 line id); carrying the layout from split to split is then a window over those few rows, and the
-lines get theirs through an equi join on ``(file, block_start)``, mostly with one row each.
+lines get theirs through an equi join on ``(file, block_start)``, mostly with one row each. Whether
+that side is broadcast is left to its size.
 """
 
 from __future__ import annotations
@@ -22,10 +23,6 @@ REQUIRED_FIELDS = ("date", "time", "cs-uri-stem", "cs(User-Agent)", "cs(Referer)
 FORWARDED_FOR_FIELD = "X-Forwarded-For"
 NO_HEADER_REASON = "no #Fields header block found"
 
-# Layout rows up to this many are broadcast (about 200 bytes each); beyond it the join shuffles
-# on ``(file, block_start)``, whose groups are no larger than an input split.
-BROADCAST_ROWS = 1_000_000
-
 
 def is_header(line: Column) -> Column:
     return F.lower(F.substring(line, 1, len(HEADER_PREFIX))) == HEADER_PREFIX
@@ -117,16 +114,23 @@ def _missing_fields(header_line: Column) -> Column:
 def split_layouts(splits: DataFrame) -> DataFrame:
     """``(file, file_utc_date, block_start, line_no_base, from_id, to_id, layout)``: the stretches of lines within
     each split that one layout governs, the first one carried in from the splits before. A header
-    that repeats the layout before it starts no new stretch, so most splits have one row."""
+    that repeats the layout before it starts no new stretch, so most splits have one row. The last
+    stretch ends where the split does."""
     inside = F.transform("headers", lambda h: F.struct(h["line_id"].alias("from_id"), layout(h["line"]).alias("layout")))
     own = splits.select("file", "file_utc_date", "block_start", "first_id", "n_lines", inside.alias("inside"))
     carried = F.last(F.try_element_at("inside", F.lit(-1))["layout"], ignorenulls=True).over(_before())
-    opening = own.select("*", carried.alias("carried"), (_first_line_no() - F.col("first_id")).alias("line_no_base"))
+    opening = own.select(
+        "*",
+        carried.alias("carried"),
+        (_first_line_no() - F.col("first_id")).alias("line_no_base"),
+        (F.col("first_id") + F.col("n_lines")).alias("end_id"),
+    )
     stretches = opening.select(
         "file",
         "file_utc_date",
         "block_start",
         "line_no_base",
+        "end_id",
         F.inline(
             F.concat(
                 # Just before the split's first line, which may be a header itself.
@@ -138,22 +142,29 @@ def split_layouts(splits: DataFrame) -> DataFrame:
     in_split = W.partitionBy("file", "block_start").orderBy("from_id")
     changed = ~F.col("layout").eqNullSafe(F.lag("layout").over(in_split)) | (F.row_number().over(in_split) == 1)
     kept = stretches.withColumn("changed", changed).where("changed").drop("changed")
-    return kept.withColumn("to_id", F.lead("from_id").over(in_split))
+    return kept.withColumn("to_id", F.coalesce(F.lead("from_id").over(in_split), "end_id")).drop("end_id")
+
 
+UNKNOWN_SPLIT = "a line lies outside all splits that the first pass over the text has seen"
 
-def header_blocks(lines: DataFrame, layouts: DataFrame, broadcast: bool) -> DataFrame:
+
+def header_blocks(lines: DataFrame, layouts: DataFrame) -> DataFrame:
     """Data lines with ``layout``, the one of the header governing them (NULL before the first
-    header). ``layouts`` must hold every split to read; files left out of it are left out here."""
+    header). ``layouts`` must hold every split of every file to read; those marked ``left_out`` give
+    no lines. A line that no stretch covers fails the job: the text was cut in another way than when
+    the layouts were made, and dropping it would lose it without a trace."""
     side = layouts.withColumnsRenamed({"file": "in_file", "block_start": "in_block"})
     governs = (
         (F.col("file") == F.col("in_file"))
         & (F.col("block_start") == F.col("in_block"))
         & (F.col("line_id") >= F.col("from_id"))
-        & (F.col("to_id").isNull() | (F.col("line_id") < F.col("to_id")))
+        & (F.col("line_id") < F.col("to_id"))
     )
+    found = F.when(F.col("in_file").isNull(), F.raise_error(F.lit(UNKNOWN_SPLIT))).otherwise(F.col("layout"))
     return (
         lines.where(is_data(F.col("line")))
-        .join(F.broadcast(side) if broadcast else side, governs)
+        .join(side, governs, "left")
+        .where(~F.coalesce("left_out", F.lit(False)))
         .select(
             "file",
             "file_utc_date",
@@ -161,11 +172,6 @@ def header_blocks(lines: DataFrame, layouts: DataFrame, broadcast: bool) -> Data
             "line_id",
             (F.col("line_no_base") + F.col("line_id")).alias("line_no"),
             "line",
-            "layout",
+            found.alias("layout"),
         )
     )
-
-
-def fits_broadcast(layouts: DataFrame) -> bool:
-    """Whether the layout rows are few enough to send to every executor; counted, not guessed."""
-    return layouts.count() <= BROADCAST_ROWS

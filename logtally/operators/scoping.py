@@ -12,7 +12,7 @@ def local_ts(utc_ts: Column, offset_s: Column) -> Column:
 
 
 def assign_local_date(
-    requests: DataFrame, calendar: DataFrame, exact_zone: str | None = None, keep_rejects: bool = False
+    requests: DataFrame, calendar: DataFrame, exact_zone: str | None = None, count_lines: bool = False
 ) -> DataFrame:
     """Adds ``local_date`` and ``local_ts`` and keeps the requests that fall on a target date.
 
@@ -21,12 +21,13 @@ def assign_local_date(
     target date has one fixed offset, so around a change of clocks an hour may count for two
     dates or for none. ``exact_zone`` names a zone to convert each instant exactly instead.
 
-    ``keep_rejects`` passes rejected lines (``reason`` set) through once, without a date.
+    ``count_lines`` adds ``counted``, which is true in just one row of every line, rejected or not
+    and on whatever date; lines on no target date then come without one.
     """
     by_file = calendar.withColumnRenamed("utc_date", "file_utc_date")
-    if keep_rejects:
+    if count_lines:
         first = F.min("local_date").over(W.partitionBy("file_utc_date")) == F.col("local_date")
-        by_file = by_file.withColumn("carries_rejects", first)
+        by_file = by_file.withColumn("counted", first)
     joined = requests.join(F.broadcast(by_file), "file_utc_date")
     if exact_zone:
         local = F.convert_timezone(F.lit("UTC"), F.lit(exact_zone), F.col("utc_ts"))
@@ -34,11 +35,11 @@ def assign_local_date(
         local = local_ts(F.col("utc_ts"), F.col("offset_s"))
     dated = joined.withColumn("local_ts", local)
     on_date = F.to_date("local_ts") == F.col("local_date")
-    if not keep_rejects:
+    if not count_lines:
         return dated.where(on_date).drop("offset_s")
-    valid = F.col("reason").isNull()
+    taken = F.col("reason").isNull() & on_date
     return (
-        dated.where((valid & on_date) | (~valid & F.col("carries_rejects")))
-        .withColumn("local_date", F.when(valid, F.col("local_date")))
-        .drop("offset_s", "carries_rejects")
+        dated.where(taken | F.col("counted"))
+        .withColumn("local_date", F.when(taken, F.col("local_date")))
+        .drop("offset_s")
     )

@@ -2,14 +2,15 @@
 
 Two passes over the text. The first condenses each input split to one row; from it come the
 skipped files, the field layouts in force and the line counts. The second parses every line once
-and computes all tables in one aggregation, so only aggregated rows are shuffled.
+and computes all tables in one aggregation, so only aggregated rows are shuffled. Lines are counted
+in both passes; a date whose files don't come out alike is refused.
 """
 
 from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -19,32 +20,38 @@ from ..config import HarvestSettings
 from ..operators import aggregates as A
 from ..operators import devices as D
 from ..operators import headers as H
-from ..operators.parsing import parse_lines
+from ..operators.parsing import parse_lines, reject_lines
 from ..operators.scoping import assign_local_date
-from ..session import write_scratch
-from ..sinks.store import AggregateStore, Manifest
+from ..session import scratch_run, write_scratch
+from ..sinks.store import AggregateStore, Manifest, as_stored, backfilled_batch
 from ..sources.calendar import calendar
-from ..sources.discovery import discover_files, missing_utc_dates
-from ..sources.lines import read_log_lines
+from ..sources.discovery import discover_files
+from ..sources.lines import fixed_splits, read_log_lines
 
 
 @dataclass
 class HarvestResult:
-    """What happened, per local date. All lists hold at most a few rows per date."""
+    """What happened, per local date. All lists hold at most a few rows per date.
+
+    ``unreadable`` has the UTC dates with a file that can't be read, and why. ``backfilled`` are older
+    dates whose device rows got a username."""
 
     status: list[Row] = field(default_factory=list)
     summary: list[Row] = field(default_factory=list)
     attribution: dict[str, list[Row]] = field(default_factory=dict)
+    unreadable: dict[date, str] = field(default_factory=dict)
+    lost: list[date] = field(default_factory=list)
+    backfilled: set[date] = field(default_factory=set)
     manifest: Manifest | None = None
     elapsed_second: float = 0.0
 
     @property
     def replaced(self) -> list[date]:
-        return [r.local_date for r in self.status if r.complete]
+        return [r.local_date for r in self.status if r.complete and r.local_date not in self.lost]
 
     @property
     def refused(self) -> list[date]:
-        return [r.local_date for r in self.status if not r.complete]
+        return [r.local_date for r in self.status if not r.complete or r.local_date in self.lost]
 
 
 def date_status(cal: DataFrame, files: DataFrame, skipped: DataFrame) -> DataFrame:
@@ -77,10 +84,9 @@ class Text:
     splits: DataFrame
     skipped: DataFrame
     layouts: DataFrame
-    broadcast: bool
 
     def parsed(self) -> DataFrame:
-        return parse_lines(H.header_blocks(self.lines, self.layouts, self.broadcast))
+        return parse_lines(H.header_blocks(self.lines, self.layouts))
 
 
 def index_text(lines: DataFrame, files: DataFrame | None = None) -> Text:
@@ -96,15 +102,45 @@ def index_text(lines: DataFrame, files: DataFrame | None = None) -> Text:
             without_lines.select("file", "file_utc_date", F.lit(H.NO_HEADER_REASON).alias("reason"))
         )
     skipped = write_scratch(skipped, "skipped")
-    layouts = write_scratch(H.split_layouts(splits).join(skipped.select("file"), "file", "left_anti"), "layouts")
-    return Text(lines, files, splits, skipped, layouts, H.fits_broadcast(layouts))
-
-
-def open_logs(spark: SparkSession, log_dir: str, start: date, end: date) -> Text:
-    """Files and lines for the local dates ``[start, end]``, with a day to spare on both sides."""
-    days = [start + timedelta(days=i) for i in range(-1, (end - start).days + 2)]
-    files = write_scratch(discover_files(spark, log_dir, days), "files")
-    return index_text(read_log_lines(spark, log_dir, days), files)
+    marked = H.split_layouts(splits).join(skipped.select("file", F.lit(True).alias("left_out")), "file", "left")
+    return Text(lines, files, splits, skipped, write_scratch(marked, "layouts"))
+
+
+def open_logs(spark: SparkSession, log_dir: str, utc_dates: list[date]) -> tuple[Text, dict[date, str]]:
+    """Files and lines of the UTC dates, and the dates left out because a file can't be read.
+
+    Reading fails as a whole, so the dates to blame are found by reading halves of what failed."""
+    unreadable: dict[date, str] = {}
+    dates = list(utc_dates)
+    while True:
+        files = write_scratch(discover_files(spark, log_dir, dates), "files")
+        try:
+            return index_text(read_log_lines(spark, log_dir, dates), files), unreadable
+        except Exception as e:
+            found = _unreadable_dates(spark, log_dir, dates) if _is_read_failure(e) else {}
+            if not found:
+                raise
+            unreadable |= found
+            dates = [d for d in dates if d not in unreadable]
+
+
+def _is_read_failure(e: Exception) -> bool:
+    return "FAILED_READ_FILE" in str(e)
+
+
+def _unreadable_dates(spark: SparkSession, log_dir: str, dates: list[date]) -> dict[date, str]:
+    if not dates:
+        return {}
+    try:
+        read_log_lines(spark, log_dir, dates).agg(F.sum(F.length("line"))).collect()
+        return {}
+    except Exception as e:
+        if not _is_read_failure(e):
+            raise
+        if len(dates) == 1:
+            return {dates[0]: str(e).split("SQLSTATE")[0].strip()[:500]}
+        half = len(dates) // 2
+        return _unreadable_dates(spark, log_dir, dates[:half]) | _unreadable_dates(spark, log_dir, dates[half:])
 
 
 def harvest(
@@ -115,97 +151,102 @@ def harvest(
     store: AggregateStore,
     settings: HarvestSettings = HarvestSettings(),
     before_commit=None,
+    diagnostics: str | None = None,
 ) -> HarvestResult:
     """Recompute and replace the aggregates of every local date in ``[start, end]`` whose files
-    are all present and readable; other dates are left as they are and reported."""
+    are all present and readable; other dates are left as they are and reported.
+
+    With ``diagnostics``, a folder, skipped files go to ``<diagnostics>/skipped`` and rejected lines of
+    all other files to ``<diagnostics>/rejects``, each with its reason; that reads the text once more.
+    """
     began = time.monotonic()
-    cal = calendar(spark, start, end, settings.local_time_zone)
-    text = open_logs(spark, log_dir, start, end)
-    result = HarvestResult(date_status(cal, text.files, text.skipped).orderBy("local_date").collect())
-    dates = result.replaced
-    if dates:
-        base, batch = store.manifest(), store.new_batch()
-        cal = cal.where(F.col("local_date").isin(dates))
-        scoped = assign_local_date(
-            text.parsed(), cal, settings.local_time_zone if settings.exact_zone else None, keep_rejects=True
-        )
-        store.write(_by_grain(A.aggregate_all(scoped, settings)), batch)
-        replaced: dict[str, list[date]] = {
-            name: dates
-            for name in S.ALL_TABLES
-            if settings.compute_by_referer_and_uri or name != S.BY_REFERER_AND_URI
-        }
-        for name in S.DEVICE_TABLES:
-            changed, counts = _write_devices(store, base, batch, name, dates)
-            replaced[name] = [*dates, *changed]
-            result.attribution[name] = counts
-        result.summary = _summary(store, batch, text, cal).collect()
-        if before_commit:
-            before_commit()
-        result.manifest = store.commit(base, batch, replaced)
+    with fixed_splits(spark), scratch_run(spark):
+        result = _harvest(spark, log_dir, calendar(spark, start, end, settings.local_time_zone), store, settings, before_commit, diagnostics)
     result.elapsed_second = time.monotonic() - began
     return result
 
 
-LOGIN_GRAIN = "_logins"
-
-
-def _by_grain(grouped: DataFrame) -> DataFrame:
-    """Device rows still hold one row per login; keep them under a name of their own."""
-    name = F.col("table_name")
-    return grouped.withColumn(
-        "table_name", F.when(name.isin(*S.DEVICE_TABLES), F.concat(name, F.lit(LOGIN_GRAIN))).otherwise(name)
+def _harvest(
+    spark: SparkSession,
+    log_dir: str,
+    cal: DataFrame,
+    store: AggregateStore,
+    settings: HarvestSettings,
+    before_commit,
+    diagnostics: str | None,
+) -> HarvestResult:
+    utc_dates = sorted({r.utc_date for r in cal.select("utc_date").collect()})
+    text, unreadable = open_logs(spark, log_dir, utc_dates)
+    result = HarvestResult(date_status(cal, text.files, text.skipped).orderBy("local_date").collect(), unreadable=unreadable)
+    if diagnostics:
+        text.skipped.write.mode("overwrite").parquet(f"{diagnostics}/skipped")
+        reject_lines(text.parsed()).write.mode("overwrite").parquet(f"{diagnostics}/rejects")
+    if not result.replaced:
+        return result
+    base, batch = store.manifest(), store.new_batch()
+    wanted = cal.where(F.col("local_date").isin(result.replaced))
+    scoped = assign_local_date(
+        text.parsed(), wanted, settings.local_time_zone if settings.exact_zone else None, count_lines=True
     )
+    grouped = write_scratch(A.aggregate_all(scoped, settings), "grouped", "table_name")
+    counts = write_scratch(_line_counts(text, grouped, wanted), "counts")
+    result.lost = [
+        r.local_date
+        for r in counts.join(F.broadcast(wanted), F.col("file_utc_date") == F.col("utc_date"))
+        .where(F.col("total") != F.col("valid") + F.col("invalid"))
+        .select("local_date")
+        .distinct()
+        .collect()
+    ]
+    dates = result.replaced
+    if not dates:
+        return result
+    flat = [
+        name
+        for name in S.ALL_TABLES
+        if name not in S.DEVICE_TABLES and (settings.compute_by_referer_and_uri or name != S.BY_REFERER_AND_URI)
+    ]
+    on_dates = grouped.where(F.col("local_date").isin(dates))
+    store.write(as_stored(on_dates.where(F.col("table_name").isin(flat)), F.col("table_name")), batch)
+    replaced: dict[str, list[date]] = {name: dates for name in flat}
+    for name in S.DEVICE_TABLES:
+        new = write_scratch(A.first_login(on_dates.where(F.col("table_name") == name)), "devices")
+        filled, changed = backfilled_batch(store, base, name, new, dates)
+        filled = write_scratch(filled, "filled")
+        store.write(as_stored(filled, F.lit(name)), batch)
+        replaced[name] = [*dates, *changed]
+        result.backfilled |= set(changed)
+        result.attribution[name] = (
+            D.attribution_counts(new, filled.where(F.col("local_date").isin(dates))).orderBy("local_date").collect()
+        )
+    result.summary = _summary(counts, wanted.where(F.col("local_date").isin(dates))).collect()
+    if before_commit:
+        before_commit()
+    result.manifest = store.commit(base, batch, replaced)
+    return result
 
 
-def _read_batch(store: AggregateStore, batch: str, name: str) -> DataFrame | None:
-    path = f"{store.batch_path(batch)}/table_name={name}"
-    if not store.files.exists(path):
-        return None
-    return store.spark.read.option("basePath", path).parquet(path).withColumn("local_date", F.col("local_date").cast("date"))
-
-
-def _as_stored(df: DataFrame, name: str) -> DataFrame:
-    return df.select(
-        *[
-            F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c)
-            for c, t in S.STORED_COLUMNS.items()
-        ],
-        F.lit(name).alias("table_name"),
-        "local_date",
+def _line_counts(text: Text, grouped: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(file, file_utc_date, total, valid, invalid)``: lines the first pass has seen and what the second
+    made of them, for the files of the wanted dates."""
+    needed = wanted.select(F.col("utc_date").alias("file_utc_date")).distinct()
+    totals = text.splits.join(F.broadcast(needed), "file_utc_date").groupBy("file", "file_utc_date").agg(F.sum("data_lines").alias("total"))
+    of = lambda name: F.coalesce(F.sum(F.when(F.col("table_name") == name, F.col("hits"))), F.lit(0))
+    seen = (
+        grouped.where(F.col("table_name").isin(A.VALID_LINES, A.INVALID_LINES))
+        .groupBy("file")
+        .agg(of(A.VALID_LINES).alias("valid"), of(A.INVALID_LINES).alias("invalid"))
+    )
+    return totals.join(seen, "file", "left").select(
+        "file", "file_utc_date", "total", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("valid", "invalid")]
     )
 
 
-def _write_devices(
-    store: AggregateStore, base: Manifest, batch: str, name: str, dates: list[date]
-) -> tuple[list[date], list[Row]]:
-    """Settle the logins of the new dates, back-fill usernames over all dates, and write the new
-    dates plus every older one the back-fill changes."""
-    per_login = _read_batch(store, batch, name + LOGIN_GRAIN)
-    if per_login is None:
-        return [], []
-    new = write_scratch(A.first_login(per_login), "devices")
-    old = store.read_stored(name, manifest=base).where(~F.col("local_date").isin(dates)).select(*new.columns)
-    table = old.unionByName(new)
-    changed = [r.local_date for r in D.backfilled_dates(table).where(~F.col("local_date").isin(dates)).collect()]
-    filled = D.backfill_usernames(table).where(F.col("local_date").isin([*dates, *changed]))
-    store.write(_as_stored(filled, name), batch)
-    persisted = _read_batch(store, batch, name).where(F.col("local_date").isin(dates))
-    return changed, D.attribution_counts(new, persisted).orderBy("local_date").collect()
-
-
-def _summary(store: AggregateStore, batch: str, text: Text, cal: DataFrame) -> DataFrame:
+def _summary(counts: DataFrame, cal: DataFrame) -> DataFrame:
     """``(local_date, total, valid, invalid)`` over the lines of each date's files."""
-    totals = text.splits.groupBy("file", "file_utc_date").agg(F.sum("data_lines").alias("total"))
-    rejected = _read_batch(store, batch, A.INVALID_LINES)
-    if rejected is None:
-        counted = totals.withColumn("invalid", F.lit(0).cast("long"))
-    else:
-        counted = totals.join(rejected.select("file", F.col("hits").alias("invalid")), "file", "left")
     return (
-        counted.join(F.broadcast(cal), F.col("file_utc_date") == F.col("utc_date"))
+        counts.join(F.broadcast(cal), F.col("file_utc_date") == F.col("utc_date"))
         .groupBy("local_date")
-        .agg(F.sum("total").alias("total"), F.coalesce(F.sum("invalid"), F.lit(0)).alias("invalid"))
-        .select("local_date", "total", (F.col("total") - F.col("invalid")).alias("valid"), "invalid")
+        .agg(*[F.sum(c).alias(c) for c in ("total", "valid", "invalid")])
         .orderBy("local_date")
     )

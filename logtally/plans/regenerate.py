@@ -95,9 +95,9 @@ def harvest_and_regenerate(
     report_settings: ReportSettings,
     now_utc: datetime,
 ) -> HarvestResult:
-    """Harvest, then rebuild the reports of the last date's year. A harvest of one single date
-    that is refused leaves the reports alone."""
+    """Harvest, then rebuild the reports of every year it touched, each in ``<output>/<year>``. A
+    harvest whose dates are all refused leaves the reports alone."""
     result = harvest(spark, log_dir, start, end, store, harvest_settings)
-    if result.replaced:
-        regenerate(store, output, report_settings, now_utc, end.year)
+    for year in sorted({d.year for d in [*result.replaced, *result.backfilled]}):
+        regenerate(store, f"{output.rstrip('/')}/{year}", report_settings, now_utc, year)
     return result

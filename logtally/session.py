@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,11 +54,27 @@ def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+_run_folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("run_folder", default=None)
+
+
+@contextlib.contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """While open, scratch tables go to one folder, which is deleted at the end."""
+    folder = new_scratch_dir(spark, "run")
+    token = _run_folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _run_folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def new_scratch_dir(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_run_folder.get() or scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def write_scratch(df: DataFrame, label: str) -> DataFrame:
+def write_scratch(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Materialize ``df`` as parquet in the shared folder and read it back.
 
     Cuts the lineage: lost executors cost a re-read, not a recomputation from raw text. The
@@ -63,5 +82,5 @@ def write_scratch(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_scratch_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

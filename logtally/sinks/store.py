@@ -18,11 +18,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators import devices as D
 from ..operators.aggregates import as_table
+from ..session import write_scratch
 from .files import SharedFiles
 
 
@@ -131,13 +133,45 @@ class AggregateStore:
                 self.files.delete(path)
 
 
+def as_stored(df: DataFrame, table_name: Column) -> DataFrame:
+    """Rows in the stored layout; columns they lack are NULL."""
+    return df.select(
+        *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in S.STORED_COLUMNS.items()],
+        table_name.alias("table_name"),
+        "local_date",
+    )
+
+
+def backfilled_batch(
+    store: AggregateStore, base: Manifest, name: str, new: DataFrame, dates: list[date]
+) -> tuple[DataFrame, list[date]]:
+    """The rows to write when ``new`` takes the place of ``dates`` in a device table: they and every older
+    date on which a missing username can now be filled, filled; and those older dates.
+
+    Donors are computed once from the whole history and kept as one row per device.
+    """
+    old = store.read_stored(name, manifest=base).where(~F.col("local_date").isin(dates)).select(*new.columns)
+    donors = write_scratch(D.donors(old.unionByName(new)), "donors")
+    unnamed = old.where(F.col("username").isNull()).select("device_id", "local_date")
+    changed = sorted(r.local_date for r in unnamed.join(donors, "device_id", "left_semi").select("local_date").distinct().collect())
+    table = old.where(F.col("local_date").isin(changed)).unionByName(new) if changed else new
+    return D.fill_usernames(table, donors), changed
+
+
 def replace_daily_batch(
     store: AggregateStore, batch: dict[str, DataFrame | None], dates: Iterable[date]
 ) -> Manifest:
     """Replace the given dates of all tables at once from frames in the stored layout. A table
-    mapped to ``None`` is left alone; one with no rows for a date loses that date."""
+    mapped to ``None`` is left alone; one with no rows for a date loses that date. Usernames of device
+    tables are back-filled over all dates in the same commit."""
     base, batch_id, dates = store.manifest(), store.new_batch(), list(dates)
-    written = {name: df for name, df in batch.items() if df is not None}
-    for df in written.values():
-        store.write(df.where(F.col("local_date").isin(dates)), batch_id)
-    return store.commit(base, batch_id, {name: dates for name in written})
+    replaced: dict[str, list[date]] = {}
+    for name, df in batch.items():
+        if df is None:
+            continue
+        rows, replaced[name] = df.where(F.col("local_date").isin(dates)), dates
+        if name in S.DEVICE_TABLES:
+            rows, changed = backfilled_batch(store, base, name, rows, dates)
+            replaced[name] = [*dates, *changed]
+        store.write(rows, batch_id)
+    return store.commit(base, batch_id, replaced)

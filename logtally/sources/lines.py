@@ -8,7 +8,8 @@ never larger than one input split, however uneven the files are.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import contextlib
+from collections.abc import Iterable, Iterator
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,34 @@ from pyspark.sql import functions as F
 from .discovery import name_filter
 
 
+_SPLIT_COUNT = "spark.sql.files.minPartitionNum"
+
+
+@contextlib.contextmanager
+def fixed_splits(spark: SparkSession) -> Iterator[None]:
+    """While open, files are cut alike in every scan, whatever cores come and go.
+
+    Spark sizes the splits of small inputs by the cores present when a scan is planned; here that
+    number is taken once. Without it positions of one pass would not be those of the next.
+    """
+    before = spark.conf.get(_SPLIT_COUNT, None)
+    if before is None:
+        cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+        spark.conf.set(_SPLIT_COUNT, cores or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SPLIT_COUNT)
+
+
 def read_log_lines(spark: SparkSession, directory: str, utc_dates: Iterable[date]) -> DataFrame:
     """``(file, block_start, line_id, line)`` of the needed files.
 
     ``\\r\\n``, ``\\r`` and ``\\n`` end a line; a byte-order mark is dropped. An unreadable file
-    fails the job. Use the one returned frame for every pass over the text: the file listing is
-    fixed when it is made, so positions agree between passes even while files grow.
+    fails the job. Use the one returned frame for every pass over the text, inside one
+    ``fixed_splits``: the file listing is fixed when the frame is made and files are then cut
+    alike, so positions agree between passes.
     """
     return (
         spark.read.option("pathGlobFilter", name_filter(utc_dates))

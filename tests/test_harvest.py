@@ -238,3 +238,130 @@ def test_regenerate_writes_tables_and_tsv(spark, tmp_path):
     assert "".join(p.read_text() for p in parts).splitlines()[1:] == ["mimas\t2\t1.75\t0.875", "oberon\t0\t0\t0"]
     evolution = spark.read.parquet(str(tmp_path / "out" / "root_evolution")).orderBy("range").collect()
     assert [(r["range"], r.mimas, r.oberon) for r in evolution] == [("all", 2, None), ("last-7-days", 2, None)]
+
+
+def zone(spark, name):
+    spark.conf.set("spark.sql.session.timeZone", name)
+
+
+def test_login_order_does_not_depend_on_the_session_zone(spark, tmp_path):
+    """02:30 does not exist in Edmonton on that day."""
+    log(tmp_path, "2024-03-10", ("02:30:00", LOGIN + "first", APP, 200, 10), ("03:10:00", LOGIN + "second", APP, 200, 10))
+    try:
+        for name in ("UTC", "America/Edmonton"):
+            zone(spark, name)
+            store, _ = run(spark, tmp_path, "2024-03-10", store=AggregateStore(spark, str(tmp_path / name)))
+            assert usernames(store) == {"2024-03-10": "first"}
+    finally:
+        zone(spark, "UTC")
+
+
+def test_cores_that_come_between_the_passes_lose_no_line(spark, tmp_path, monkeypatch):
+    from logtally.operators import headers as H
+    from logtally.plans import harvest as plan
+
+    log(tmp_path, "2024-03-05", *[("09:00:00", f"/{i % 50}", "UA", 200, 1) for i in range(30_000)])
+    index = plan.index_text
+
+    def cores_arrive(*args):
+        text = index(*args)
+        assert text.splits.count() > 1
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "32")
+        return text
+
+    monkeypatch.setattr(plan, "index_text", cores_arrive)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "4")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        store, result = run(spark, tmp_path, "2024-03-05")
+        assert [tuple(r) for r in result.summary] == [(date(2024, 3, 5), 30_000, 30_000, 0)]
+        assert store.read_table(S.BY_URI).agg(F.sum("hits")).first()[0] == 30_000
+        # Without the fixed plan the lines are not lost but the job fails.
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "4")
+        text = index(plan.read_log_lines(spark, str(tmp_path / "logs"), [date(2024, 3, 5)]))
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "32")
+        with pytest.raises(Exception, match=H.UNKNOWN_SPLIT):
+            text.parsed().select("uri_stem", "reason").collect()
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lines_that_differ_between_passes_refuse_the_date(spark, tmp_path, monkeypatch):
+    from logtally.plans import harvest as plan
+
+    log(tmp_path, "2024-03-05", ("09:00:00", "/a", "UA", 200, 1))
+    log(tmp_path, "2024-03-06", ("09:00:00", "/a", "UA", 200, 1), ("09:00:00", "/b", "UA", 200, 1))
+    parsed = plan.Text.parsed
+    monkeypatch.setattr(plan.Text, "parsed", lambda self: parsed(self).where("uri_stem <> '/b'"))
+    store, result = run(spark, tmp_path, "2024-03-05", "2024-03-06")
+    assert (result.replaced, result.refused) == ([date(2024, 3, 5)], [date(2024, 3, 6)])
+    assert set(store.manifest().dates(S.BY_URI)) == {"2024-03-05"}
+
+
+def break_file(folder, name):
+    """Leaves a checksum that does not fit, so reading the file fails."""
+    path = f"{folder}/.{name}.crc"
+    with open(path, "wb") as f:
+        f.write(b"crc\x00\x00\x00\x02\x00" + b"\x01\x02\x03\x04")
+
+
+def test_unreadable_file_refuses_its_dates_only(spark, tmp_path):
+    for day in ("2024-03-05", "2024-03-06", "2024-03-07"):
+        folder = log(tmp_path, day, ("09:00:00", "/a", "UA", 200, 1))
+    break_file(folder, "u_ex240306_x.log")
+    store, result = run(spark, tmp_path, "2024-03-05", "2024-03-07")
+    assert (result.replaced, result.refused) == ([date(2024, 3, 5), date(2024, 3, 7)], [date(2024, 3, 6)])
+    assert list(result.unreadable) == [date(2024, 3, 6)] and "u_ex240306_x.log" in result.unreadable[date(2024, 3, 6)]
+    # A day that no wanted date needs is not even opened.
+    _, one = run(spark, tmp_path, "2024-03-05", store=store)
+    assert one.replaced == [date(2024, 3, 5)] and not one.unreadable
+
+
+def test_nothing_is_left_behind(spark, tmp_path):
+    from logtally.session import scratch_root
+
+    log(tmp_path, "2024-03-05", ("09:00:00", LOGIN + "ann", APP, 200, 10), ("x", "/bad", "UA", 200, 1))
+    store, result = run(spark, tmp_path, "2024-03-05", diagnostics=str(tmp_path / "why"))
+    tables = {p.name.split("=")[1] for p in (tmp_path / "store" / "data").glob("batch=*/table_name=*")}
+    assert tables <= set(S.ALL_TABLES)
+    import pathlib
+
+    assert not list(pathlib.Path(scratch_root(spark)).glob("run-*"))
+    rejects = spark.read.parquet(str(tmp_path / "why" / "rejects")).collect()
+    assert [(r.line_no, r.reason) for r in rejects] == [(3, "unparseable date/time '2024-03-05 x'")]
+    assert spark.read.parquet(str(tmp_path / "why" / "skipped")).count() == 0
+
+
+def test_reports_of_every_touched_year(spark, tmp_path):
+    from logtally.plans.regenerate import harvest_and_regenerate
+
+    for day in ("2023-12-31", "2024-01-01"):
+        log(tmp_path, day, ("09:00:00", "/mimas/rest/services/b/MapServer", "UA", 200, 1500))
+    store = AggregateStore(spark, str(tmp_path / "store"))
+    harvest_and_regenerate(
+        spark, str(tmp_path / "logs"), date(2023, 12, 31), date(2024, 1, 1), store, str(tmp_path / "out"), UTC,
+        ReportSettings("UTC", ("mimas",)), datetime(2024, 1, 2),
+    )
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"2023", "2024"}
+
+
+def test_backfill_inside_replace_daily_batch(spark, tmp_path):
+    d, e = date(2024, 3, 5), date(2024, 3, 6)
+
+    def rows(name, *values):
+        df = spark.createDataFrame(list(values), "device_id string, username string, hits long, time_taken_ms long, local_date date")
+        return df.select(
+            *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in S.STORED_COLUMNS.items()],
+            F.lit(name).alias("table_name"),
+            "local_date",
+        )
+
+    for order in ((d, e), (e, d)):
+        store = AggregateStore(spark, str(tmp_path / str(order[0])))
+        for day in order:
+            batch = {name: rows(name, ("x", "ann" if day == e else None, 1, 5, day), ("y", None, 1, 5, day)) for name in S.DEVICE_TABLES}
+            replace_daily_batch(store, batch, [day])
+        for name in S.DEVICE_TABLES:
+            got = {(r.local_date, r.device_id): r.username for r in store.read_table(name).collect()}
+            assert got == {(d, "x"): "ann", (e, "x"): "ann", (d, "y"): None, (e, "y"): None}

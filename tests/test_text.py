@@ -24,7 +24,7 @@ def write(directory, name, content):
 
 
 def text_of(spark, directory):
-    return open_logs(spark, str(directory), DAY, DAY)
+    return open_logs(spark, str(directory), [DAY])[0]
 
 
 def parsed(spark, directory):
@@ -136,8 +136,8 @@ def test_header_carries_over_input_splits(spark, tmp_path):
     try:
         text = index_text(read_log_lines(spark, str(tmp_path), [DAY]))
         assert text.splits.count() > 20
-        for broadcast in (True, False):
-            df = P.parse_lines(H.header_blocks(text.lines, text.layouts, broadcast))
+        for layouts in (text.layouts, text.layouts.hint("merge")):
+            df = P.parse_lines(H.header_blocks(text.lines, layouts))
             assert df.where("reason is not null").count() == 0
             got = df.orderBy("line_no").select("line_no", "uri_stem", "forwarded_for").collect()
             assert [tuple(r) for r in got] == expected
