@@ -3,9 +3,11 @@
 1. **Sets.** A document's set holds the 64-bit hashes of its distinct shingles. Documents with equal
    sets are one class, kept by its smallest id.
 2. **Blocks.** Sets of up to ``hi`` shingles that link differ in at most ``D = 2 hi (1-t)/(1+t)`` of
-   them. Dealt to ``D+1`` segments by hash, they agree on at least one whole segment, and meet in the
-   block of that segment's content. Sizes are banded, so that both sides use the same ``D``. A word
-   or passage that very many documents share makes no block: whole segments must be equal.
+   them. Dealt to ``D+1+c`` segments by hash, they agree on at least ``c+1`` whole segments, and meet
+   in the block of one's content. Sizes are banded, so that both sides use the same numbers. Empty
+   segments agree with any other empty one, so a set only enters their blocks if it has more than
+   ``c`` of them: two sets that agree on none but empty segments both do. Sharing a frequent shingle
+   or passage is not enough to meet, whole segments must be equal.
 3. **Pivots.** Each block's members are verified against its smallest. This is what keeps groups of
    thousands of copies linear: members it links leave nothing to find among themselves.
 4. **Signature trees.** Blocks that still hold more than one group become trees: leaves are members,
@@ -26,6 +28,7 @@ own set size); a null id is a group of its own (null); extra columns are ignored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -91,25 +94,37 @@ class Bands:
         self.widest = max(Fraction(3, 2), 1 / settings.threshold)
         self.upper = [1]
 
-    def of(self, size: int) -> list[tuple[int, int]]:
-        """(upper size, segments) of the bands in which a set of ``size`` meets its partners."""
+    def of(self, size: int) -> list[tuple[int, int, int]]:
+        """(upper size, segments, spare segments) of the bands in which a set of ``size`` meets its partners."""
         while self.upper[-1] < 2 * size + 2:
             self.upper.append(max(self.upper[-1] + 1, int(self.upper[-1] * self.widest)))
         at = next(i for i, hi in enumerate(self.upper) if hi >= size)
         reach = int(size / self.settings.threshold)
-        bands = [self.upper[at]] + ([self.upper[at + 1]] if reach > self.upper[at] else [])
         # One segment means equal sets, which are one class before.
-        return [(hi, d + 1) for hi in bands if (d := self.settings.differing(2 * hi))]
+        return [
+            (self.upper[i], d + 1 + (spare := self._spare(i, d + 1)), spare)
+            for i in ([at, at + 1] if reach > self.upper[at] else [at])
+            if (d := self.settings.differing(2 * self.upper[i]))
+        ]
+
+    def _spare(self, at: int, segments: int) -> int:
+        """As many empty segments as hardly any set of the band exceeds."""
+        smallest = float(self.settings.threshold) * (self.upper[at - 1] + 1 if at else 1)
+        empty = segments * math.exp(-smallest / segments)
+        return math.ceil(empty + 3 * math.sqrt(empty))
 
 
 def segment_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    keys = []
-    for upper, segments in bands.of(len(shingles)):
+    keys = [np.zeros(0, np.uint64)]
+    for upper, segments, spare in bands.of(len(shingles)):
         sums = np.zeros(segments, np.uint64)
         mixed = _mix(shingles)
-        np.add.at(sums, ((mixed >> np.uint64(33)) % np.uint64(segments)).astype(np.int64), mixed)
-        keys.append(_mix(_mix(sums) + _mix(np.arange(segments, dtype=np.uint64) + np.uint64(upper << 32))))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        at = ((mixed >> np.uint64(33)) % np.uint64(segments)).astype(np.int64)
+        np.add.at(sums, at, mixed)
+        names = _mix(_mix(sums) + _mix(np.arange(segments, dtype=np.uint64) + np.uint64(upper << 32)))
+        held = np.bincount(at, minlength=segments) > 0
+        keys.append(names if segments - held.sum() > spare else names[held])
+    return np.concatenate(keys)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -134,56 +149,60 @@ def longs_array(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _set_rows(docs: DataFrame, settings: JoinSettings) -> DataFrame:
-    """id, n, set_a, set_b (a 128-bit sum that stands for the set) and the block keys of each row."""
+    """doc_id, n, set_a, set_b (a 128-bit sum that stands for the set), the signature and the block keys
+    of each row."""
     bands = Bands(settings)
 
     def make(column: pa.Array) -> list[pa.Array]:
-        sizes, sum_a, sum_b, keys = [], [], [], []
+        sizes, sum_a, sum_b, bits, keys = [], [], [], [], []
         for words in list_slices(column):
             shingles = shingle_set(words, settings.shingle)
             sizes.append(len(shingles))
             sum_a.append(_mix(shingles).sum(dtype=np.uint64))
             sum_b.append(_mix(shingles ^ _M1).sum(dtype=np.uint64))
+            bits.append(signature(shingles))
             keys.append(segment_keys(shingles, bands) if len(shingles) else np.zeros(0, np.uint64))
         longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return [pa.array(sizes, pa.int64()), longs(sum_a), longs(sum_b), longs_array(keys)]
+        return [pa.array(sizes, pa.int64()), longs(sum_a), longs(sum_b), longs_array(bits), longs_array(keys)]
 
-    return add_columns(docs, ["doc_id"], [word_hashes()], "n long, set_a long, set_b long, keys array<long>", make)
+    return add_columns(
+        docs, ["doc_id"], [word_hashes()], "n long, set_a long, set_b long, bits array<long>, keys array<long>", make
+    )
 
 
 def _sets(docs: DataFrame, ids: DataFrame, settings: JoinSettings) -> DataFrame:
-    """id, n, shingles and signature of the documents whose id is among ``ids`` (column id, distinct)."""
+    """id, n and shingles of the documents whose id is among ``ids`` (column id, distinct)."""
     wide = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     likely, _ = split_by_membership(wide, F.col("doc_id"), ids, F.col("id"))
     members = likely.join(ids, likely["doc_id"] == ids["id"], "left_semi")
 
     def make(column: pa.Array) -> list[pa.Array]:
         sets = [shingle_set(words, settings.shingle) for words in list_slices(column)]
-        return [
-            pa.array([len(s) for s in sets], pa.int64()),
-            longs_array(sets),
-            longs_array([signature(s) for s in sets]),
-        ]
+        return [pa.array([len(s) for s in sets], pa.int64()), longs_array(sets)]
 
-    return add_columns(members, [F.col("doc_id").alias("id")], [word_hashes()], "n long, shingles array<long>, bits array<long>", make)
+    return add_columns(members, [F.col("doc_id").alias("id")], [word_hashes()], "n long, shingles array<long>", make)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
+def _links(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, settings: JoinSettings) -> DataFrame:
     """The pairs (a, b) whose sets link.
 
-    Sizes and signatures, which are narrow, are compared first: each differing bit is a differing
-    shingle at least. Only pairs that may link then fetch whole sets.
+    Sizes and signatures (id, n, bits), which are narrow, are compared first: each differing bit is a
+    differing shingle at least. Only for pairs that may link are whole sets made and compared.
     """
     p, q = settings.threshold.numerator, settings.threshold.denominator
-    narrow = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"set_{x}"))
+    narrow = lambda x: signatures.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    likely = (
+    likely = cut_lineage(
         pairs.join(narrow("a"), "a")
         .join(narrow("b"), "b")
         .where((q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")) & ((q + p) * differing <= (q - p) * (F.col("n_a") + F.col("n_b"))))
+        .select("a", "b")
+        .distinct()
     )
-    both = likely.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    ids = cut_lineage(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
+    sets = cut_lineage(_sets(docs, ids, settings))
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"set_{x}"))
+    both = likely.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     counted = both.select("a", "b", "n_a", "n_b", shared.alias("shared"))
     return counted.where(q * F.col("shared") >= p * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b").distinct()
@@ -312,22 +331,21 @@ def similarity_groups(docs: DataFrame, settings: JoinSettings = JoinSettings())
     met = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")).select(
         "key", "id", F.min("id").over(in_block).alias("pivot"), F.max("id").over(in_block).alias("last")
     )
-    blocks = cut_lineage(met.where(F.col("pivot") < F.col("last")).select("key", "id", "pivot", "last"))
-    members = cut_lineage(blocks.select("id").distinct())
-    sets = cut_lineage(_sets(docs, members, settings))
+    blocks = cut_lineage(met.where(F.col("pivot") < F.col("last")).select("key", "id", "pivot"))
+    signatures = known.select(F.col("doc_id").alias("id"), "n", "bits")
     by_pivot = blocks.where(F.col("id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut_lineage(_verified(by_pivot, sets, settings))
+    links = cut_lineage(_links(by_pivot, signatures, docs, settings))
     groups = cut_lineage(components(links))
 
     labelled = blocks.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     # Two members have been compared; with three or more of several groups, the tree goes on.
     state = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
     still = state.where((F.col("m") > 2) & (F.col("low") < F.col("high"))).select("key")
-    sizes = sets.select("id", "n", "bits").distinct()
-    open_blocks = cut_lineage(labelled.join(still, "key", "left_semi").join(sizes.select("id", "n"), "id").select("key", "id", "label", "n"))
+    sizes = signatures.select("id", "n").distinct()
+    open_blocks = cut_lineage(labelled.join(still, "key", "left_semi").join(sizes, "id").select("key", "id", "label", "n"))
     if not open_blocks.isEmpty():
-        planted = _plant(open_blocks, settings).join(sizes, ["id", "n"])
-        more = _verified(_tree_candidates(planted, settings).distinct(), sets, settings)
+        planted = _plant(open_blocks, settings).join(signatures, ["id", "n"])
+        more = _links(_tree_candidates(planted, settings).distinct(), signatures, docs, settings)
         links = cut_lineage(links.unionByName(more))
         groups = cut_lineage(components(links))
     exact = narrow.where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
