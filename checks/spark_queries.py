@@ -509,7 +509,7 @@ def stream_daily_totals(spark: SparkSession, sf: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     stream = spark.sql(AL.ACCESS_LOG_SQL, events=events, pages=pages)
     path = new_scratch_dir(spark, "totals")
-    daily.stream_daily_totals(stream, path, new_scratch_dir(spark, "stream"), offset_hours=-7).awaitTermination()
+    daily.stream_daily_totals(stream, path, new_scratch_dir(spark, "stream"), time_zone=ZONE).awaitTermination()
     return daily.read_daily_totals(spark, path)
 
 

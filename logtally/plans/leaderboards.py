@@ -16,7 +16,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import filters
-from ..operators.devices import resolve_username
 from ..schemas import BY_SERVICE, KEYS
 from .queries import sum_seconds
 
@@ -117,10 +116,12 @@ def top_portal_items_by_failed_hits(table: DataFrame, start: date, end: date) ->
 
 
 def name_top_devices(top: DataFrame, table: DataFrame) -> DataFrame:
-    """Usernames of an already limited device list. The list is at most ``BAR_SIZE`` per range,
-    so it is broadcast to cut the table down to those devices before their donors are sought."""
-    wanted = top.select("device_id").distinct()
-    return resolve_username(top, table.join(F.broadcast(wanted), "device_id", "left_semi"))
+    """Usernames of an already limited device list, all of whose devices are in ``table``. The list is
+    at most ``BAR_SIZE`` per range, so it is broadcast to the table, once; the donor of each of its rows
+    (as in ``devices.donors``) is then a minimum over few rows."""
+    donor = F.min(F.when(F.col("username").isNotNull(), F.struct("local_date", "username")))["username"]
+    rows = table.select("device_id", "local_date", "username").join(F.broadcast(top), "device_id")
+    return rows.groupBy(*top.columns).agg(donor.alias("username"))
 
 
 def top_devices(table: DataFrame, start: date, end: date) -> DataFrame:

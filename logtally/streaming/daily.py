@@ -14,17 +14,22 @@ from ..functions.measures import ms_to_seconds
 from ..functions.text import normalize_root
 
 
-def daily_totals(requests: DataFrame, offset_hours: int, watermark: str = "1 day") -> DataFrame:
-    """``(local_date, root, hits, time_taken_ms)``. A local day is a one-day window shifted by a
-    fixed offset, so its state is dropped once the watermark has passed its end."""
-    day = F.window("event_time", "1 day", startTime=f"{-offset_hours % 24} hours")
+def daily_totals(requests: DataFrame, time_zone: str, watermark: str = "1 day") -> DataFrame:
+    """``(local_date, root, hits, time_taken_ms)``. The event time is the wall clock of the zone, taken
+    for UTC, so a local day is a plain one-day window whatever its offset and length; its state is
+    dropped once the watermark has passed its end. The session's own zone plays no part."""
+    day = F.window("event_time", "1 day")
+    clock = F.col("local_clock")
+    epoch = F.lit("1970-01-01").cast("date")
+    seconds = F.datediff(F.to_date(clock), epoch).cast("long") * 86_400 + F.hour(clock) * 3_600 + F.minute(clock) * 60 + F.second(clock)
     return (
-        requests.withColumn("event_time", F.col("utc_ts").cast("timestamp"))
+        requests.withColumn("local_clock", F.convert_timezone(F.lit("UTC"), F.lit(time_zone), F.col("utc_ts")))
+        .withColumn("event_time", F.timestamp_seconds(seconds))
         .withWatermark("event_time", watermark)
         .groupBy(day.alias("day"), normalize_root(F.col("uri_stem")).alias("root"))
         .agg(F.count(F.lit(1)).alias("hits"), F.sum(F.col("time_taken_ms").cast("long")).alias("time_taken_ms"))
         .select(
-            F.to_date(F.col("day.start") + F.expr(f"INTERVAL '{offset_hours}' HOUR")).alias("local_date"),
+            F.date_add(epoch, F.floor(F.unix_seconds("day.start") / 86_400).cast("int")).alias("local_date"),
             "root",
             "hits",
             "time_taken_ms",
@@ -32,7 +37,7 @@ def daily_totals(requests: DataFrame, offset_hours: int, watermark: str = "1 day
     )
 
 
-def stream_daily_totals(requests: DataFrame, path: str, checkpoint: str, offset_hours: int) -> StreamingQuery:
+def stream_daily_totals(requests: DataFrame, path: str, checkpoint: str, time_zone: str) -> StreamingQuery:
     """Run over what has arrived and keep ``path`` up to date. Each micro-batch writes the totals
     it changed to a folder of its own; repeating one after a failure replaces that folder."""
 
@@ -40,7 +45,7 @@ def stream_daily_totals(requests: DataFrame, path: str, checkpoint: str, offset_
         changed.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return (
-        daily_totals(requests, offset_hours)
+        daily_totals(requests, time_zone)
         .writeStream.outputMode("update")
         .foreachBatch(upsert)
         .option("checkpointLocation", checkpoint)

@@ -77,7 +77,7 @@ def test_stream_keeps_totals_up_to_date(spark, tmp_path):
     def arrive(*rows):
         spark.createDataFrame([(datetime.fromisoformat(t), u, ms) for t, u, ms in rows], schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        daily.stream_daily_totals(stream, out, check, offset_hours=-7).awaitTermination()
+        daily.stream_daily_totals(stream, out, check, time_zone="America/Phoenix").awaitTermination()
         got = daily.read_daily_totals(spark, out).select(F.col("local_date").cast("string"), "root", "hits", "time_taken_second")
         return sorted(map(tuple, got.collect()))
 

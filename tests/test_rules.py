@@ -209,3 +209,9 @@ def test_labels_and_averages(spark):
         measures.average_time_or_null(F.lit(3.0), F.lit(0)).alias("series_average"),
     ).first()
     assert tuple(row) == ("s (mapserver)", "f/s (mapserver)", "d", "ann · d", "Unattributed » d", 0.0, None)
+
+
+def test_login_name_that_is_not_utf8_stays_raw(spark):
+    names = [("a%FFb", "a%ffb"), ("a%C3%A9", "aé"), ("a%EF%BF%BDb", "a\ufffdb"), ("a%FEb", "a%feb")]
+    got = evaluate(spark, lambda c: identity.login_username(F.concat(F.lit("/portal/sharing/rest/community/users/"), c), "portal"), [n for n, _ in names])
+    assert got == [want for _, want in names]
