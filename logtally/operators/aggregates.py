@@ -8,6 +8,8 @@ third of all rows is reduced to one row per task before anything is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,7 +147,7 @@ def with_login(requests: DataFrame, settings: HarvestSettings) -> DataFrame:
     )
 
 
-def first_login(per_login: DataFrame) -> DataFrame:
+def first_login(per_login: DataFrame, keys: Sequence[str] = ("local_date", "device_id")) -> DataFrame:
     """Device rows at login grain to one row per device and date: hits and time add up, and the
     earliest login of the date names the user.
 
@@ -153,7 +155,7 @@ def first_login(per_login: DataFrame) -> DataFrame:
     the grouping key first leaves that sort only one row per device, date and login; the large
     step before it stays a hash aggregation.
     """
-    return per_login.groupBy("local_date", "device_id").agg(
+    return per_login.groupBy(*keys).agg(
         F.regexp_extract(F.min("login"), _LOGIN_PARTS, 1).alias("username"),
         F.sum("time_taken_ms").alias("time_taken_ms"),
         F.sum("hits").alias("hits"),

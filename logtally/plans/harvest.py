@@ -189,37 +189,31 @@ def _harvest(
         text.parsed(), wanted, settings.local_time_zone if settings.exact_zone else None, count_lines=True
     )
     grouped = write_scratch(A.aggregate_all(scoped, settings), "grouped", "table_name")
-    counts = write_scratch(_line_counts(text, grouped, wanted), "counts")
-    result.lost = [
-        r.local_date
-        for r in counts.join(F.broadcast(wanted), F.col("file_utc_date") == F.col("utc_date"))
-        .where(F.col("total") != F.col("valid") + F.col("invalid"))
-        .select("local_date")
-        .distinct()
-        .collect()
-    ]
+    by_date = _summary(_line_counts(text, grouped, wanted), wanted).collect()
+    result.lost = [r.local_date for r in by_date if r.lost]
     dates = result.replaced
     if not dates:
         return result
-    flat = [
-        name
+    result.summary = [Row(local_date=r.local_date, total=r.total, valid=r.valid, invalid=r.invalid) for r in by_date if not r.lost]
+    replaced = {
+        name: dates
         for name in S.ALL_TABLES
-        if name not in S.DEVICE_TABLES and (settings.compute_by_referer_and_uri or name != S.BY_REFERER_AND_URI)
-    ]
+        if settings.compute_by_referer_and_uri or name != S.BY_REFERER_AND_URI
+    }
     on_dates = grouped.where(F.col("local_date").isin(dates))
+    flat = [name for name in replaced if name not in S.DEVICE_TABLES]
     store.write(as_stored(on_dates.where(F.col("table_name").isin(flat)), F.col("table_name")), batch)
-    replaced: dict[str, list[date]] = {name: dates for name in flat}
+    logins = on_dates.where(F.col("table_name").isin(list(S.DEVICE_TABLES)))
+    new = write_scratch(A.first_login(logins, ("table_name", "local_date", "device_id")), "devices")
+    filled, changed = backfilled_batch(store, base, new, list(S.DEVICE_TABLES), dates)
+    filled = write_scratch(filled, "filled")
+    store.write(as_stored(filled, F.col("table_name")), batch)
+    attributed = D.attribution_counts(new, filled.where(F.col("local_date").isin(dates)), ("table_name", "local_date"))
+    counts = attributed.orderBy("table_name", "local_date").collect()
     for name in S.DEVICE_TABLES:
-        new = write_scratch(A.first_login(on_dates.where(F.col("table_name") == name)), "devices")
-        filled, changed = backfilled_batch(store, base, name, new, dates)
-        filled = write_scratch(filled, "filled")
-        store.write(as_stored(filled, F.lit(name)), batch)
-        replaced[name] = [*dates, *changed]
-        result.backfilled |= set(changed)
-        result.attribution[name] = (
-            D.attribution_counts(new, filled.where(F.col("local_date").isin(dates))).orderBy("local_date").collect()
-        )
-    result.summary = _summary(counts, wanted.where(F.col("local_date").isin(dates))).collect()
+        replaced[name] = [*dates, *changed[name]]
+        result.backfilled |= set(changed[name])
+        result.attribution[name] = [Row(**{k: v for k, v in r.asDict().items() if k != "table_name"}) for r in counts if r.table_name == name]
     if before_commit:
         before_commit()
     result.manifest = store.commit(base, batch, replaced)
@@ -243,10 +237,14 @@ def _line_counts(text: Text, grouped: DataFrame, wanted: DataFrame) -> DataFrame
 
 
 def _summary(counts: DataFrame, cal: DataFrame) -> DataFrame:
-    """``(local_date, total, valid, invalid)`` over the lines of each date's files."""
+    """``(local_date, total, valid, invalid, lost)`` over the lines of each date's files; ``lost`` counts
+    those on which the two passes differ, file by file."""
     return (
         counts.join(F.broadcast(cal), F.col("file_utc_date") == F.col("utc_date"))
         .groupBy("local_date")
-        .agg(*[F.sum(c).alias(c) for c in ("total", "valid", "invalid")])
+        .agg(
+            *[F.sum(c).alias(c) for c in ("total", "valid", "invalid")],
+            F.sum(F.abs(F.col("total") - F.col("valid") - F.col("invalid"))).alias("lost"),
+        )
         .orderBy("local_date")
     )

@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,20 +143,31 @@ def as_stored(df: DataFrame, table_name: Column) -> DataFrame:
     )
 
 
+#: A device, across the tables of both kinds.
+TABLE_DEVICE = ("table_name", "device_id")
+
+
 def backfilled_batch(
-    store: AggregateStore, base: Manifest, name: str, new: DataFrame, dates: list[date]
-) -> tuple[DataFrame, list[date]]:
-    """The rows to write when ``new`` takes the place of ``dates`` in a device table: they and every older
-    date on which a missing username can now be filled, filled; and those older dates.
+    store: AggregateStore, base: Manifest, new: DataFrame, names: list[str], dates: list[date]
+) -> tuple[DataFrame, dict[str, list[date]]]:
+    """The rows to write when ``new`` takes the place of ``dates`` in the named device tables: they and
+    those of every older date on which a missing username can now be filled, filled; and by table
+    those older dates.
 
     Donors are computed once from the whole history and kept as one row per device.
     """
-    old = store.read_stored(name, manifest=base).where(~F.col("local_date").isin(dates)).select(*new.columns)
-    donors = write_scratch(D.donors(old.unionByName(new)), "donors")
-    unnamed = old.where(F.col("username").isNull()).select("device_id", "local_date")
-    changed = sorted(r.local_date for r in unnamed.join(donors, "device_id", "left_semi").select("local_date").distinct().collect())
-    table = old.where(F.col("local_date").isin(changed)).unionByName(new) if changed else new
-    return D.fill_usernames(table, donors), changed
+    columns = new.columns
+    held = [store.read_stored(name, manifest=base).where(~F.col("local_date").isin(dates)).select(*columns) for name in names]
+    old = reduce(DataFrame.unionByName, held)
+    donors = write_scratch(D.donors(old.unionByName(new), TABLE_DEVICE), "donors")
+    unnamed = old.where(F.col("username").isNull()).select(*TABLE_DEVICE, "local_date")
+    found = unnamed.join(donors, list(TABLE_DEVICE), "left_semi").select("table_name", "local_date").distinct().collect()
+    changed = {name: sorted(r.local_date for r in found if r.table_name == name) for name in names}
+    table = new
+    for name, rows in zip(names, held, strict=True):
+        if changed[name]:
+            table = table.unionByName(rows.where(F.col("local_date").isin(changed[name])))
+    return D.fill_usernames(table, donors, TABLE_DEVICE), changed
 
 
 def replace_daily_batch(
@@ -165,13 +177,15 @@ def replace_daily_batch(
     mapped to ``None`` is left alone; one with no rows for a date loses that date. Usernames of device
     tables are back-filled over all dates in the same commit."""
     base, batch_id, dates = store.manifest(), store.new_batch(), list(dates)
-    replaced: dict[str, list[date]] = {}
-    for name, df in batch.items():
-        if df is None:
-            continue
-        rows, replaced[name] = df.where(F.col("local_date").isin(dates)), dates
-        if name in S.DEVICE_TABLES:
-            rows, changed = backfilled_batch(store, base, name, rows, dates)
-            replaced[name] = [*dates, *changed]
+    given = {name: df.where(F.col("local_date").isin(dates)) for name, df in batch.items() if df is not None}
+    replaced = {name: dates for name in given}
+    devices = [name for name in given if name in S.DEVICE_TABLES]
+    parts = [df for name, df in given.items() if name not in devices]
+    if devices:
+        new = reduce(DataFrame.unionByName, [given[name] for name in devices])
+        rows, changed = backfilled_batch(store, base, new, devices, dates)
+        parts.append(rows)
+        replaced |= {name: [*dates, *changed[name]] for name in devices}
+    for rows in parts:
         store.write(rows, batch_id)
     return store.commit(base, batch_id, replaced)
