@@ -31,7 +31,7 @@ LEVELS = ["mix_domain", "mix_lang", "mix_source"]
 
 @dataclass(frozen=True)
 class MixSettings:
-    """``budget_percent`` of all tokens are wanted. Weights are whole numbers; a name without one has 1."""
+    """``budget_percent`` of all tokens are wanted. Weights are whole numbers from 1; a name without one has 1."""
 
     budget_percent: int = 60
     max_epochs: int = 3
