@@ -225,7 +225,9 @@ def table_or_empty(spark: SparkSession, sf: str) -> DataFrame:
     by_device = table(S.BY_FIELD_MAPS_DEVICE, spark, sf)
     store = AggregateStore(spark, new_scratch_dir(spark, "part"))
     stored = _as_stored_rows(by_device, S.BY_FIELD_MAPS_DEVICE)
-    replace_daily_batch(store, {S.BY_FIELD_MAPS_DEVICE: stored}, file_dates(spark, sf))
+    batch = store.new_batch()
+    store.write(stored, batch)
+    store.commit(store.manifest(), batch, {S.BY_FIELD_MAPS_DEVICE: file_dates(spark, sf)})
     return store.read_table(S.BY_FIELD_MAPS_DEVICE).unionByName(store.read_table(S.BY_SURVEY123_DEVICE))
 
 
