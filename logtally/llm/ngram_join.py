@@ -14,8 +14,8 @@
    with a bitmap of their hashed shingles and their size; inner nodes hold OR-combined bitmaps and size
    ranges. A dual traversal drops node pairs that are one group already, whose size ranges rule a
    link out, or whose common bits can't make up the overlap needed. Surviving leaf pairs are
-   verified in full. Blocks larger than ``TREE_MEMBERS`` are cut by size into several trees, which
-   are traversed in pairs whose size ranges allow links.
+   verified in full. Blocks larger than ``TREE_MEMBERS`` are dealt to parts, and each pair of
+   parts is a tree.
 
 No link is lost: pairs of steps 3 and 4 cover all pairs in all blocks but those inside a group.
 Shuffled are segment hashes (about 0.1 to 0.25 per shingle and document) and, for members of blocks
@@ -35,7 +35,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, add_columns, cut_lineage, map_arrow, split_by_membership, split_words, text_of
@@ -51,11 +51,15 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 @dataclass(frozen=True)
 class JoinSettings:
-    """Sets link when intersection / union is at least ``threshold``."""
+    """Sets link when intersection / union is at least ``threshold``, which is 1/2 or more."""
 
     shingle: int = 5
     threshold: Fraction = Fraction(8, 10)
 
+    def __post_init__(self) -> None:
+        if not Fraction(1, 2) <= self.threshold <= 1:
+            raise ValueError(f"threshold {self.threshold} is not between 1/2 and 1")
+
     def differing(self, total: int) -> int:
         """Most shingles in which linked sets of ``total`` shingles together can differ."""
         p, q = self.threshold.numerator, self.threshold.denominator
@@ -128,11 +132,20 @@ def segment_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(SIGNATURE_WORDS * 64, np.uint8)
+    """Bitmap of the hashed shingles: ``SIGNATURE_WORDS`` longs, doubled until there are four bits to a
+    shingle. A wider one folds to a narrower by OR of its halves."""
+    words = SIGNATURE_WORDS
+    while words * 16 < len(shingles):
+        words *= 2
+    bits = np.zeros(words * 64, np.uint8)
     bits[(shingles % np.uint64(len(bits))).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, SIGNATURE_WORDS), axis=0)
+
+
 def list_slices(column: pa.Array) -> Iterator[np.ndarray]:
     """The rows of an Arrow list of longs as uint64 views."""
     offsets = column.offsets.to_numpy()
@@ -191,7 +204,13 @@ def _links(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, settings: J
     """
     p, q = settings.threshold.numerator, settings.threshold.denominator
     narrow = lambda x: signatures.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    # Sizes that allow a link differ too little for widths to be more than one step apart.
+    width = F.least(F.size("bits_a"), F.size("bits_b"))
+    fold = lambda x: F.when(
+        F.size(x) > width, F.zip_with(F.slice(x, 1, width), F.slice(x, width + 1, width), lambda u, v: u.bitwiseOR(v))
+    ).otherwise(F.col(x))
+    xor = F.zip_with(fold("bits_a"), fold("bits_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differing = F.aggregate(xor, F.lit(0), lambda total, x: total + x)
     likely = cut_lineage(
         pairs.join(narrow("a"), "a")
         .join(narrow("b"), "b")
@@ -286,7 +305,7 @@ def _tree_candidates(members: DataFrame, settings: JoinSettings) -> DataFrame:
         held = None
         for batch in batches:
             now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "id", "label", "n")]
-            now.append(batch.column("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SIGNATURE_WORDS))
+            now.append(np.vstack([folded(bits) for bits in list_slices(batch.column("bits"))]))
             if held is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
             starts = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
@@ -299,21 +318,21 @@ def _tree_candidates(members: DataFrame, settings: JoinSettings) -> DataFrame:
     return map_arrow(rows.select("tree", "id", "label", "n", "bits"), run, "a long, b long")
 
 
-def _plant(open_blocks: DataFrame, settings: JoinSettings) -> DataFrame:
-    """``open_blocks`` (key, id, label, n) dealt to trees (tree, id, label, n).
+def _plant(open_blocks: DataFrame) -> DataFrame:
+    """``open_blocks`` (key, id, label, n, m: members of the block) dealt to trees (tree, id, label, n).
 
-    A block's members in order of size make parts of ``TREE_MEMBERS``; each pair of parts that sizes
-    allow to link is a tree, as is a block of one part.
+    A block of more than ``TREE_MEMBERS`` is dealt by hash to parts of about half as many; each pair of
+    parts is a tree, as is a block of one part. No task ever gets all of a large block.
     """
-    p, q = settings.threshold.numerator, settings.threshold.denominator
-    place = F.row_number().over(Window.partitionBy("key").orderBy("n", "id"))
-    parts = open_blocks.withColumn("part", F.floor((place - 1) / TREE_MEMBERS))
-    ranges = parts.groupBy("key", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = ranges.alias("x"), ranges.alias("y")
-    near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") <= F.col("y.part")) & (q * F.col("x.high") >= p * F.col("y.low")))
-    pair = near.select(F.col("x.key").alias("key"), F.xxhash64("x.key", "x.part", "y.part").alias("tree"), F.array_distinct(F.array("x.part", "y.part")).alias("parts"))
-    dealt = pair.select("key", "tree", F.explode("parts").alias("part"))
-    return parts.join(dealt, ["key", "part"]).select("tree", "id", "label", "n")
+    parts = F.when(F.col("m") <= TREE_MEMBERS, 1).otherwise(F.ceil(2 * F.col("m") / TREE_MEMBERS)).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")).cast("int")
+    dealt = open_blocks.withColumn("parts", parts).withColumn("own", own)
+    # With one part, or with each other part and itself.
+    partner = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    paired = dealt.select("key", "id", "label", "n", "own", "parts", partner.alias("partner")).where(
+        (F.col("parts") == 1) | (F.col("own") != F.col("partner"))
+    )
+    return paired.select(F.xxhash64("key", F.least("own", "partner"), F.greatest("own", "partner")).alias("tree"), "id", "label", "n")
 
 
 def similarity_groups(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
@@ -327,24 +346,24 @@ def similarity_groups(docs: DataFrame, settings: JoinSettings = JoinSettings())
     maybe, first = split_by_membership(known.select("doc_id", "keys"), F.col("doc_id"), copy_ids, F.col("doc_id"))
     reps = first.unionByName(maybe.join(copy_ids, "doc_id", "left_anti"))
 
-    in_block = Window.partitionBy("key")
-    met = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")).select(
-        "key", "id", F.min("id").over(in_block).alias("pivot"), F.max("id").over(in_block).alias("last")
-    )
-    blocks = cut_lineage(met.where(F.col("pivot") < F.col("last")).select("key", "id", "pivot"))
+    met = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    # Blocks of one member go. Sums by key are combined before the shuffle, and a large block's rows can
+    # be split in the join, which a window over the key could not.
+    shared = met.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("m")).where(F.col("pivot") < F.col("last"))
+    blocks = cut_lineage(met.join(shared, "key").select("key", "id", "pivot", "m"))
     signatures = known.select(F.col("doc_id").alias("id"), "n", "bits")
     by_pivot = blocks.where(F.col("id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = cut_lineage(_links(by_pivot, signatures, docs, settings))
     groups = cut_lineage(components(links))
 
-    labelled = blocks.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    labelled = blocks.join(groups, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("label"))
     # Two members have been compared; with three or more of several groups, the tree goes on.
-    state = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
-    still = state.where((F.col("m") > 2) & (F.col("low") < F.col("high"))).select("key")
+    state = labelled.where(F.col("m") > 2).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    still = state.where(F.col("low") < F.col("high")).select("key")
     sizes = signatures.select("id", "n").distinct()
-    open_blocks = cut_lineage(labelled.join(still, "key", "left_semi").join(sizes, "id").select("key", "id", "label", "n"))
+    open_blocks = cut_lineage(labelled.join(still, "key").join(sizes, "id").select("key", "id", "label", "n", "m"))
     if not open_blocks.isEmpty():
-        planted = _plant(open_blocks, settings).join(signatures, ["id", "n"])
+        planted = _plant(open_blocks).join(signatures, ["id", "n"])
         more = _links(_tree_candidates(planted, settings).distinct(), signatures, docs, settings)
         links = cut_lineage(links.unionByName(more))
         groups = cut_lineage(components(links))
