@@ -48,12 +48,23 @@ def same_key(left: DataFrame, right: DataFrame) -> Column:
     return left["key_id"].eqNullSafe(right["key_id"]) & (left["key_text"] == right["key_text"])
 
 
+#: Lets Spark delete the shuffle files of a query when it ends, not when the driver collects its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` from files in the shared folder; a lost executor costs a re-read."""
-    context = df.sparkSession.sparkContext
+    """``df`` from files in the shared folder; a lost executor costs a re-read. The shuffle files that
+    went into it are of no more use and freed."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(scratch_root(df.sparkSession))
-    return df.checkpoint()
+        context.setCheckpointDir(scratch_root(spark))
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
 
 
 def by_hash(ids: Column, seed: int) -> Column:

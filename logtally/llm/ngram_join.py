@@ -162,25 +162,33 @@ def longs_array(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _set_rows(docs: DataFrame, settings: JoinSettings) -> DataFrame:
-    """doc_id, n, set_a, set_b (a 128-bit sum that stands for the set), the signature and the block keys
-    of each row."""
-    bands = Bands(settings)
+    """doc_id, n, set_a, set_b (a 128-bit sum that stands for the set) and the signature of each row."""
 
     def make(column: pa.Array) -> list[pa.Array]:
-        sizes, sum_a, sum_b, bits, keys = [], [], [], [], []
+        sizes, sum_a, sum_b, bits = [], [], [], []
         for words in list_slices(column):
             shingles = shingle_set(words, settings.shingle)
             sizes.append(len(shingles))
             sum_a.append(_mix(shingles).sum(dtype=np.uint64))
             sum_b.append(_mix(shingles ^ _M1).sum(dtype=np.uint64))
             bits.append(signature(shingles))
-            keys.append(segment_keys(shingles, bands) if len(shingles) else np.zeros(0, np.uint64))
         longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return [pa.array(sizes, pa.int64()), longs(sum_a), longs(sum_b), longs_array(bits), longs_array(keys)]
+        return [pa.array(sizes, pa.int64()), longs(sum_a), longs(sum_b), longs_array(bits)]
 
-    return add_columns(
-        docs, ["doc_id"], [word_hashes()], "n long, set_a long, set_b long, bits array<long>, keys array<long>", make
-    )
+    return add_columns(docs, ["doc_id"], [word_hashes()], "n long, set_a long, set_b long, bits array<long>", make)
+
+
+def _block_keys(docs: DataFrame, settings: JoinSettings) -> DataFrame:
+    """(key, id): the blocks each document enters. Made from the texts when needed: the keys take more
+    room than their shuffle leaves free."""
+    bands = Bands(settings)
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        sets = (shingle_set(words, settings.shingle) for words in list_slices(column))
+        return [longs_array([segment_keys(s, bands) if len(s) else s for s in sets])]
+
+    found = add_columns(docs, [F.col("doc_id").alias("id")], [word_hashes()], "keys array<long>", make)
+    return found.select(F.explode("keys").alias("key"), "id")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, settings: JoinSettings) -> DataFrame:
@@ -343,13 +351,12 @@ def similarity_groups(docs: DataFrame, settings: JoinSettings = JoinSettings())
     narrow = cut_lineage(known.select("doc_id", "n", "set_a", "set_b").join(classes, ["n", "set_a", "set_b"]).select("doc_id", "rep"))
     copies = narrow.where(F.col("doc_id") != F.col("rep"))
     copy_ids = copies.select("doc_id").distinct()
-    maybe, first = split_by_membership(known.select("doc_id", "keys"), F.col("doc_id"), copy_ids, F.col("doc_id"))
-    reps = first.unionByName(maybe.join(copy_ids, "doc_id", "left_anti"))
-
-    met = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    # Blocks of one member go. Sums by key are combined before the shuffle, and a large block's rows can
+    named = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    maybe, first = split_by_membership(named, F.col("doc_id"), copy_ids, F.col("doc_id"))
+    met = _block_keys(first.unionByName(maybe.join(copy_ids, "doc_id", "left_anti")), settings)
+    # Blocks of one row go. Counts by key are combined before the shuffle, and a large block's rows can
     # be split in the join, which a window over the key could not.
-    shared = met.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("m")).where(F.col("pivot") < F.col("last"))
+    shared = met.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("m")).where(F.col("m") > 1)
     blocks = cut_lineage(met.join(shared, "key").select("key", "id", "pivot", "m"))
     signatures = known.select(F.col("doc_id").alias("id"), "n", "bits")
     by_pivot = blocks.where(F.col("id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
