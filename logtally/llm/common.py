@@ -72,9 +72,19 @@ def by_hash(ids: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(ids, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
 def map_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` with this package's code on every executor."""
-    _ship_code(rows.sparkSession)
+    """``mapInArrow`` with this package's code on every executor.
+
+    Rows hold whole texts or their words, so batches are kept small; the session setting is lowered to
+    ``BATCH_ROWS`` where it is higher, since Spark reads it when the plan is made, after this returns.
+    """
+    spark = rows.sparkSession
+    _ship_code(spark)
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     return rows.mapInArrow(run, schema)
 
 

@@ -30,8 +30,8 @@ from .common import add_columns, by_hash, text_of
 UNDETERMINED = "und"
 WORDS, LETTERS = re.compile(r"\w+"), re.compile(r"[^\W\d_]+")
 #: Words outside the model that a task remembers, and words scored together; bounds of memory only.
-MEMO_WORDS = 300_000
-GROUP_WORDS = 100_000
+MEMO_WORDS = 200_000
+GROUP_WORDS = 50_000
 
 
 @dataclass(frozen=True)
