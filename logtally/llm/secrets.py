@@ -42,7 +42,14 @@ class SecretRule:
     base: bool = False
 
 
-# The kinds searched for, the base ones first. The order breaks ties of start.
+# A key goes to its END line; where that is missing (five dashes, or many single ones, come first), through
+# all base64 lines that follow, and what is written together with the last of them. Line breaks can be spelled \n.
+PEM_NAME = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+PEM_TO_END = "[^-]*(?:-{1,4}[^-]+){0,50}-----END " + PEM_NAME
+PEM_LINES = r"(?:[\r\n]+[A-Za-z-]+: [^\r\n]*){0,20}(?:[\x09-\x0d\x20\\]*[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\r\n\\]*)+(?:[\x09-\x0d\x20\\]*[A-Za-z0-9+/]+=+)?"
+
+# The kinds searched for, the base ones first. The order breaks ties of start. Secrets have no
+# largest length, and a password all characters but blanks, quotes, angle brackets and slashes.
 RULES = (
     SecretRule(
         "assign",
@@ -53,13 +60,13 @@ RULES = (
     ),
     SecretRule("access", "AKIA[A-Z0-9]+", least=20, base=True),
     SecretRule("hex", "[0-9a-f]{24,}", least=24, base=True),
-    SecretRule("github", "gh[opsu]_[A-Za-z0-9]{36,255}"),
-    SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
-    SecretRule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    SecretRule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,255}"),
+    SecretRule("github", "gh[opsu]_[A-Za-z0-9]{36,}"),
+    SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    SecretRule("google", r"AIza[A-Za-z0-9_-]{35,}"),
+    SecretRule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    SecretRule("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    SecretRule("login_url", r"[a-z]{2,12}://[A-Za-z0-9._~-]{1,64}:[A-Za-z0-9._~!$*+-]{3,64}@"),
+    SecretRule("private_key", f"-----BEGIN {PEM_NAME}(?:{PEM_TO_END}|{PEM_LINES})?"),
+    SecretRule("login_url", r"""[A-Za-z][A-Za-z0-9+.-]{1,39}://[^\x00-\x20"<>/:@]*:[^\x00-\x20"<>/]{3,}@"""),
 )
 
 Clause = list[frozenset[str]]

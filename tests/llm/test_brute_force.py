@@ -308,6 +308,32 @@ def test_matches_satisfy_their_trigram_query(rule):
             assert any(all(t in text.lower() for t in alternative) for alternative in clause)
 
 
+def test_whole_secrets_go(spark):
+    body = "\n".join("Ab1+" * 16 for _ in range(30)) + "\nAb1="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\n"
+    cases = [
+        (f"a {begin}\n{body}\n{end} b", "a [secret] b"),
+        (f"a {begin}{head}{body}\n{end} b", "a [secret] b"),
+        (f"a {begin}{head}{body}", "a [secret]"),
+        (f"a {begin}\n{body}\n\n... some-text {begin}\n{body}\n{end} b", "a [secret]... some-text [secret] b"),
+        ("a " + f"{begin}\n{body}\n{end}".replace("\n", "\\n") + " b", "a [secret] b"),
+        ("a " + f"{begin}\n{body}".replace("\n", "\n    "), "a [secret]"),
+        ("a -----BEGIN PGP PRIVATE KEY BLOCK-----\n\nlQ==\n-----END PGP PRIVATE KEY BLOCK----- b", "a [secret] b"),
+        (f"the line {begin} begins a key - well-known", "the line [secret] begins a key - well-known"),
+        (f"a {begin}\n" + "Ab1+" * 500_000, "a [secret]"),
+        (f"{begin} " + "a-b " * 50_000, "[secret] " + "a-b " * 50_000),
+        ("a https://me:" + "p%2F#" * 30 + "@host b", "a [secret]host b"),
+        ("a redis://:p@ss=w&rd@host http://host:80/x@y", "a [secret]host http://host:80/x@y"),
+        ("a postgresql+psycopg2://me:secret@host", "a [secret]host"),
+        *[(f"a {x}{'a1' * 400} b", "a [secret] b") for x in ("ghp_", "xoxb-", "sk_live_")],
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert got[i] == want, i
+
+
 # -- pipeline --------------------------------------------------------------------------------------------
 
 
