@@ -36,27 +36,38 @@ WORD_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 """Between words, before A-Z are lower-cased: as in the contract's word class, but for A-Z."""
 WORD_CHAR = r"[0-9A-Z\x{80}-\x{10FFFF}]"
 
-# Phrases and their labels, and one short text for each license searched for.
+# Phrases and their labels, and the notices searched for. "gnu" is the notice that the versions of
+# the GNU licenses share but for single words.
 PHRASES = (
     ("under the mit license", "mit"),
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
 TEMPLATES = (
-    ("mit", "released under the mit license"),
+    ("mit", "released under mit license"),
+    ("mit", "licensed under mit license"),
+    ("mit", "the terms of the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "licensed under the apache license version 2 0"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
+    ("gpl-2", "gnu general public license version 2"),
+    ("gpl-2", "gnu general public license v2"),
+    ("gpl-3", "gnu general public license version 3"),
+    ("gpl-3", "gnu general public license v3"),
+    ("gnu", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "gnu lesser general public license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc0", "dedicated to the public domain under the cc0 1 0 universal license"),
+    ("cc0", "to the public domain under the cc0 1 0 universal license"),
 )
-THRESHOLD = Fraction(19, 20)
+THRESHOLD = Fraction(4, 5)
+#: Most distinct words of a short template.
+SHORT_WORDS = 12
 
 
 @dataclass(frozen=True)
@@ -72,9 +83,15 @@ class Template:
 
 
 def templates(texts: tuple[tuple[str, str], ...] = TEMPLATES, threshold: Fraction = THRESHOLD) -> list[Template]:
-    """``need``: the words a block must share, ``threshold`` of the template's, rounded up."""
-    sets = [(label, frozenset(text.split())) for label, text in texts]
-    return [Template(i, label, words, -(-len(words) * threshold.numerator // threshold.denominator)) for i, (label, words) in enumerate(sets)]
+    """``need``: the words a block must hold, ``threshold`` of the template's, rounded up; of a short one all."""
+    found = []
+    for i, (label, text) in enumerate(texts):
+        words = frozenset(text.split())
+        if len(words) <= SHORT_WORDS:
+            found.append(Template(i, label, words, len(words)))
+        else:
+            found.append(Template(i, label, words, -(-len(words) * threshold.numerator // threshold.denominator)))
+    return found
 
 
 def phrase_places(words: str, phrase: str) -> Column:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from logtally.llm import chat, decontamination, language, ngram_join, quality_model, queries, secrets, toxicity
+from logtally.llm import chat, decontamination, language, licenses, ngram_join, quality_model, queries, secrets, toxicity
 from logtally.llm.components import components
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -205,6 +205,19 @@ def test_blocks_of_items_change_nothing(spark):
     assert rows(100) == rows(500_000)
 
 
+# -- licenses ---------------------------------------------------------------------------------------------
+
+
+def test_license_wordings(spark):
+    texts = [
+        ("Released under MIT License", "mit"),
+        ("This work is licensed under the GNU General Public License v3", "gpl-3"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
+    assert got == {i: label for i, (_, label) in enumerate(texts)}
+
+
 # -- models ----------------------------------------------------------------------------------------------
 
 
