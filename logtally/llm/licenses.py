@@ -3,16 +3,18 @@
 Two searches, both built-in expressions only:
 
 * Phrases: places where a fixed phrase's words stand consecutively (``phrase_places``).
-* Templates, an exact set-similarity join: a block (line) matches a template when it holds at
-  least ``threshold`` of the template's distinct words. Words are ordered by their count over the
-  whole corpus, rare first. A match must share a word among the first ``n - need + 1`` of both
-  sides, where ``need`` is the overlap asked for, so only those are joined (prefix filter); blocks
-  with fewer than ``need`` template words are left out (length filter), and so are pairs whose
-  words after the shared ones can't make up the overlap (positional filter). What is left is
-  verified in full.
-
-The templates are a fixed list of a dozen short texts, so their side of the join is broadcast.
-Blocks leave the document row only as the few template words in their prefix; full texts are
+* Templates, an exact set-similarity join: a template matches where a run of words, over line ends
+  too, holds at least ``threshold`` of its distinct words. Runs are half as long again as a template.
+  Short templates have no word to spare: all their words stand together, in any order, and other
+  wordings are templates of their own. Words are ordered by their count over the whole corpus, rare
+  first. A match must hold one of a template's first ``n - need + 1`` words, where ``need`` is the
+  overlap asked for (prefix filter), so blocks are the words around each of these: runs through it lie
+  inside. Blocks that hold fewer than ``need`` of the template's words are left out (length filter),
+  words before the shared one don't count, as a block around them does that (positional filter), and
+  what is left is verified run by run.
+
+The templates are a fixed list of short texts, so their side of the join is broadcast.
+Blocks leave the document row only as the few words around a rare one; full texts are
 never shuffled, and one hot source or word spreads as its documents do.
 
 Results for odd input: a null text is the empty one (no words, no labels, score 0); repeated rows
@@ -72,10 +74,13 @@ SHORT_WORDS = 12
 
 @dataclass(frozen=True)
 class Template:
+    """``width``: the words of a run."""
+
     number: int
     label: str
     words: frozenset[str]
     need: int
+    width: int
 
     @property
     def prefix(self) -> int:
@@ -83,14 +88,14 @@ class Template:
 
 
 def templates(texts: tuple[tuple[str, str], ...] = TEMPLATES, threshold: Fraction = THRESHOLD) -> list[Template]:
-    """``need``: the words a block must hold, ``threshold`` of the template's, rounded up; of a short one all."""
+    """``need``: the words a run must hold, ``threshold`` of the template's, rounded up; of a short one all."""
     found = []
     for i, (label, text) in enumerate(texts):
-        words = frozenset(text.split())
+        words, length = frozenset(text.split()), len(text.split())
         if len(words) <= SHORT_WORDS:
-            found.append(Template(i, label, words, len(words)))
+            found.append(Template(i, label, words, len(words), length))
         else:
-            found.append(Template(i, label, words, -(-len(words) * threshold.numerator // threshold.denominator)))
+            found.append(Template(i, label, words, -(-len(words) * threshold.numerator // threshold.denominator), 3 * length // 2))
     return found
 
 
@@ -139,43 +144,48 @@ def match_templates(docs: DataFrame, wanted: list[Template]) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = sorted({w for t in wanted for w in t.words})
     counts = word_counts(docs, vocabulary)
-    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts[w], w)))}
+    ordered_words = sorted(vocabulary, key=lambda w: (counts[w], w))
+    order = {w: i + 1 for i, w in enumerate(ordered_words)}
     ordered = {t.number: sorted(order[w] for w in t.words) for t in wanted}
     index = spark.createDataFrame(
-        [
-            (rank, t.number, place, len(t.words), t.need, ordered[t.number], t.label)
-            for t in wanted
-            for place, rank in enumerate(ordered[t.number][: t.prefix])
-        ],
-        "rank int, template int, place int, size int, need int, ranks array<int>, label string",
+        [(rank, len(t.words), t.need, t.width, ordered[t.number], t.label) for t in wanted for rank in ordered[t.number][: t.prefix]],
+        "rank int, size int, need int, width int, ranks array<int>, label string",
     )
-    least = min(t.need for t in wanted)
-    rank_of = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    reach = max(t.width for t in wanted) - 1
     rare = [w for w in vocabulary if any(order[w] in ordered[t.number][: t.prefix] for t in wanted)]
-    lines = docs.select(*row_key(), F.explode(F.split(text_of(), "\n")).alias("line"))
-    # The join can only begin at a word in some template's prefix: a line without one goes at once.
-    likely = lines.where(F.col("line").rlike(f"(?i)(?<!{WORD_CHAR})(?:{'|'.join(map(re.escape, rare))})(?!{WORD_CHAR})"))
-    blocks = likely.select(
+    # The join can only begin at a word in some template's prefix: a text without one goes at once.
+    likely = docs.select(*row_key(), text_of().alias("text_read")).where(
+        F.col("text_read").rlike(f"(?i)(?<!{WORD_CHAR})(?:{'|'.join(map(re.escape, rare))})(?!{WORD_CHAR})")
+    )
+    words = likely.select("key_id", "key_text", split_words(F.lower("text_read"), WORD_BREAK).alias("words"))
+    rare_places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
+    around = words.select("key_id", "key_text", "words", F.explode(rare_places).alias("at"))
+    first = F.greatest(F.col("at") - reach, F.lit(0))
+    place = F.array(*map(F.lit, ordered_words))
+    # Ranks of the words around ``at``, 0 for those of no template.
+    blocks = around.select(
         "key_id",
         "key_text",
-        F.array_intersect(split_words(F.lower("line"), WORD_BREAK), F.array(*map(F.lit, vocabulary))).alias("words"),
-    ).where(F.size("words") >= least)
-    ranked = blocks.select(
-        "key_id", "key_text", F.array_sort(F.transform("words", lambda w: F.element_at(rank_of, w))).alias("block_ranks")
-    )
-    seeds = ranked.select("*", F.posexplode("block_ranks").alias("block_place", "rank")).where(
-        F.col("block_place") <= F.size("block_ranks") - least
+        F.transform(
+            F.slice("words", first + 1, F.col("at") + reach - first + 1),
+            lambda w, i: F.struct(i.alias("at"), F.array_position(place, w).cast("int").alias("rank")),
+        ).alias("block"),
+        (F.col("at") - first).alias("at"),
     )
-    left = lambda ranks, place: F.size(ranks) - place
-    pairs = seeds.join(F.broadcast(index), "rank").where(
-        (F.size("block_ranks") >= F.col("need"))
-        & (F.col("block_place") <= F.size("block_ranks") - F.col("need"))
-        # The first shared word leads the overlap: nothing before it can match.
-        & (F.least(left("block_ranks", F.col("block_place")), left("ranks", F.col("place"))) >= F.col("need"))
+    seeds = blocks.select("key_id", "key_text", "at", F.element_at("block", F.col("at") + 1)["rank"].alias("rank"), F.filter("block", lambda x: x["rank"] > 0).alias("block"))
+    pairs = seeds.join(F.broadcast(index), "rank").withColumn(
+        "shared",
+        F.filter(
+            "block",
+            lambda x: (F.abs(x["at"] - F.col("at")) < F.col("width")) & (x["rank"] >= F.col("rank")) & F.array_contains("ranks", x["rank"]),
+        ),
     )
-    overlap = F.size(F.array_intersect("block_ranks", "ranks"))
+    distinct = lambda places: F.size(F.array_distinct(F.transform(places, lambda x: x["rank"])))
+    able = pairs.where(distinct("shared") >= F.col("need"))
+    run = lambda x: F.filter("shared", lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + F.col("width")))
+    overlap = F.array_max(F.transform("shared", lambda x: distinct(run(x))))
     return (
-        pairs.select("key_id", "key_text", "label", "need", "size", overlap.alias("overlap"))
+        able.select("key_id", "key_text", "label", "need", "size", overlap.alias("overlap"))
         .where(F.col("overlap") >= F.col("need"))
         .groupBy("key_id", "key_text", "label")
         .agg(F.max(F.col("overlap") / F.col("size")).alias("containment"))

@@ -208,10 +208,44 @@ def test_blocks_of_items_change_nothing(spark):
 # -- licenses ---------------------------------------------------------------------------------------------
 
 
+def test_licenses_equal_all_runs(spark):
+    """Notices with words missing or added, just above and below what is needed, wrapped anywhere."""
+    rng = random.Random(5)
+    wanted = licenses.templates()
+    assert any(t.need < len(t.words) for t in wanted)
+    texts = []
+    for t, (_, text) in zip(wanted, licenses.TEMPLATES, strict=True):
+        for missing in (0, len(t.words) - t.need, len(t.words) - t.need + 1):
+            for added in (0, 2, 40):
+                gone = set(rng.sample(sorted(t.words), missing))
+                words = [w for w in text.split() if w not in gone]
+                for _ in range(added):
+                    words.insert(rng.randint(0, len(words)), rng.choice(["xyz", "the", "a", "lesser"]))
+                words = ["one", "two"] * rng.randint(0, 40) + words + ["three"] * rng.randint(0, 40)
+                texts.append("".join(w + rng.choice([" ", " ", "\n", ", "]) for w in words))
+    want = {}
+    for i, text in enumerate(texts):
+        words = text.replace(",", " ").split()
+        best = {}
+        for t in wanted:
+            held = max(len(t.words & set(words[k : k + t.width])) for k in range(len(words)))
+            if held >= t.need:
+                best[t.label] = max(best.get(t.label, 0), held / len(t.words))
+        want |= {(i, label): x for label, x in best.items()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.key_id, r.label): r.containment for r in licenses.match_templates(docs, wanted).collect()}
+    assert got == want and any(x < 1 for x in want.values())
+
+
 def test_license_wordings(spark):
     texts = [
         ("Released under MIT License", "mit"),
         ("This work is licensed under the GNU General Public License v3", "gpl-3"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files", "mit"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the conditions are met", "bsd"),
+        ("subject to the terms of the Mozilla Public\nLicense, v. 2.0. This Source Code Form is", "mpl-2"),
+        ("the GNU Lesser General Public License, version 2", "lgpl"),
+        ("released " + "one two three " * 20 + "under the " + "one two three " * 20 + "mit license", ""),
     ]
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
