@@ -1,7 +1,8 @@
 """N-gram Jaccard join: documents whose shingle sets are alike, and their groups.
 
 1. **Sets.** A document's set holds the 64-bit hashes of its distinct shingles. Documents with equal
-   sets are one class, kept by its smallest id.
+   sets are one class. All steps work on classes, named by a 64-bit hash of their set and read from
+   one row each; classes are mapped to rows at the end.
 2. **Blocks.** Sets of up to ``hi`` shingles that link differ in at most ``D = 2 hi (1-t)/(1+t)`` of
    them. Dealt to ``D+1+c`` segments by hash, they agree on at least ``c+1`` whole segments, and meet
    in the block of one's content. Sizes are banded, so that both sides use the same numbers. Empty
@@ -23,7 +24,8 @@ only, whole sets. Groups come from label spreading over tables; nothing is colle
 
 Results for odd input: a null or empty text has an empty set and links with nothing; a text with
 fewer words than a shingle is one shingle; rows that share an id are one node (each row keeps its
-own set size); a null id is a group of its own (null); extra columns are ignored.
+own set size), but keep_first tells them apart; a row with a null id links like any other, and its group
+is null if no row of it has an id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -161,53 +163,66 @@ def longs_array(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
+def _measures(shingles: np.ndarray) -> tuple[int, np.uint64, np.uint64]:
+    """Size and two sums that stand for the set."""
+    return len(shingles), _mix(shingles).sum(dtype=np.uint64), _mix(shingles ^ _M1).sum(dtype=np.uint64)
+
+
+def _measure_arrays(measures: list[tuple[int, np.uint64, np.uint64]]) -> list[pa.Array]:
+    longs = lambda k: pa.array(np.array([m[k] for m in measures], np.uint64).view(np.int64))
+    return [longs(0), longs(1), longs(2)]
+
+
+def class_id() -> Column:
+    """Names the class of a row with n, set_a and set_b."""
+    return F.xxhash64("n", "set_a", "set_b").alias("id")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64(text_of()).alias("key_text"))
+
+
 def _set_rows(docs: DataFrame, settings: JoinSettings) -> DataFrame:
-    """doc_id, n, set_a, set_b (a 128-bit sum that stands for the set) and the signature of each row."""
+    """doc_id, key_text, n, the class id and the signature of each row."""
 
     def make(column: pa.Array) -> list[pa.Array]:
-        sizes, sum_a, sum_b, bits = [], [], [], []
-        for words in list_slices(column):
-            shingles = shingle_set(words, settings.shingle)
-            sizes.append(len(shingles))
-            sum_a.append(_mix(shingles).sum(dtype=np.uint64))
-            sum_b.append(_mix(shingles ^ _M1).sum(dtype=np.uint64))
-            bits.append(signature(shingles))
-        longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return [pa.array(sizes, pa.int64()), longs(sum_a), longs(sum_b), longs_array(bits)]
-
-    return add_columns(docs, ["doc_id"], [word_hashes()], "n long, set_a long, set_b long, bits array<long>", make)
-
-
-def _block_keys(docs: DataFrame, settings: JoinSettings) -> DataFrame:
-    """(key, id): the blocks each document enters. Made from the texts when needed: the keys take more
-    room than their shuffle leaves free."""
+        sets = [shingle_set(words, settings.shingle) for words in list_slices(column)]
+        return [*_measure_arrays([_measures(x) for x in sets]), longs_array([signature(x) for x in sets])]
+
+    found = add_columns(_keyed(docs), ["doc_id", "key_text"], [word_hashes()], "n long, set_a long, set_b long, bits array<long>", make)
+    return found.select("doc_id", "key_text", "n", class_id(), "bits")
+
+
+def _block_keys(texts: DataFrame, settings: JoinSettings) -> DataFrame:
+    """(key, id): the blocks each class enters, from one of its texts. Made from the texts when needed: the
+    keys take more room than their shuffle leaves free."""
     bands = Bands(settings)
 
     def make(column: pa.Array) -> list[pa.Array]:
-        sets = (shingle_set(words, settings.shingle) for words in list_slices(column))
-        return [longs_array([segment_keys(s, bands) if len(s) else s for s in sets])]
+        sets = [shingle_set(words, settings.shingle) for words in list_slices(column)]
+        keys = longs_array([segment_keys(x, bands) if len(x) else x for x in sets])
+        return [*_measure_arrays([_measures(x) for x in sets]), keys]
 
-    found = add_columns(docs, [F.col("doc_id").alias("id")], [word_hashes()], "keys array<long>", make)
-    return found.select(F.explode("keys").alias("key"), "id")
+    found = add_columns(texts, ["key_text"], [word_hashes()], "n long, set_a long, set_b long, keys array<long>", make)
+    return found.select(class_id(), "keys").select(F.explode("keys").alias("key"), "id")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, settings: JoinSettings) -> DataFrame:
-    """id, n and shingles of the documents whose id is among ``ids`` (column id, distinct)."""
-    wide = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    likely, _ = split_by_membership(wide, F.col("doc_id"), ids, F.col("id"))
-    members = likely.join(ids, likely["doc_id"] == ids["id"], "left_semi")
+    """id, n and shingles of the classes ``ids`` (id, key_text: one of its texts)."""
+    likely, _ = split_by_membership(_keyed(docs), F.col("key_text"), ids, F.col("key_text"))
+    members = likely.join(ids.select("key_text"), "key_text", "left_semi").groupBy("key_text").agg(F.first("text").alias("text")).join(ids, "key_text")
 
     def make(column: pa.Array) -> list[pa.Array]:
         sets = [shingle_set(words, settings.shingle) for words in list_slices(column)]
         return [pa.array([len(s) for s in sets], pa.int64()), longs_array(sets)]
 
-    return add_columns(members, [F.col("doc_id").alias("id")], [word_hashes()], "n long, shingles array<long>", make)
+    return add_columns(members, ["id"], [word_hashes()], "n long, shingles array<long>", make)
 
 
 def _links(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, settings: JoinSettings) -> DataFrame:
     """The pairs (a, b) whose sets link.
 
-    Sizes and signatures (id, n, bits), which are narrow, are compared first: each differing bit is a
+    Sizes and signatures (id, n, bits, key_text), which are narrow, are compared first: each differing bit is a
     differing shingle at least. Only for pairs that may link are whole sets made and compared.
     """
     p, q = settings.threshold.numerator, settings.threshold.denominator
@@ -226,7 +241,7 @@ def _links(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, settings: J
         .select("a", "b")
         .distinct()
     )
-    ids = cut_lineage(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
+    ids = cut_lineage(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct().join(signatures.select("id", "key_text"), "id"))
     sets = cut_lineage(_sets(docs, ids, settings))
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"set_{x}"))
     both = likely.join(side("a"), "a").join(side("b"), "b")
@@ -343,22 +358,27 @@ def _plant(open_blocks: DataFrame) -> DataFrame:
     return paired.select(F.xxhash64("key", F.least("own", "partner"), F.greatest("own", "partner")).alias("tree"), "id", "label", "n")
 
 
-def similarity_groups(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
-    rows = cut_lineage(_set_rows(docs, settings))
-    known = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = known.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    narrow = cut_lineage(known.select("doc_id", "n", "set_a", "set_b").join(classes, ["n", "set_a", "set_b"]).select("doc_id", "rep"))
-    copies = narrow.where(F.col("doc_id") != F.col("rep"))
-    copy_ids = copies.select("doc_id").distinct()
-    named = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    maybe, first = split_by_membership(named, F.col("doc_id"), copy_ids, F.col("doc_id"))
-    met = _block_keys(first.unionByName(maybe.join(copy_ids, "doc_id", "left_anti")), settings)
+def _class_groups(docs: DataFrame, settings: JoinSettings) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, key_text, n, id: the class, null for an empty set), and the groups of linked
+    classes (id, component)."""
+    measured = cut_lineage(_set_rows(docs, settings))
+    known = measured.where(F.col("n") > 0)
+    rows = measured.select("doc_id", "key_text", "n", F.when(F.col("n") > 0, F.col("id")).alias("id"))
+    # The smallest text hash of a class names the text that it is read from.
+    classes = cut_lineage(known.groupBy("id").agg(F.min("key_text").alias("key_text"), F.count("*").alias("m")))
+    signatures = cut_lineage(known.select("id", "n", "bits").dropDuplicates(["id"]).join(classes.select("id", "key_text"), "id"))
+    several = classes.where(F.col("m") > 1).select("id", F.col("key_text").alias("first_text"))
+    texts = cut_lineage(known.select("id", "key_text").join(several, "id").select("key_text", "first_text").distinct())
+    keyed = _keyed(docs).select("key_text", "text")
+    maybe, single = split_by_membership(keyed, F.col("key_text"), texts, F.col("key_text"))
+    # One row for each class: copies of its text are combined within tasks first.
+    left_out = texts.where(F.col("key_text") != F.col("first_text")).select("key_text")
+    once = maybe.join(left_out, "key_text", "left_anti").groupBy("key_text").agg(F.first("text").alias("text"))
+    met = _block_keys(single.unionByName(once), settings)
     # Blocks of one row go. Counts by key are combined before the shuffle, and a large block's rows can
     # be split in the join, which a window over the key could not.
     shared = met.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("m")).where(F.col("m") > 1)
     blocks = cut_lineage(met.join(shared, "key").select("key", "id", "pivot", "m"))
-    signatures = known.select(F.col("doc_id").alias("id"), "n", "bits")
     by_pivot = blocks.where(F.col("id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = cut_lineage(_links(by_pivot, signatures, docs, settings))
     groups = cut_lineage(components(links))
@@ -367,25 +387,49 @@ def similarity_groups(docs: DataFrame, settings: JoinSettings = JoinSettings())
     # Two members have been compared; with three or more of several groups, the tree goes on.
     state = labelled.where(F.col("m") > 2).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     still = state.where(F.col("low") < F.col("high")).select("key")
-    sizes = signatures.select("id", "n").distinct()
+    sizes = signatures.select("id", "n")
     open_blocks = cut_lineage(labelled.join(still, "key").join(sizes, "id").select("key", "id", "label", "n", "m"))
     if not open_blocks.isEmpty():
         planted = _plant(open_blocks).join(signatures, ["id", "n"])
         more = _links(_tree_candidates(planted, settings).distinct(), signatures, docs, settings)
         links = cut_lineage(links.unionByName(more))
         groups = cut_lineage(components(links))
-    exact = narrow.where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    # Ids with several texts tie classes together, so the exact links take part like the others.
-    final = components(cut_lineage(groups.where(F.col("id") != F.col("component")).select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(exact)))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"))
-    joined = out.join(final.withColumnRenamed("id", "node"), F.col("doc_id") == F.col("node"), "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return rows, groups
+
+
+def _grouped_rows(docs: DataFrame, settings: JoinSettings) -> DataFrame:
+    """doc_id, key_text, n and the group of each row (``near``, null for an empty set)."""
+    rows, groups = _class_groups(docs, settings)
+    return cut_lineage(rows.join(groups, "id", "left").select("doc_id", "key_text", "n", F.coalesce("component", "id").alias("near")))
+
+
+def similarity_groups(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
+    """One row per document row: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+    rows = _grouped_rows(docs, settings)
+    roots = rows.where(F.col("near").isNotNull()).groupBy("near").agg(F.min("doc_id").alias("root"))
+    rooted = cut_lineage(rows.join(roots, "near", "left").select("doc_id", "n", "root"))
+    # Ids with several texts tie groups together.
+    ties = rooted.where(F.col("root") != F.col("doc_id")).select(F.col("root").alias("a"), F.col("doc_id").alias("b")).distinct()
+    final = components(cut_lineage(ties)).withColumnRenamed("id", "node")
+    out = rooted.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("doc_id", "root").alias("own"))
+    return out.join(final, F.col("own") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "own").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
-    """``docs`` without the documents of a group other than its smallest id. Rows that share an id stay or
-    go together."""
-    groups = cut_lineage(similarity_groups(docs, settings))
-    surplus = cut_lineage(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("surplus_id")).distinct())
-    maybe, clean = split_by_membership(docs, F.col("doc_id"), surplus, F.col("surplus_id"))
-    return clean.unionByName(maybe.join(surplus, F.col("doc_id") == F.col("surplus_id"), "left_anti"))
+    """``docs`` with one row of each group, the one with the smallest id (no id comes last). Rows that share an
+    id but no text are told apart; rows without words stay."""
+    rows = _grouped_rows(docs, settings).where(F.col("near").isNotNull())
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key_text")
+    counted = rows.groupBy("near", "doc_id", "key_text").agg(F.count("*").alias("copies"))
+    best = rows.groupBy("near").agg(F.min(rank).alias("best"))
+    judged = counted.join(best, "near").withColumn("stays", rank == F.col("best"))
+    # What isn't named here stays as it is.
+    named = cut_lineage(
+        judged.where(~F.col("stays") | (F.col("copies") > 1)).select(F.col("doc_id").alias("near_id"), F.col("key_text").alias("near_text"), F.col("stays").alias("near_stays"))
+    )
+    keyed = docs.withColumn("near_key", F.xxhash64(text_of()))
+    maybe, clean = split_by_membership(keyed, F.col("near_key"), named, F.col("near_text"))
+    met = maybe.join(named, (F.col("near_key") == F.col("near_text")) & F.col("doc_id").eqNullSafe(F.col("near_id")), "left")
+    columns = docs.columns
+    once = met.where("near_stays").dropDuplicates(["doc_id", "near_key"]).select(*columns)
+    return clean.select(*columns).unionByName(met.where(F.col("near_stays").isNull()).select(*columns)).unionByName(once)

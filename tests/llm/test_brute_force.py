@@ -105,6 +105,21 @@ def test_groups_equal_all_pairs(spark, monkeypatch, shingle, threshold):
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+def test_classes_not_ids_are_compared(spark):
+    """Null, repeated and clashing ids lose no link and no text, and leave no copy."""
+    first, second = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    alone, unnamed = " ".join(f"c{i}" for i in range(60)), " ".join(f"d{i}" for i in range(60))
+    rows = [(3, first), (10, first), (10, second), (11, second), (12, second + " more"), (10, alone), (5, first), (5, first)]
+    rows += [(None, first), (None, unnamed), (None, unnamed), (None, unnamed + " more"), (20, alone + " x"), (20, alone + " x"), (7, ""), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_first(docs).collect()), key=str)
+    unnamed_kept = [t for i, t in kept if i is None]
+    assert len(unnamed_kept) == 1 and unnamed_kept[0].startswith(unnamed)
+    assert [x for x in kept if x[0] is not None] == sorted([(3, first), (10, second), (10, alone), (7, ""), (7, "")], key=str)
+    apart = spark.createDataFrame([(3, first), (4, first), (4, second), (11, second + " more")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in ngram_join.similarity_groups(apart).collect()} == {(3, 3), (4, 3), (11, 3)}
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(1)
     rule = ngram_join.JoinSettings(3, Fraction(8, 10))
