@@ -1,8 +1,8 @@
 """Language identification: words first, then ever shorter character n-grams.
 
 A word seen in training scores by its log frequency in each language. Any other word is looked up
-as n-grams of its padded letters, the longest length that training has seen deciding. A document
-goes to the language with the largest sum. The model is fitted on a bounded sample of labelled
+as n-grams of its padded letters, the longest length that training has seen deciding; the padding
+alone says nothing. A word without any known n-gram agrees with no language. A document goes to the language with the largest sum. The model is fitted on a bounded sample of labelled
 rows (``FitSettings``); scoring covers every row and whole texts, in Arrow batches, and needs no
 shuffle.
 
@@ -59,14 +59,14 @@ class LanguageModel:
 
     def backed_off(self, words: Sequence[str]) -> np.ndarray:
         """Scores of unseen words: the mean of the known n-grams of the greatest length that has one.
-        A word without letters scores nan."""
+        A word without letters scores nan, one without a known n-gram inf."""
         get, rows, sizes = self.grams.get, [], []
         for word in words:
             found: list[int] = []
             letters = word if word.isalpha() else "".join(LETTERS.findall(word))
             padded = f"^{letters}$"
             for n in range(min(self.longest_gram, len(padded)), 0, -1) if letters else ():
-                found = [r for i in range(len(padded) - n + 1) if (r := get(padded[i : i + n])) is not None]
+                found = [r for i in range(len(padded) - n + 1) if (n > 1 or 0 < i <= len(letters)) and (r := get(padded[i : i + n])) is not None]
                 if found:
                     break
             rows += found
@@ -77,6 +77,7 @@ class LanguageModel:
         if rows:
             out[some] = np.add.reduceat(self.scores[rows], np.r_[0, np.cumsum(count[some])[:-1]], axis=0) / count[some, None]
         out[count < 0] = np.nan
+        out[count == 0] = np.inf
         return out
 
 
@@ -113,10 +114,11 @@ class Reader:
             group, split = split[:end], split[end:]
             rows = self._rows([w for _, words in group for w in words])
             scores = self.table[rows]
-            counted = ~np.isnan(scores[:, 0])
-            best_of_word = np.where(counted, np.nan_to_num(scores).argmax(axis=1), -1)
+            counted, known = ~np.isnan(scores[:, 0]), np.isfinite(scores[:, 0])
+            scores = np.where(np.isfinite(scores), scores, 0)
+            best_of_word = np.where(known, scores.argmax(axis=1), -1)
             starts = np.r_[0, np.cumsum([len(words) for _, words in group])[:-1]]
-            best = np.add.reduceat(np.nan_to_num(scores.astype(np.float64)), starts, axis=0).argmax(axis=1)
+            best = np.add.reduceat(scores.astype(np.float64), starts, axis=0).argmax(axis=1)
             total = np.add.reduceat(counted.astype(np.int64), starts)
             lengths = np.diff(np.r_[starts, len(rows)])
             agree = np.add.reduceat((best_of_word == np.repeat(best, lengths)).astype(np.int64), starts)

@@ -282,6 +282,12 @@ def test_unseen_words_back_off():
     assert [x[0] for x in found] == ["b", "a", "und", "und", "und", "a"]
 
 
+def test_padding_is_no_evidence():
+    model = language.LanguageModel(["a", "b"], {}, {"xy": 0, "^": 1, "$": 2}, np.array([[0, 1], [0, 2], [0, 2]], np.float32), 5)
+    found = language.Reader(model).predict(["\u0436\u0437", "xy \u0436 \u0437 \u0436\u0437", "xy"])
+    assert [x[1] for x in found] == [0, 0.25, 1] and found[1][0] == "b"
+
+
 def test_quality_held_out(spark):
     marks = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{LARGER}/labels.parquet'").fetchall())
     rows = [r for r in queries.op10_quality_model(spark, LARGER).collect() if r.held_out and r.doc_id in marks]
