@@ -3,8 +3,9 @@
 The layout can change at any line of a file, so it has to be carried forward over the lines
 that follow. Doing that with a window per file would put a whole file into one task. Instead one
 light pass condenses every input split to a single row (its header lines, line count and first
-line id); carrying the layout from split to split is then a window over those few rows, and the
-lines get theirs through an equi join on ``(file, block_start)``, mostly with one row each. Whether
+line id); carrying the layout from split to split is then a window over those few rows. Lines meet
+the row of their split through an equi join on ``(file, block_start)`` and find the layout in its sorted
+stretches by binary search, so a split with many headers costs a line no more than their logarithm. Whether
 that side is broadcast is left to its size.
 """
 
@@ -112,10 +113,9 @@ def _missing_fields(header_line: Column) -> Column:
 
 
 def split_layouts(splits: DataFrame) -> DataFrame:
-    """``(file, file_utc_date, block_start, line_no_base, from_id, to_id, layout)``: the stretches of lines within
-    each split that one layout governs, the first one carried in from the splits before. A header
-    that repeats the layout before it starts no new stretch, so most splits have one row. The last
-    stretch ends where the split does."""
+    """One row per split: ``(file, file_utc_date, block_start, line_no_base, end_id, from_ids, layouts)``. The k-th of
+    ``layouts`` governs the lines from the k-th of ``from_ids`` on; the first one is carried in from the splits
+    before. A header that repeats the layout before it starts no new stretch, so most splits have one."""
     inside = F.transform("headers", lambda h: F.struct(h["line_id"].alias("from_id"), layout(h["line"]).alias("layout")))
     own = splits.select("file", "file_utc_date", "block_start", "first_id", "n_lines", inside.alias("inside"))
     carried = F.last(F.try_element_at("inside", F.lit(-1))["layout"], ignorenulls=True).over(_before())
@@ -125,24 +125,21 @@ def split_layouts(splits: DataFrame) -> DataFrame:
         (_first_line_no() - F.col("first_id")).alias("line_no_base"),
         (F.col("first_id") + F.col("n_lines")).alias("end_id"),
     )
-    stretches = opening.select(
+    # Just before the split's first line, which may be a header itself.
+    first = F.array(F.struct((F.col("first_id") - 1).alias("from_id"), F.col("carried").alias("layout")))
+    stretches = opening.withColumn("stretches", F.concat(first, "inside"))
+    changed = F.filter(
+        "stretches", lambda s, i: (i == 0) | ~s["layout"].eqNullSafe(F.get("stretches", i - 1)["layout"])
+    )
+    return stretches.withColumn("stretches", changed).select(
         "file",
         "file_utc_date",
         "block_start",
         "line_no_base",
         "end_id",
-        F.inline(
-            F.concat(
-                # Just before the split's first line, which may be a header itself.
-                F.array(F.struct((F.col("first_id") - 1).alias("from_id"), F.col("carried").alias("layout"))),
-                F.col("inside"),
-            )
-        ),
+        F.col("stretches.from_id").alias("from_ids"),
+        F.col("stretches.layout").alias("layouts"),
     )
-    in_split = W.partitionBy("file", "block_start").orderBy("from_id")
-    changed = ~F.col("layout").eqNullSafe(F.lag("layout").over(in_split)) | (F.row_number().over(in_split) == 1)
-    kept = stretches.withColumn("changed", changed).where("changed").drop("changed")
-    return kept.withColumn("to_id", F.coalesce(F.lead("from_id").over(in_split), "end_id")).drop("end_id")
 
 
 UNKNOWN_SPLIT = "a line lies outside all splits that the first pass over the text has seen"
@@ -151,27 +148,30 @@ UNKNOWN_SPLIT = "a line lies outside all splits that the first pass over the tex
 def header_blocks(lines: DataFrame, layouts: DataFrame) -> DataFrame:
     """Data lines with ``layout``, the one of the header governing them (NULL before the first
     header). ``layouts`` must hold every split of every file to read; those marked ``left_out`` give
-    no lines. A line that no stretch covers fails the job: the text was cut in another way than when
-    the layouts were made, and dropping it would lose it without a trace."""
+    no lines. A line that no split covers fails the job: the text was cut in another way than when
+    the layouts were made, and dropping it would lose it without a trace.
+
+    A line meets one row, that of its split, and finds its stretch there by binary search, halving as often
+    as the split with the most stretches needs. Every step is a plain column, so the arrays are looked into where
+    they are and never copied to a line."""
+    most = layouts.agg(F.max(F.size("from_ids"))).first()[0] or 1
     side = layouts.withColumnsRenamed({"file": "in_file", "block_start": "in_block"})
-    governs = (
-        (F.col("file") == F.col("in_file"))
-        & (F.col("block_start") == F.col("in_block"))
-        & (F.col("line_id") >= F.col("from_id"))
-        & (F.col("line_id") < F.col("to_id"))
-    )
-    found = F.when(F.col("in_file").isNull(), F.raise_error(F.lit(UNKNOWN_SPLIT))).otherwise(F.col("layout"))
-    return (
-        lines.where(is_data(F.col("line")))
-        .join(side, governs, "left")
-        .where(~F.coalesce("left_out", F.lit(False)))
-        .select(
-            "file",
-            "file_utc_date",
-            "block_start",
-            "line_id",
-            (F.col("line_no_base") + F.col("line_id")).alias("line_no"),
-            "line",
-            found.alias("layout"),
-        )
+    of_split = (F.col("file") == F.col("in_file")) & (F.col("block_start") == F.col("in_block"))
+    met = lines.where(is_data(F.col("line"))).join(side, of_split, "left").where(~F.coalesce("left_out", F.lit(False)))
+    known = ["file", "file_utc_date", "block_start", "line_id", "line_no_base", "line", "in_file", "end_id", "from_ids", "layouts"]
+    at = F.lit(0)
+    for power in reversed(range((most - 1).bit_length())):
+        ahead = at + F.lit(1 << power)
+        met = met.select(*known, F.when(F.get("from_ids", ahead) <= F.col("line_id"), ahead).otherwise(at).alias("at"))
+        at = F.col("at")
+    covered = (F.col("line_id") > F.get("from_ids", F.lit(0))) & (F.col("line_id") < F.col("end_id"))
+    outside = F.col("in_file").isNull() | ~covered
+    return met.select(
+        "file",
+        "file_utc_date",
+        "block_start",
+        "line_id",
+        (F.col("line_no_base") + F.col("line_id")).alias("line_no"),
+        "line",
+        F.when(outside, F.raise_error(F.lit(UNKNOWN_SPLIT))).otherwise(F.get("layouts", at)).alias("layout"),
     )

@@ -9,8 +9,9 @@ in both passes; a date whose files don't come out alike is refused.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,11 @@ from ..operators import headers as H
 from ..operators.parsing import parse_lines, reject_lines
 from ..operators.scoping import assign_local_date
 from ..session import scratch_run, write_scratch
-from ..sinks.store import AggregateStore, Manifest, as_stored, backfilled_batch
+from ..sinks.backfill import backfill
+from ..sinks.store import AggregateStore, Manifest, as_stored
 from ..sources.calendar import calendar
 from ..sources.discovery import discover_files
-from ..sources.lines import fixed_splits, read_log_lines
+from ..sources.lines import fixed_splits, read_log_lines, unreadable_file
 
 
 @dataclass
@@ -106,41 +108,35 @@ def index_text(lines: DataFrame, files: DataFrame | None = None) -> Text:
     return Text(lines, files, splits, skipped, write_scratch(marked, "layouts"))
 
 
-def open_logs(spark: SparkSession, log_dir: str, utc_dates: list[date]) -> tuple[Text, dict[date, str]]:
-    """Files and lines of the UTC dates, and the dates left out because a file can't be read.
+UNREADABLE_REASON = "cannot be read: "
 
-    Reading fails as a whole, so the dates to blame are found by reading halves of what failed."""
-    unreadable: dict[date, str] = {}
-    dates = list(utc_dates)
+
+def open_logs(spark: SparkSession, log_dir: str, utc_dates: list[date]) -> tuple[Text, dict[str, str]]:
+    """Files and lines of the UTC dates, and the files that can't be read, each with its reason. Those are skipped
+    files: the others are read without them.
+
+    A scan that fails names the file it failed on, and goes on without it: as many short scans as there are such
+    files, and one over the rest."""
+    files = write_scratch(discover_files(spark, log_dir, utc_dates), "files")
+    # By name as in URLs, which is how Spark tells files apart.
+    failed: dict[str, str] = {}
+    unreadable: dict[str, str] = {}
     while True:
-        files = write_scratch(discover_files(spark, log_dir, dates), "files")
+        readable = files.where(~F.col("file").isin(list(unreadable))) if unreadable else files
         try:
-            return index_text(read_log_lines(spark, log_dir, dates), files), unreadable
+            text = index_text(read_log_lines(spark, log_dir, utc_dates, failed.keys()), readable)
+            break
         except Exception as e:
-            found = _unreadable_dates(spark, log_dir, dates) if _is_read_failure(e) else {}
-            if not found:
+            found = unreadable_file(e)
+            if not found or found[0] in failed:
                 raise
-            unreadable |= found
-            dates = [d for d in dates if d not in unreadable]
-
-
-def _is_read_failure(e: Exception) -> bool:
-    return "FAILED_READ_FILE" in str(e)
-
-
-def _unreadable_dates(spark: SparkSession, log_dir: str, dates: list[date]) -> dict[date, str]:
-    if not dates:
-        return {}
-    try:
-        read_log_lines(spark, log_dir, dates).agg(F.sum(F.length("line"))).collect()
-        return {}
-    except Exception as e:
-        if not _is_read_failure(e):
-            raise
-        if len(dates) == 1:
-            return {dates[0]: str(e).split("SQLSTATE")[0].strip()[:500]}
-        half = len(dates) // 2
-        return _unreadable_dates(spark, log_dir, dates[:half]) | _unreadable_dates(spark, log_dir, dates[half:])
+            failed[found[0]] = found[1]
+            unreadable = {unquote(name): why for name, why in failed.items()}
+    if unreadable:
+        reason = F.coalesce(*[F.when(F.col("file") == name, F.lit(UNREADABLE_REASON + why)) for name, why in unreadable.items()])
+        bad = files.where(F.col("file").isin(list(unreadable))).select("file", "file_utc_date", reason.alias("reason"))
+        text = replace(text, files=files, skipped=write_scratch(text.skipped.unionByName(bad), "skipped"))
+    return text, unreadable
 
 
 def harvest(
@@ -177,7 +173,10 @@ def _harvest(
 ) -> HarvestResult:
     utc_dates = sorted({r.utc_date for r in cal.select("utc_date").collect()})
     text, unreadable = open_logs(spark, log_dir, utc_dates)
-    result = HarvestResult(date_status(cal, text.files, text.skipped).orderBy("local_date").collect(), unreadable=unreadable)
+    result = HarvestResult(date_status(cal, text.files, text.skipped).orderBy("local_date").collect())
+    if unreadable:
+        for r in text.skipped.where(F.col("file").isin(list(unreadable))).orderBy("file").collect():
+            result.unreadable[r.file_utc_date] = "; ".join(filter(None, [result.unreadable.get(r.file_utc_date), f"{r.file} {r.reason}"]))
     if diagnostics:
         text.skipped.write.mode("overwrite").parquet(f"{diagnostics}/skipped")
         reject_lines(text.parsed()).write.mode("overwrite").parquet(f"{diagnostics}/rejects")
@@ -205,14 +204,16 @@ def _harvest(
     store.write(as_stored(on_dates.where(F.col("table_name").isin(flat)), F.col("table_name")), batch)
     logins = on_dates.where(F.col("table_name").isin(list(S.DEVICE_TABLES)))
     new = write_scratch(A.first_login(logins, ("table_name", "local_date", "device_id")), "devices")
-    filled, changed = backfilled_batch(store, base, new, list(S.DEVICE_TABLES), dates)
-    filled = write_scratch(filled, "filled")
-    store.write(as_stored(filled, F.col("table_name")), batch)
+    found = backfill(store, base, as_stored(new, F.col("table_name")), list(S.DEVICE_TABLES), dates)
+    filled = write_scratch(found.rows, "filled")
+    store.write(filled, batch)
+    store.write(found.index, batch, index=True)
+    replaced |= found.index_dates
     attributed = D.attribution_counts(new, filled.where(F.col("local_date").isin(dates)), ("table_name", "local_date"))
     counts = attributed.orderBy("table_name", "local_date").collect()
     for name in S.DEVICE_TABLES:
-        replaced[name] = [*dates, *changed[name]]
-        result.backfilled |= set(changed[name])
+        replaced[name] = [*dates, *found.changed[name]]
+        result.backfilled |= set(found.changed[name])
         result.attribution[name] = [Row(**{k: v for k, v in r.asDict().items() if k != "table_name"}) for r in counts if r.table_name == name]
     if before_commit:
         before_commit()

@@ -5,10 +5,13 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..config import HarvestSettings, ReportSettings, report_boundaries
+from ..session import scratch_run
 from ..sinks import tsv
+from ..sinks.backfill import DeviceIndex
 from ..sinks.store import AggregateStore
 from . import marts as M
 from .harvest import HarvestResult, harvest
@@ -17,14 +20,13 @@ from .harvest import HarvestResult, harvest
 def report_tables(
     store: AggregateStore, settings: ReportSettings, now_utc: datetime, year: int
 ) -> dict[str, DataFrame]:
-    """Every report table by name, all read from one committed state of the store."""
+    """Every report table by name, all read from one committed state of the store. Services, portal items and
+    devices are summed once each, for all their tables, into scratch tables."""
     b = report_boundaries(now_utc, settings.local_time_zone, year)
     manifest = store.manifest()
 
-    def table(name: str, whole: bool = False) -> DataFrame:
-        # Usernames are looked up over the whole device table; everything else needs the ranges only.
-        start, end = (None, None) if whole else (min(b.year_start, b.last7_start), b.today)
-        return store.read_table(name, start, end, manifest)
+    def table(name: str) -> DataFrame:
+        return store.read_table(name, min(b.year_start, b.last7_start), b.today, manifest)
 
     root, service, item = table(S.BY_ROOT), table(S.BY_SERVICE), table(S.BY_PORTAL_ITEM)
     flat = {
@@ -36,23 +38,13 @@ def report_tables(
     tables = {
         "root_evolution": M.mart_root_evolution(root, settings, b),
         "root_complete": M.mart_root_complete(root, settings, b),
-        "service_evolution": M.mart_service_evolution(service, settings, b),
-        "service_leaderboards": M.mart_service_leaderboards(service, settings, b),
-        "service_complete": M.mart_service_complete(service, settings, b),
-        "service_detail": M.mart_service_detail(service, settings, b),
-        "portal_evolution": M.mart_portal_evolution(item, b),
-        "portal_leaderboards": M.mart_portal_leaderboards(item, b),
-        "portal_complete": M.mart_portal_complete(item, b),
-        "portal_detail": M.mart_portal_detail(item, b),
         "flat_leaderboards": M.mart_flat_leaderboards(flat, b),
     }
+    tables |= M.service_marts(service, settings, b) | M.portal_marts(item, b)
     for prefix, name in (("field_maps", S.BY_FIELD_MAPS_DEVICE), ("survey123", S.BY_SURVEY123_DEVICE)):
-        device = table(name, whole=True)
-        tables |= {
-            f"{prefix}_leaderboard": M.mart_device_leaderboard(device, b),
-            f"{prefix}_complete": M.mart_device_complete(device, b),
-            f"{prefix}_detail": M.mart_device_detail(device, b),
-        }
+        # Usernames are looked up over all dates, in the store's donors.
+        names = DeviceIndex(store, manifest, [name]).donors().select("device_id", F.col("username").alias("donor"))
+        tables |= M.device_marts(table(name), names, b, prefix)
     return tables
 
 
@@ -71,16 +63,17 @@ def regenerate(
     """Write ``<output>/<table>`` as parquet, and ``<output>/<table>.tsv`` for the complete views
     that have rows. Gives the names written."""
     written = []
-    for name, df in report_tables(store, settings, now_utc, year).items():
-        path = f"{output.rstrip('/')}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        written.append(name)
-        if name in TSV_REPORTS:
-            stored = df.sparkSession.read.schema(df.schema).parquet(path)
-            if tsv.export_tsv(stored, f"{path}.tsv", TSV_REPORTS[name]):
-                written.append(f"{name}.tsv")
-            else:
-                store.files.delete(f"{path}.tsv")
+    with scratch_run(store.spark):
+        for name, df in report_tables(store, settings, now_utc, year).items():
+            path = f"{output.rstrip('/')}/{name}"
+            df.write.mode("overwrite").parquet(path)
+            written.append(name)
+            if name in TSV_REPORTS:
+                stored = df.sparkSession.read.schema(df.schema).parquet(path)
+                if tsv.export_tsv(stored, f"{path}.tsv", TSV_REPORTS[name]):
+                    written.append(f"{name}.tsv")
+                else:
+                    store.files.delete(f"{path}.tsv")
     return written
 
 

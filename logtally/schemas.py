@@ -18,6 +18,12 @@ BY_SURVEY123_DEVICE = "aggregated_by_survey123_device"
 
 DEVICE_TABLES = (BY_FIELD_MAPS_DEVICE, BY_SURVEY123_DEVICE)
 
+# What a store keeps beside the device tables: per device the earliest date with a username (and the name),
+# and the dates on which a device without any was seen.
+DONORS = {name: f"{name}_donors" for name in DEVICE_TABLES}
+UNNAMED = {name: f"{name}_unnamed" for name in DEVICE_TABLES}
+INDEX_TABLES = (*DONORS.values(), *UNNAMED.values())
+
 # Key columns of each table, after local_date.
 KEYS: dict[str, tuple[str, ...]] = {
     BY_URI: ("uri_stem",),

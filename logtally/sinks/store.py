@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
 
@@ -23,18 +23,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import devices as D
 from ..operators.aggregates import as_table
-from ..session import write_scratch
+from ..session import scratch_run
+from .backfill import backfill
 from .files import SharedFiles
 
 
 @dataclass(frozen=True)
 class Manifest:
-    """Which batch holds each date of each table."""
+    """Which batch holds each date of each table, and how far streams that end here have come."""
 
     version: int
     tables: dict[str, dict[str, str]]
+    streams: dict[str, dict] = field(default_factory=dict)
 
     def dates(self, name: str, start: date | None = None, end: date | None = None) -> dict[str, str]:
         low, high = (start or date.min).isoformat(), (end or date.max).isoformat()
@@ -54,21 +55,31 @@ class AggregateStore:
         versions = self.files.glob(f"{self.root}/manifest/*.json")
         if not versions:
             return Manifest(0, {})
-        return Manifest(int(versions[-1].rsplit("/", 1)[1].split(".")[0]), json.loads(self.files.read_text(versions[-1])))
+        made = json.loads(self.files.read_text(versions[-1]))
+        # Manifests without streams once held the tables alone.
+        held = made if "tables" not in made else made["tables"]
+        return Manifest(int(versions[-1].rsplit("/", 1)[1].split(".")[0]), held, made.get("streams", {}) if held is not made else {})
 
     def read_stored(
         self, name: str, start: date | None = None, end: date | None = None, manifest: Manifest | None = None
     ) -> DataFrame:
         """Rows of one table in the stored layout. Only the folders of the asked dates are even
         listed; a date filter put on the result later still prunes folders."""
-        held = (manifest or self.manifest()).dates(name, start, end)
+        return self._read(name, (manifest or self.manifest()).dates(name, start, end))
+
+    def read_dates(self, name: str, dates: Iterable[date], manifest: Manifest) -> DataFrame:
+        """Rows of one table on the given dates; no other folder is listed."""
+        held = manifest.dates(name)
+        return self._read(name, {d: held[d] for d in {x.isoformat() for x in dates} & held.keys()})
+
+    def _read(self, name: str, held: dict[str, str]) -> DataFrame:
         schema = S.stored_schema()
         if not held:
             return self.spark.createDataFrame([], schema)
         folders = [self._folder(batch, name, d) for d, batch in sorted(held.items())]
         return (
             self.spark.read.schema(schema)
-            .option("basePath", f"{self.root}/data")
+            .option("basePath", self._area(name))
             .parquet(*folders)
             .select(*schema.fieldNames())
         )
@@ -84,30 +95,36 @@ class AggregateStore:
     def new_batch(self) -> str:
         return uuid.uuid4().hex
 
-    def write(self, df: DataFrame, batch: str) -> None:
-        """Add rows (``table_name``, ``local_date`` and stored columns) to an uncommitted batch.
-        The rebalance sizes files by bytes: small dates share a task, a large one gets several."""
+    def write(self, df: DataFrame, batch: str, index: bool = False) -> None:
+        """Add rows (``table_name``, ``local_date`` and stored columns) to an uncommitted batch; those of
+        ``S.INDEX_TABLES`` go to an area of their own. The rebalance sizes files by bytes: small dates share
+        a task, a large one gets several."""
         (
             df.hint("rebalance", F.col("table_name"), F.col("local_date"))
             .write.mode("append")
             .partitionBy("table_name", "local_date")
-            .parquet(self.batch_path(batch))
+            .parquet(f"{self.root}/{'index' if index else 'data'}/batch={batch}")
         )
 
-    def batch_path(self, batch: str) -> str:
-        return f"{self.root}/data/batch={batch}"
+    def _area(self, name: str) -> str:
+        return f"{self.root}/{'index' if name in S.INDEX_TABLES else 'data'}"
+
+    def table_path(self, batch: str, name: str) -> str:
+        return f"{self._area(name)}/batch={batch}/table_name={name}"
 
     def _folder(self, batch: str, name: str, d: str) -> str:
-        return f"{self.batch_path(batch)}/table_name={name}/local_date={d}"
+        return f"{self.table_path(batch, name)}/local_date={d}"
 
     def dates_in_batch(self, batch: str, name: str) -> set[str]:
-        found = self.files.glob(f"{self.batch_path(batch)}/table_name={name}/local_date=*")
+        found = self.files.glob(f"{self.table_path(batch, name)}/local_date=*")
         return {f.rsplit("=", 1)[1] for f in found}
 
-    def commit(self, base: Manifest, batch: str, replaced: dict[str, Iterable[date]]) -> Manifest:
+    def commit(
+        self, base: Manifest, batch: str, replaced: dict[str, Iterable[date]], streams: dict[str, dict] | None = None
+    ) -> Manifest:
         """Publish: for each table the given dates now come from ``batch``, or are empty where the
-        batch holds nothing for them. Other dates and tables stay. Fails if another commit
-        happened since ``base`` was read."""
+        batch holds nothing for them. Other dates and tables stay, as do streams but the given. Fails if
+        another commit happened since ``base`` was read."""
         tables = {name: dict(held) for name, held in base.tables.items()}
         for name, dates in replaced.items():
             held = tables.setdefault(name, {})
@@ -118,20 +135,29 @@ class AggregateStore:
                     held[d] = batch
         version = base.version + 1
         aside = f"{self.root}/manifest/.{uuid.uuid4().hex}"
-        self.files.write_text(aside, json.dumps(tables, indent=1, sort_keys=True))
+        streams = base.streams | (streams or {})
+        self.files.write_text(aside, json.dumps({"tables": tables, "streams": streams}, indent=1, sort_keys=True))
         self.files.publish(aside, f"{self.root}/manifest/{version:012d}.json")
-        return Manifest(version, tables)
+        return Manifest(version, tables, streams)
 
     def delete_by_local_date(self, name: str, d: date) -> Manifest:
         """Remove one date of one table."""
-        return self.commit(self.manifest(), self.new_batch(), {name: [d]})
+        if name not in S.DEVICE_TABLES:
+            return self.commit(self.manifest(), self.new_batch(), {name: [d]})
+        return replace_daily_batch(self, {name: self.spark.createDataFrame([], S.stored_schema())}, [d])
 
     def remove_unreferenced(self) -> None:
         """Delete batches the latest manifest does not use. Not while older readers are at work."""
         used = {b for held in self.manifest().tables.values() for b in held.values()}
-        for path in self.files.glob(f"{self.root}/data/batch=*"):
-            if path.rsplit("=", 1)[1] not in used:
-                self.files.delete(path)
+        for area in ("data", "index"):
+            for path in self.files.glob(f"{self.root}/{area}/batch=*"):
+                if path.rsplit("=", 1)[1] not in used:
+                    self.files.delete(path)
+
+    def remove_manifests(self, keep: int) -> None:
+        """Delete all but the latest manifests. Readers that hold an older one keep what it names."""
+        for path in self.files.glob(f"{self.root}/manifest/*.json")[:-keep]:
+            self.files.delete(path)
 
 
 def as_stored(df: DataFrame, table_name: Column) -> DataFrame:
@@ -143,33 +169,6 @@ def as_stored(df: DataFrame, table_name: Column) -> DataFrame:
     )
 
 
-#: A device, across the tables of both kinds.
-TABLE_DEVICE = ("table_name", "device_id")
-
-
-def backfilled_batch(
-    store: AggregateStore, base: Manifest, new: DataFrame, names: list[str], dates: list[date]
-) -> tuple[DataFrame, dict[str, list[date]]]:
-    """The rows to write when ``new`` takes the place of ``dates`` in the named device tables: they and
-    those of every older date on which a missing username can now be filled, filled; and by table
-    those older dates.
-
-    Donors are computed once from the whole history and kept as one row per device.
-    """
-    columns = new.columns
-    held = [store.read_stored(name, manifest=base).where(~F.col("local_date").isin(dates)).select(*columns) for name in names]
-    old = reduce(DataFrame.unionByName, held)
-    donors = write_scratch(D.donors(old.unionByName(new), TABLE_DEVICE), "donors")
-    unnamed = old.where(F.col("username").isNull()).select(*TABLE_DEVICE, "local_date")
-    found = unnamed.join(donors, list(TABLE_DEVICE), "left_semi").select("table_name", "local_date").distinct().collect()
-    changed = {name: sorted(r.local_date for r in found if r.table_name == name) for name in names}
-    table = new
-    for name, rows in zip(names, held, strict=True):
-        if changed[name]:
-            table = table.unionByName(rows.where(F.col("local_date").isin(changed[name])))
-    return D.fill_usernames(table, donors, TABLE_DEVICE), changed
-
-
 def replace_daily_batch(
     store: AggregateStore, batch: dict[str, DataFrame | None], dates: Iterable[date]
 ) -> Manifest:
@@ -181,11 +180,13 @@ def replace_daily_batch(
     replaced = {name: dates for name in given}
     devices = [name for name in given if name in S.DEVICE_TABLES]
     parts = [df for name, df in given.items() if name not in devices]
-    if devices:
-        new = reduce(DataFrame.unionByName, [given[name] for name in devices])
-        rows, changed = backfilled_batch(store, base, new, devices, dates)
-        parts.append(rows)
-        replaced |= {name: [*dates, *changed[name]] for name in devices}
-    for rows in parts:
-        store.write(rows, batch_id)
+    with scratch_run(store.spark):
+        if devices:
+            new = reduce(DataFrame.unionByName, [given[name] for name in devices])
+            filled = backfill(store, base, new, devices, dates)
+            parts.append(filled.rows)
+            store.write(filled.index, batch_id, index=True)
+            replaced |= {name: [*dates, *filled.changed[name]] for name in devices} | filled.index_dates
+        for rows in parts:
+            store.write(rows, batch_id)
     return store.commit(base, batch_id, replaced)

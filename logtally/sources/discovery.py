@@ -23,12 +23,18 @@ def name_filter(utc_dates: Iterable[date]) -> str:
     return "u_ex{" + ",".join(sorted({d.strftime("%y%m%d") for d in utc_dates})) + "}*.log"
 
 
+def url_decoded(name: Column) -> Column:
+    """A path as it is, from its form in a URL."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def _listing(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
-    """``(path)`` of the matching files in the top folder, empty ones included, which a scan would
-    leave out. These are the names Spark's own file index holds on the driver, nothing more."""
-    found = spark.read.option("pathGlobFilter", pattern).text(directory).inputFiles()
-    encoded = spark.createDataFrame([(p,) for p in found], "value string")
-    return encoded.select(F.url_decode(F.replace(F.col("value"), F.lit("+"), F.lit("%2B"))).alias("path"))
+    """``(path)`` of the matching files in the top folder, empty ones included, which any scan would
+    leave out. The names that Spark's own file index holds become a table where they are, in the JVM."""
+    found = spark.read.option("pathGlobFilter", pattern).text(directory)._jdf.inputFiles()
+    names = Column(spark._jvm.org.apache.spark.sql.functions.lit(found))
+    encoded = spark.range(1).select(F.explode(names).alias("value"))
+    return encoded.select(url_decoded(F.col("value")).alias("path"))
 
 
 def discover_files(spark: SparkSession, directory: str, utc_dates: Iterable[date]) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Daily totals per root over a stream of requests.
+"""Daily totals per root over a stream of requests, kept in the aggregate store.
+
+Each micro-batch is summed and merged in one commit of the store: days that the watermark has passed
+are closed and become dates of ``stream_daily_totals``; the open ones are kept in one table that each
+commit replaces. The manifest names the last epoch merged, so one that Spark repeats after a failure
+changes nothing: every request counts once. What the stream has to remember between micro-batches is
+the open days alone, in the store; a new checkpoint or cluster does not lose it.
 
 A running view between batch harvests; a harvest stays the way to rebuild a day. A growing log
 file is not re-read by a file stream, so the input is whatever delivers whole requests.
@@ -6,61 +12,108 @@ file is not re-read by a file stream, so the input is whatever delivers whole re
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.measures import ms_to_seconds
 from ..functions.text import normalize_root
+from ..session import scratch_run, write_scratch
+from ..sinks.store import AggregateStore, Manifest, as_stored
 
+CLOSED, OPEN = "stream_daily_totals", "stream_open_totals"
+DELAY = timedelta(days=1)
 
-def daily_totals(requests: DataFrame, time_zone: str, watermark: str = "1 day") -> DataFrame:
-    """``(local_date, root, hits, time_taken_ms)``. The event time is the wall clock of the zone, taken
-    for UTC, so a local day is a plain one-day window whatever its offset and length; its state is
-    dropped once the watermark has passed its end. The session's own zone plays no part."""
-    day = F.window("event_time", "1 day")
-    clock = F.col("local_clock")
-    epoch = F.lit("1970-01-01").cast("date")
-    seconds = F.datediff(F.to_date(clock), epoch).cast("long") * 86_400 + F.hour(clock) * 3_600 + F.minute(clock) * 60 + F.second(clock)
+
+def batch_totals(requests: DataFrame, time_zone: str) -> DataFrame:
+    """``(local_date, root, hits, time_taken_ms, last_clock)`` of some requests. Dates are those of the zone's
+    wall clock; the session's own zone plays no part."""
+    clock = F.convert_timezone(F.lit("UTC"), F.lit(time_zone), F.col("utc_ts"))
     return (
-        requests.withColumn("local_clock", F.convert_timezone(F.lit("UTC"), F.lit(time_zone), F.col("utc_ts")))
-        .withColumn("event_time", F.timestamp_seconds(seconds))
-        .withWatermark("event_time", watermark)
-        .groupBy(day.alias("day"), normalize_root(F.col("uri_stem")).alias("root"))
-        .agg(F.count(F.lit(1)).alias("hits"), F.sum(F.col("time_taken_ms").cast("long")).alias("time_taken_ms"))
-        .select(
-            F.date_add(epoch, F.floor(F.unix_seconds("day.start") / 86_400).cast("int")).alias("local_date"),
-            "root",
-            "hits",
-            "time_taken_ms",
-        )
+        requests.select(clock.alias("clock"), normalize_root(F.col("uri_stem")).alias("root"), F.col("time_taken_ms").cast("long").alias("ms"))
+        .where(F.col("clock").isNotNull())
+        .groupBy(F.to_date("clock").alias("local_date"), "root")
+        .agg(F.count(F.lit(1)).alias("hits"), F.sum("ms").alias("time_taken_ms"), F.max("clock").alias("last_clock"))
     )
 
 
-def stream_daily_totals(requests: DataFrame, path: str, checkpoint: str, time_zone: str) -> StreamingQuery:
-    """Run over what has arrived and keep ``path`` up to date. Each micro-batch writes the totals
-    it changed to a folder of its own; repeating one after a failure replaces that folder."""
+def merge_batch(store: AggregateStore, requests: DataFrame, epoch: int, time_zone: str, delay: timedelta = DELAY, stream: str = CLOSED) -> Manifest:
+    """Add one micro-batch to the totals. A date is closed once the latest clock seen is ``delay`` past its end;
+    requests of dates closed by earlier micro-batches are counted as ``late`` and left out. An epoch that is in
+    the store already is ignored."""
+    base = store.manifest()
+    state = base.streams.get(stream, {})
+    if epoch <= state.get("epoch", -1):
+        return base
+    closed_before = date.fromisoformat(state["closed_before"]) if state.get("closed_before") else None
+    before = lambda limit: F.col("local_date") < F.lit(limit) if limit else F.lit(False)
+    with scratch_run(store.spark):
+        seen = write_scratch(batch_totals(requests, time_zone), "stream-batch")
+        is_late = before(closed_before)
+        figures = seen.agg(F.max("last_clock").alias("clock"), F.sum(F.when(is_late, F.col("hits"))).alias("late")).first()
+        clock = max(filter(None, [figures.clock, datetime.fromisoformat(state["clock"]) if state.get("clock") else None]), default=None)
+        open_now = store.read_stored(OPEN, manifest=base)
+        columns = ("local_date", "root", "hits", "time_taken_ms")
+        totals = (
+            seen.where(~is_late)
+            .select(*columns)
+            .unionByName(open_now.select(*columns))
+            .groupBy("local_date", "root")
+            .agg(F.sum("hits").alias("hits"), F.sum("time_taken_ms").alias("time_taken_ms"))
+        )
+        totals = write_scratch(totals, "stream-totals")
+        # A row per open date.
+        dates = sorted(r.local_date for r in totals.select("local_date").distinct().collect())
+        after = max(filter(None, [closed_before, (clock - delay).date() if clock else None]), default=None)
+        closing = [d for d in dates if after and d < after]
+        batch = store.new_batch()
+        name = F.when(before(after), F.lit(CLOSED)).otherwise(F.lit(OPEN))
+        store.write(as_stored(totals, name), batch)
+        still_open = {date.fromisoformat(d) for d in base.dates(OPEN)} | set(dates)
+        new_state = {
+            "epoch": epoch,
+            "clock": clock.isoformat() if clock else None,
+            "closed_before": after.isoformat() if after else None,
+            "late": state.get("late", 0) + (figures.late or 0),
+            "open_batches": [*state.get("open_batches", [])[-1:], batch],
+        }
+        done = store.commit(base, batch, {CLOSED: closing, OPEN: still_open}, {stream: new_state})
+    # Readers of the state before this one keep theirs; what is older goes.
+    for old in state.get("open_batches", [])[:-1]:
+        store.files.delete(store.table_path(old, OPEN))
+        if not store.files.glob(f"{store.root}/data/batch={old}/table_name=*"):
+            store.files.delete(f"{store.root}/data/batch={old}")
+    return done
 
-    def upsert(changed: DataFrame, epoch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return (
-        daily_totals(requests, time_zone)
-        .writeStream.outputMode("update")
-        .foreachBatch(upsert)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+#: Manifests that a stream leaves behind it.
+KEPT_MANIFESTS = 20
+
+
+def stream_daily_totals(
+    requests: DataFrame, path: str, checkpoint: str, time_zone: str, delay: timedelta = DELAY, stream: str = CLOSED
+) -> StreamingQuery:
+    """Run over what has arrived and keep the totals in the store at ``path`` up to date. ``stream`` names the
+    input: epochs of one name must come from one checkpoint."""
+    store = AggregateStore(requests.sparkSession, path)
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        merge_batch(store, batch, epoch, time_zone, delay, stream)
+        store.remove_manifests(KEPT_MANIFESTS)
+
+    return requests.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_daily_totals(spark: SparkSession, path: str) -> DataFrame:
-    """The latest total of each date and root."""
-    latest = (
-        spark.read.parquet(path)
-        .groupBy("local_date", "root")
-        .agg(F.max_by(F.struct("hits", "time_taken_ms"), "epoch").alias("v"))
-    )
-    return latest.select(
-        "local_date", "root", ms_to_seconds(F.col("v.time_taken_ms")).alias("time_taken_second"), F.col("v.hits").alias("hits")
-    )
+    """The totals of each date and root, closed and open."""
+    store = AggregateStore(spark, path)
+    manifest = store.manifest()
+    both = store.read_stored(CLOSED, manifest=manifest).unionByName(store.read_stored(OPEN, manifest=manifest))
+    return both.select("local_date", "root", ms_to_seconds(F.col("time_taken_ms")).alias("time_taken_second"), "hits")
+
+
+def late_requests(spark: SparkSession, path: str, stream: str = CLOSED) -> int:
+    """Requests left out because their date was closed."""
+    return AggregateStore(spark, path).manifest().streams.get(stream, {}).get("late", 0)

@@ -318,6 +318,31 @@ def test_unreadable_file_refuses_its_dates_only(spark, tmp_path):
     assert one.replaced == [date(2024, 3, 5)] and not one.unreadable
 
 
+def test_two_unreadable_files_are_skipped_files(spark, tmp_path, monkeypatch):
+    """Two bad files of the days cost two scans more, and the others are read without them."""
+    from logtally.plans import harvest as plan
+
+    for day in ("2024-03-05", "2024-03-06", "2024-03-07", "2024-03-08"):
+        for name in ("a b%25+", "y"):
+            folder = log(tmp_path, day, ("09:00:00", "/" + name[0], "UA", 200, 1), name=name)
+    break_file(folder, "u_ex240306_a b%25+.log")
+    break_file(folder, "u_ex240308_y.log")
+    scans = []
+    index = plan.index_text
+    monkeypatch.setattr(plan, "index_text", lambda *args: (scans.append(1), index(*args))[1])
+    why = str(tmp_path / "why")
+    store, result = run(spark, tmp_path, "2024-03-05", "2024-03-08", diagnostics=why)
+    assert len(scans) == 3
+    assert (result.replaced, result.refused) == ([date(2024, 3, d) for d in (5, 7)], [date(2024, 3, d) for d in (6, 8)])
+    status = {r.local_date.day: (r.files, r.skipped_files, list(r.missing_utc_dates)) for r in result.status}
+    assert status == {5: (2, 0, []), 6: (2, 1, []), 7: (2, 0, []), 8: (2, 1, [])}
+    skipped = {r.file: r.reason for r in spark.read.parquet(f"{why}/skipped").collect()}
+    assert skipped.keys() == {"u_ex240306_a b%25+.log", "u_ex240308_y.log"}
+    assert all(reason.startswith(plan.UNREADABLE_REASON) for reason in skipped.values())
+    assert {str(d) for d in result.unreadable} == {"2024-03-06", "2024-03-08"}
+    assert {r.uri_stem for r in store.read_table(S.BY_URI).collect()} == {"/a", "/y"}
+
+
 def test_nothing_is_left_behind(spark, tmp_path):
     from logtally.session import scratch_root
 
