@@ -63,15 +63,11 @@ def merge_batch(store: AggregateStore, requests: DataFrame, epoch: int, time_zon
             .groupBy("local_date", "root")
             .agg(F.sum("hits").alias("hits"), F.sum("time_taken_ms").alias("time_taken_ms"))
         )
-        totals = write_scratch(totals, "stream-totals")
-        # A row per open date.
-        dates = sorted(r.local_date for r in totals.select("local_date").distinct().collect())
         after = max(filter(None, [closed_before, (clock - delay).date() if clock else None]), default=None)
-        closing = [d for d in dates if after and d < after]
         batch = store.new_batch()
-        name = F.when(before(after), F.lit(CLOSED)).otherwise(F.lit(OPEN))
-        store.write(as_stored(totals, name), batch)
-        still_open = {date.fromisoformat(d) for d in base.dates(OPEN)} | set(dates)
+        store.write(as_stored(totals, F.when(before(after), F.lit(CLOSED)).otherwise(F.lit(OPEN))), batch)
+        written = {name: {date.fromisoformat(d) for d in store.dates_in_batch(batch, name)} for name in (CLOSED, OPEN)}
+        replaced = {CLOSED: written[CLOSED], OPEN: written[OPEN] | {date.fromisoformat(d) for d in base.dates(OPEN)}}
         new_state = {
             "epoch": epoch,
             "clock": clock.isoformat() if clock else None,
@@ -79,7 +75,7 @@ def merge_batch(store: AggregateStore, requests: DataFrame, epoch: int, time_zon
             "late": state.get("late", 0) + (figures.late or 0),
             "open_batches": [*state.get("open_batches", [])[-1:], batch],
         }
-        done = store.commit(base, batch, {CLOSED: closing, OPEN: still_open}, {stream: new_state})
+        done = store.commit(base, batch, replaced, {stream: new_state})
     # Readers of the state before this one keep theirs; what is older goes.
     for old in state.get("open_batches", [])[:-1]:
         store.files.delete(store.table_path(old, OPEN))
