@@ -16,18 +16,33 @@ from logtally.llm import decontamination, language, mixing, ngram_join, secrets
 from logtally.llm.common import table
 from logtally.session import write_scratch
 
-#: A document whose words mostly belong elsewhere is rejected below this share.
-LEAST_LANGUAGE_SHARE = 0.3
+#: A document is rejected if, with all the doubt that its few words leave, less than this share of them belongs to its
+#: language, and not by ``CLEAR_MARGIN`` more than to the next one.
+LEAST_LANGUAGE_SHARE = 0.42
+CLEAR_MARGIN = 0.15
+#: So is one of whose words, with that doubt, fewer than this share were seen in any other document.
+LEAST_SEEN_SHARE = 0.12
+#: A given language gives way to a prediction that leads by so much more than the doubt.
+RELABEL_MARGIN = 0.2
+LANGUAGE_SEED = 17
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without letters, or with no language ahead of the others, go.
-    ``lang`` stays as given where it is, and is filled with the prediction where it is null."""
-    model = language.fit(docs)
+    """Documents with a language: those without letters, those whose words belong to no language more than to the
+    others, and those whose words no other document has, go. ``lang`` becomes the prediction where it is null or clearly contradicted."""
+    # Each half is judged by what the other half taught, so that no document vouches for its own words.
+    half = F.pmod(F.xxhash64("text", F.lit(LANGUAGE_SEED)), F.lit(2))
+    models = [language.fit(docs.where(half != k)) for k in (0, 1)]
     keep = [F.struct(*docs.columns).alias("document")]
-    found = language.identify(docs, model, keep)
-    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE))
-    lang = F.coalesce(F.col("document.lang"), F.col("lang_pred"))
+    judged = [language.identify(docs.where(half == k), m if m.languages else models[1 - k], keep) for k, m in enumerate(models)]
+    found = judged[0].unionByName(judged[1])
+    doubt = 0.5 / F.sqrt("n_letter_words")
+    nowhere = (F.col("score") + doubt < LEAST_LANGUAGE_SHARE) & (F.col("margin") < CLEAR_MARGIN)
+    unheard = F.col("n_seen_words") / F.col("n_letter_words") + doubt < LEAST_SEEN_SHARE
+    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & ~nowhere & ~unheard)
+    given = F.col("document.lang")
+    wrong = (given != F.col("lang_pred")) & (F.col("margin") - doubt > RELABEL_MARGIN)
+    lang = F.when(given.isNull() | wrong, F.col("lang_pred")).otherwise(given)
     return kept.select(*[lang.alias(c) if c == "lang" else F.col("document")[c].alias(c) for c in docs.columns])
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from logtally.session import scratch_root
+from logtally.session import new_scratch_dir, scratch_root
+from logtally.sinks.files import SharedFiles
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 """What separates words wherever a contract says words are ``[^\\x20\\x09-\\x0D]+``."""
@@ -67,6 +68,43 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         spark.conf.set(FREE_SHUFFLES, before)
 
 
+class Scratch:
+    """Intermediate tables of one run, as Parquet in the shared folder. ``drop`` deletes one whose successor
+    stands; leaving the context deletes the rest but those kept ``for_result``, which lazy results read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, new_scratch_dir(spark, "llm")
+        self.files = SharedFiles(spark, self.root)
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.results: set[int] = set()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*[df for df, _ in self.paths.values() if id(df) not in self.results])
+
+    def keep(self, df: DataFrame, label: str, for_result: bool = False) -> DataFrame:
+        """``df`` from files; the shuffle files that went into it are freed."""
+        path = f"{self.root}/{label}-{len(self.paths)}"
+        before = self.spark.conf.get(FREE_SHUFFLES, "false")
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = (kept, path)
+        if for_result:
+            self.results.add(id(kept))
+        return kept
+
+    def drop(self, *kept: DataFrame) -> None:
+        for df in kept:
+            _, path = self.paths.pop(id(df))
+            self.files.delete(path)
+
+
 def by_hash(ids: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the id alone."""
     return F.pmod(F.xxhash64(ids, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -132,13 +170,20 @@ def add_columns(
 BITMAP_BITS = 1 << 20
 
 
-def split_by_membership(rows: DataFrame, key: Column, members: DataFrame, member_key: Column) -> tuple[DataFrame, DataFrame]:
+def packed(rows: DataFrame) -> Column:
+    """A row as one value, so that no inner column meets a column of the caller; ``row.*`` unpacks it."""
+    return F.struct(*[rows[c] for c in rows.columns]).alias("row")
+
+
+def split_by_membership(
+    rows: DataFrame, key: Column, members: DataFrame, member_key: Column, bits: int = BITMAP_BITS
+) -> tuple[DataFrame, DataFrame]:
     """``rows`` as two parts: those whose key may be among the members, and those whose key surely isn't.
 
     Joining only the first part keeps wide rows that have no partner out of the shuffle. The bitmap
-    is at most ``BITMAP_BITS`` / 64 rows, which bounds the broadcast whatever the number of members.
+    is at most ``bits`` / 64 rows, which bounds the broadcast whatever the number of members.
     """
-    slot = lambda k: F.pmod(F.xxhash64(k, F.lit(1)), F.lit(BITMAP_BITS))
+    slot = lambda k: F.pmod(F.xxhash64(k, F.lit(1)), F.lit(bits))
     word, bit = (lambda s: F.floor(s / 64).cast("int")), (lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), (s % 64).cast("int")))
     words = (
         members.select(slot(member_key).alias("s"))
@@ -147,11 +192,11 @@ def split_by_membership(rows: DataFrame, key: Column, members: DataFrame, member
         .agg(F.bit_or("b").alias("bitmap_bits"))
     )
     words = cut_lineage(words)
-    marked = rows.withColumn("bitmap_slot", slot(key)).join(
+    marked = rows.select(packed(rows), slot(key).alias("bitmap_slot")).join(
         F.broadcast(words), word(F.col("bitmap_slot")) == F.col("bitmap_word"), "left"
     )
     hit = F.coalesce(F.col("bitmap_bits").bitwiseAND(bit(F.col("bitmap_slot"))) != 0, F.lit(False))
-    return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)
+    return marked.where(hit).select("row.*"), marked.where(~hit).select("row.*")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: Mapping[int, int], seed: int) -> DataFrame:

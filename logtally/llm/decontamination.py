@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut_lineage, split_words, text_of
+from .common import add_columns, cut_lineage, packed, row_key, split_by_membership, split_words, text_of
 from .ngram_join import list_slices
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -196,11 +196,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: TilingSettings =
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, settings: TilingSettings = TilingSettings()) -> DataFrame:
     """``docs`` without the rows whose text some item contaminates."""
-    from .common import row_key, split_by_membership
-
-    keyed = docs.withColumns({"leak_id": row_key()[0], "leak_text": row_key()[1]})
+    keyed = docs.select(packed(docs), F.col("doc_id").alias("leak_id"), F.xxhash64(text_of()).alias("leak_text"))
     slim = docs.select(F.struct(*row_key()).alias("doc_id"), "text")
     leaks = cut_lineage(find_leaks(slim, benchmark, settings).select("doc_id.*").distinct())
     maybe, clean = split_by_membership(keyed, F.col("leak_text"), leaks, F.col("key_text"))
     kept = maybe.join(leaks, F.col("leak_id").eqNullSafe(F.col("key_id")) & (F.col("leak_text") == F.col("key_text")), "left_anti")
-    return clean.select(*docs.columns).unionByName(kept.select(*docs.columns))
+    return clean.select("row.*").unionByName(kept.select("row.*"))

@@ -102,7 +102,7 @@ SELECT doc_id, n::BIGINT AS n_shingles, (SELECT min(other) FROM reach r WHERE r.
 def _secrets_sql() -> str:
     parts = []
     for at, rule in enumerate(secrets.RULES):
-        pattern = _quoted(rule.pattern)
+        pattern = _quoted(rule.plain_pattern)
         parts.append(
             f"""SELECT doc_id, {at} AS rank, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, {rule.least} AS least,
         regexp_extract_all(coalesce(text, ''), {pattern}, 0) AS m, regexp_extract_all(coalesce(text, ''), {pattern}, {rule.group}) AS g,

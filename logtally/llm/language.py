@@ -2,199 +2,240 @@
 
 A word seen in training scores by its log frequency in each language. Any other word is looked up
 as n-grams of its padded letters, the longest length that training has seen deciding; the padding
-alone says nothing. A word without any known n-gram agrees with no language. A document goes to the language with the largest sum. The model is fitted on a bounded sample of labelled
-rows (``FitSettings``); scoring covers every row and whole texts, in Arrow batches, and needs no
+alone says nothing. A word without any known n-gram agrees with no language. A document goes to the
+language with the largest sum. The model is fitted on a bounded sample of labelled rows of each
+language (``FitSettings``); scoring covers every row and whole texts, in Arrow batches, and needs no
 shuffle.
 
+Frequencies are shares of a language's own words, so each language counts alike however many rows it
+has, and are smoothed towards the word's mean share over all languages: ``log(1 + share / (SMOOTHING *
+mean))``. What was never seen scores 0 in every language, less than anything seen. Most words are known
+in few languages; only those scores are kept.
+
+Words are letters with the letters and marks that follow, lower-cased, cut by one expression for fit and
+scoring alike.
+
 Results for odd input: a null or letterless text is ``und`` with score 0; ties go to the language
-first in alphabetical order; repeated rows are scored one by one; extra columns are ignored; a
-training set without rows makes every text ``und``.
+first in alphabetical order; repeated rows are scored one by one, and count once in the fit; null and
+shared ids are like any other; extra columns are ignored; a training set without rows makes every text ``und``.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
-import re
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logtally.session import write_scratch
+
 from .common import add_columns, by_hash, text_of
 
 UNDETERMINED = "und"
-WORDS, LETTERS = re.compile(r"\w+"), re.compile(r"[^\W\d_]+")
-#: Words outside the model that a task remembers, and words scored together; bounds of memory only.
-MEMO_WORDS = 200_000
+WORD = r"\p{L}[\p{L}\p{M}]*"
+SMOOTHING = 0.1
+#: Scores of words outside the model that a task remembers, and words scored together; bounds of memory only.
+MEMO_SCORES = 4_000_000
 GROUP_WORDS = 50_000
 
 
 @dataclass(frozen=True)
 class FitSettings:
-    """Bounds of the fit: about so many rows of each language are read, and the most frequent
-    words and n-grams of them kept."""
+    """Bounds of the fit: about so many rows of each language are read, and its most frequent
+    words and n-grams kept. Every language with labelled rows is learned."""
 
     rows_per_language: int = 1_000
-    languages: int = 200
-    known_words: int = 50_000
-    grams: int = 150_000
+    words_per_language: int = 50_000
+    grams_per_language: int = 60_000
     longest_gram: int = 5
     seed: int = 7
 
 
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
 @dataclass
-class LanguageModel:
-    """``words`` and ``grams`` name rows of ``scores``, a log frequency for each language."""
+class Scores:
+    """Scores of words or n-grams: ``names[x]`` is a row; its languages and scores are those from ``start[row]`` on."""
+
+    names: dict[str, int]
+    start: np.ndarray
+    language: np.ndarray
+    score: np.ndarray
+
+    @staticmethod
+    def of(names: list[str], name: np.ndarray, language: np.ndarray, count: np.ndarray, totals: np.ndarray) -> Scores:
+        """From counts of (name, language) pairs, each at most once; ``totals``: all there is of each language."""
+        order = np.lexsort((language, name))
+        name, language, share = name[order], language[order], count[order] / totals[language[order]]
+        mean = np.bincount(name, share, len(names)) / len(totals)
+        start = np.searchsorted(name, np.arange(len(names) + 1))
+        return Scores({x: i for i, x in enumerate(names)}, start, language.astype(np.int32), np.log1p(share / (SMOOTHING * mean[name])).astype(np.float32))
+
+    def dense(self, rows: np.ndarray, languages: int) -> np.ndarray:
+        """One row of scores over all languages for each of ``rows``."""
+        sizes = self.start[rows + 1] - self.start[rows]
+        at = np.repeat(self.start[rows] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+        out = np.zeros((len(rows), languages), np.float32)
+        out[np.repeat(np.arange(len(rows)), sizes), self.language[at]] = self.score[at]
+        return out
 
+
+@dataclass
+class LanguageModel:
     languages: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
-    scores: np.ndarray
+    words: Scores
+    grams: Scores
     longest_gram: int
 
     def backed_off(self, words: Sequence[str]) -> np.ndarray:
-        """Scores of unseen words: the mean of the known n-grams of the greatest length that has one.
-        A word without letters scores nan, one without a known n-gram inf."""
-        get, rows, sizes = self.grams.get, [], []
+        """Scores of unseen words: the mean of the known n-grams of the greatest length that has one; zeros where
+        no n-gram is known."""
+        get, rows, sizes = self.grams.names.get, [], []
         for word in words:
             found: list[int] = []
-            letters = word if word.isalpha() else "".join(LETTERS.findall(word))
-            padded = f"^{letters}$"
-            for n in range(min(self.longest_gram, len(padded)), 0, -1) if letters else ():
-                found = [r for i in range(len(padded) - n + 1) if (n > 1 or 0 < i <= len(letters)) and (r := get(padded[i : i + n])) is not None]
+            padded = f"^{word}$"
+            for n in range(min(self.longest_gram, len(padded)), 0, -1):
+                found = [r for i in range(len(padded) - n + 1) if (n > 1 or 0 < i <= len(word)) and (r := get(padded[i : i + n])) is not None]
                 if found:
                     break
             rows += found
-            sizes.append(len(found) if letters else -1)
-        count = np.array(sizes)
+            sizes.append(len(found))
+        count = np.array(sizes, np.int64)
         out = np.zeros((len(words), len(self.languages)), np.float32)
         some = count > 0
         if rows:
-            out[some] = np.add.reduceat(self.scores[rows], np.r_[0, np.cumsum(count[some])[:-1]], axis=0) / count[some, None]
-        out[count < 0] = np.nan
-        out[count == 0] = np.inf
+            scores = self.grams.dense(np.array(rows), len(self.languages))
+            out[some] = np.add.reduceat(scores, np.r_[0, np.cumsum(count[some])[:-1]], axis=0) / count[some, None]
         return out
 
 
 class Reader:
-    """Scores texts with a model, remembering the words it has looked up."""
+    """Scores texts with a model, remembering the unseen words it has looked up."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.index = dict(model.words)
-        self.table = model.scores[: len(model.words)]
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        if len(self.index) > len(self.model.words) + MEMO_WORDS:
-            self.__init__(self.model)
-        rows = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(rows < 0).tolist()
-        if missing:
-            new = list(dict.fromkeys(words[i] for i in missing))
-            self.index.update(zip(new, itertools.count(len(self.table))))
-            self.table = np.concatenate([self.table, self.model.backed_off(new)])
-            rows[missing] = [self.index[words[i]] for i in missing]
-        return rows
-
-    def predict(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
+        self.memo: dict[str, np.ndarray] = {}
+
+    def _table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of distinct words, and which of them training has seen."""
+        model, width = self.model, len(self.model.languages)
+        rows = np.fromiter(map(model.words.names.get, words, itertools.repeat(-1)), np.int64, len(words))
+        out = np.zeros((len(words), width), np.float32)
+        known = rows >= 0
+        out[known] = model.words.dense(rows[known], width)
+        unseen = np.flatnonzero(~known).tolist()
+        new = [words[i] for i in unseen if words[i] not in self.memo]
+        if len(self.memo) * width > MEMO_SCORES:
+            self.memo.clear()
+            new = [words[i] for i in unseen]
+        if new:
+            self.memo.update(zip(new, model.backed_off(new), strict=True))
+        if unseen:
+            out[unseen] = np.vstack([self.memo[words[i]] for i in unseen])
+        return out, known
+
+    def predict(self, texts: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, margin and number of seen words of each list of words."""
         languages = self.model.languages
-        found = [(UNDETERMINED, 0.0)] * len(texts)
-        split = [(i, words) for i, t in enumerate(texts) if t and languages and (words := WORDS.findall(t.lower()))]
-        while split:
+        offsets = texts.offsets.to_numpy().astype(np.int64)
+        named, score, margin = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        seen = np.zeros(len(texts), np.int64)
+        begin = 0
+        while begin < len(texts) and languages:
             # As many texts as make up a group of words, one at least.
-            size, end = 0, 0
-            while end < len(split) and (not end or size + len(split[end][1]) <= GROUP_WORDS):
-                size += len(split[end][1])
-                end += 1
-            group, split = split[:end], split[end:]
-            rows = self._rows([w for _, words in group for w in words])
-            scores = self.table[rows]
-            counted, known = ~np.isnan(scores[:, 0]), np.isfinite(scores[:, 0])
-            scores = np.where(np.isfinite(scores), scores, 0)
-            best_of_word = np.where(known, scores.argmax(axis=1), -1)
-            starts = np.r_[0, np.cumsum([len(words) for _, words in group])[:-1]]
-            best = np.add.reduceat(scores.astype(np.float64), starts, axis=0).argmax(axis=1)
-            total = np.add.reduceat(counted.astype(np.int64), starts)
-            lengths = np.diff(np.r_[starts, len(rows)])
-            agree = np.add.reduceat((best_of_word == np.repeat(best, lengths)).astype(np.int64), starts)
-            for (i, _), b, k, n in zip(group, best.tolist(), agree.tolist(), total.tolist(), strict=True):
-                if n:
-                    found[i] = (languages[b], k / n)
-        return found
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + GROUP_WORDS, side="right")) - 1)
+            sizes = np.diff(offsets[begin : end + 1])
+            full = np.flatnonzero(sizes)
+            if len(full):
+                coded = texts.values.slice(offsets[begin], offsets[end] - offsets[begin]).dictionary_encode()
+                (table, known), at = self._table(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+                own_best = np.where(table.any(axis=1), table.argmax(axis=1), -1)
+                starts = (offsets[begin:end] - offsets[begin])[full]
+                best = np.add.reduceat(table[at].astype(np.float64), starts, axis=0).argmax(axis=1)
+                seen[begin + full] = np.add.reduceat(known[at].astype(np.int64), starts)
+                # Words of each text by their own best language; those without one in a column of their own.
+                text = np.repeat(np.arange(len(full)), sizes[full])
+                votes = np.bincount(text * (len(languages) + 1) + own_best[at] + 1, minlength=len(full) * (len(languages) + 1))
+                share = votes.reshape(len(full), -1)[:, 1:] / sizes[full, None]
+                score[begin + full] = agree = share[np.arange(len(full)), best]
+                share[np.arange(len(full)), best] = 0
+                margin[begin + full] = agree - share.max(axis=1)
+                for i, b in zip((begin + full).tolist(), best.tolist(), strict=True):
+                    named[i] = languages[b]
+            begin = end
+        return named, score, margin, seen
 
 
 def fit(labelled: DataFrame, settings: FitSettings = FitSettings()) -> LanguageModel:
     """Count words of a sample of ``labelled`` (doc_id, text, lang; rows without lang are left out).
 
-    The sample takes rows by a hash of their id, at the rate that gives each of the most frequent
-    languages ``rows_per_language`` rows.
+    The sample takes texts by their hash, at the rate that gives each language ``rows_per_language`` rows. What
+    comes to the driver is bounded by languages and ``words_per_language``.
     """
-    rows = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages)
-    sample = rows.join(F.broadcast(sizes), "lang").where(
-        by_hash(F.col("doc_id"), settings.seed) * F.col("count") < settings.rows_per_language
-    )
-    counts = (
-        sample.select("lang", F.explode(F.regexp_extract_all(F.lower(text_of()), F.lit(r"(?U)[^\W\d_]+"), F.lit(0))).alias("word"))
-        .groupBy("word", "lang")
-        .count()
-        .groupBy("word")
-        .agg(F.sum("count").alias("total"), F.collect_list("lang").alias("langs"), F.collect_list("count").alias("counts"))
-        .orderBy(F.desc("total"), "word")
-        .limit(2 * settings.known_words)
+    rows = labelled.where(F.col("lang").isNotNull()).select("lang", text_of().alias("text"))
+    sizes = write_scratch(rows.groupBy("lang").count(), "language-sizes")
+    sample = rows.join(sizes, "lang").where(by_hash(F.col("text"), settings.seed) * F.col("count") < settings.rows_per_language)
+    counts = sample.select("lang", "text").distinct().select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n"))
+    place = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    kept = (
+        counts.withColumn("total", F.sum("n").over(Window.partitionBy("lang")))
+        .withColumn("place", F.row_number().over(place))
+        .where(F.col("place") <= settings.words_per_language)
+        .select("word", "lang", "n", "total")
         .toArrow()
+        .sort_by([("word", "ascending"), ("lang", "ascending")])
     )
-    langs, words = counts["langs"].combine_chunks(), counts["word"].to_pylist()
-    of_word = np.repeat(np.arange(len(words)), np.diff(langs.offsets.to_numpy()))
-    names = langs.flatten().to_pylist()
-    languages = sorted(set(names))
-    at = {x: i for i, x in enumerate(languages)}
-    by_word = np.zeros((len(words), len(languages)))
-    by_word[of_word, [at[x] for x in names]] = counts["counts"].combine_chunks().flatten().to_numpy()
-    known = np.flatnonzero(counts["total"].to_numpy() > 1)[: settings.known_words]
-
-    ids: dict[str, int] = defaultdict(lambda: len(ids))
-    gram_ids, gram_words = [], []
-    for i, word in enumerate(words):
-        padded = f"^{word}$"
-        before = len(gram_ids)
-        for n in range(1, settings.longest_gram + 1):
-            gram_ids += [ids[padded[k : k + n]] for k in range(len(padded) - n + 1)]
-        gram_words.append(len(gram_ids) - before)
-    by_gram = np.zeros((len(ids), len(languages)))
-    np.add.at(by_gram, np.array(gram_ids, np.int64), by_word[np.repeat(np.arange(len(words)), np.array(gram_words, np.int64))])
-    grams = list(ids)
-    kept = sorted(range(len(grams)), key=lambda i: (-by_gram[i].sum(), grams[i]))[: settings.grams]
-    return LanguageModel(
-        languages,
-        {words[i]: row for row, i in enumerate(known)},
-        {grams[i]: len(known) + row for row, i in enumerate(kept)},
-        np.vstack([_log_frequencies(by_word[known]), _log_frequencies(by_gram[kept])]),
-        settings.longest_gram,
-    )
+    return model_of(kept["word"].to_pylist(), kept["lang"].to_pylist(), kept["n"].to_numpy(), kept["total"].to_numpy(), settings)
 
 
-def _log_frequencies(counts: np.ndarray) -> np.ndarray:
-    """Log of the share of each row in its language's total; unseen pairs count a half."""
-    smooth = counts + 0.5
-    return (np.log(smooth) - np.log(smooth.sum(axis=0)) + math.log(max(1, len(counts)))).astype(np.float32)
+def model_of(word: list[str], lang: list[str], n: np.ndarray, total: np.ndarray, settings: FitSettings) -> LanguageModel:
+    """The model from counts ``n`` of words in languages that have ``total`` words in all."""
+    languages = sorted(set(lang))
+    at = {x: i for i, x in enumerate(languages)}
+    language = np.array([at[x] for x in lang], np.int64)
+    totals = np.ones(len(languages))
+    totals[language] = total
+    words = list(dict.fromkeys(word))
+    row = {x: i for i, x in enumerate(words)}
+    known = Scores.of(words, np.array([row[x] for x in word], np.int64), language, n, totals)
+
+    counts: dict[tuple[str, int], int] = defaultdict(int)
+    for x, b, k in zip(word, language.tolist(), n.tolist(), strict=True):
+        padded = f"^{x}$"
+        for size in range(1, settings.longest_gram + 1):
+            for i in range(len(padded) - size + 1):
+                counts[padded[i : i + size], b] += k
+    by_language: dict[int, list[tuple[int, str]]] = defaultdict(list)
+    for (gram, b), k in counts.items():
+        by_language[b].append((-k, gram))
+    pairs = [(gram, b, -k) for b in range(len(languages)) for k, gram in sorted(by_language[b])[: settings.grams_per_language]]
+    sums = np.ones(len(languages))
+    for b in by_language:
+        sums[b] = -sum(k for k, _ in by_language[b])
+    grams = list(dict.fromkeys(g for g, _, _ in pairs))
+    row = {x: i for i, x in enumerate(grams)}
+    seen = Scores.of(grams, np.array([row[g] for g, _, _ in pairs], np.int64), np.array([b for _, b, _ in pairs], np.int64), np.array([k for _, _, k in pairs], np.int64), sums)
+    return LanguageModel(languages, known, seen, settings.longest_gram)
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str | Column]) -> DataFrame:
-    """The ``keep`` columns of ``docs`` with ``lang_pred`` and ``score``, the share of words whose own
-    best language is the predicted one. ``keep`` must not hold those two names."""
+    """The ``keep`` columns of ``docs`` with ``lang_pred``, ``score``, the share of words whose own best language
+    is the predicted one, and ``margin``, by how much that is more than the share of any other language,
+    ``n_letter_words``, and ``n_seen_words``, those of them that training has seen. ``keep`` must not hold these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     readers: list[Reader] = []
 
-    def predict(texts: pa.Array) -> list[pa.Array]:
+    def predict(words: pa.ListArray) -> list[pa.Array]:
         if not readers:
             readers.append(Reader(shared.value))
-        found = readers[0].predict(texts.to_pylist())
-        return [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+        named, score, margin, seen = readers[0].predict(words)
+        return [pa.array(named, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), words.value_lengths().cast(pa.int64()), pa.array(seen)]
 
-    return add_columns(docs, keep, [F.col("text")], "lang_pred string, score double", predict)
+    return add_columns(docs, keep, [words_of(text_of())], "lang_pred string, score double, margin double, n_letter_words long, n_seen_words long", predict)

@@ -24,9 +24,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, cut_lineage, split_words, text_of
+from logtally.session import write_scratch
+
+from .common import SPACE_RUN, packed, split_words, text_of
 
 LEVELS = ["mix_domain", "mix_lang", "mix_source"]
+MADE = ("mix_domain", "mix_tokens", "mix_epoch")
+#: Parts in which the rows of a leaf meet what is known of it, so that a large leaf isn't one task.
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -50,15 +55,15 @@ def domain_of(source: Column) -> Column:
 
 
 def with_leaf(docs: DataFrame) -> DataFrame:
-    """``docs`` with the names of its leaf and ``mix_tokens``, the words of its text."""
+    """The rows of ``docs``, packed, with doc_id, the names of their leaves and ``mix_tokens``, the words of their texts."""
     source = F.coalesce("source", F.lit(""))
-    return docs.withColumns(
-        {
-            "mix_domain": domain_of(source),
-            "mix_lang": F.coalesce("lang", F.lit("")),
-            "mix_source": source,
-            "mix_tokens": F.size(split_words(text_of(), SPACE_RUN)).cast("long"),
-        }
+    return docs.select(
+        packed(docs),
+        "doc_id",
+        domain_of(source).alias("mix_domain"),
+        F.coalesce("lang", F.lit("")).alias("mix_lang"),
+        source.alias("mix_source"),
+        F.size(split_words(text_of(), SPACE_RUN)).cast("long").alias("mix_tokens"),
     )
 
 
@@ -119,23 +124,26 @@ def leaf_cuts(docs: DataFrame, settings: MixSettings) -> DataFrame:
 
     The prefix holds as many documents as fit the rest of the budget; those of one id go together.
     """
-    narrow = cut_lineage(docs.select("doc_id", *LEVELS, "mix_tokens"))
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(SALTS)).cast("int")
+    narrow = write_scratch(docs.select("doc_id", *LEVELS, "mix_tokens", salt.alias("salt")), "mix-rows")
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
     budgets = leaf_budgets(leaves, settings)
-    planned = cut_lineage(
+    planned = write_scratch(
         budgets.select(
             *LEVELS,
             "budget",
             "n_rows",
             F.when(F.col("n_tokens") > 0, F.call_function("div", F.col("budget"), F.col("n_tokens"))).otherwise(0).cast("int").alias("full"),
             F.when(F.col("n_tokens") > 0, F.col("budget") % F.col("n_tokens")).otherwise(0).alias("rest"),
-        )
+        ),
+        "mix-plan",
     )
+    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     slices = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / settings.slice_rows))
     # Eight hex digits of the key as a number in [0, 1).
     part = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     keyed = (
-        narrow.join(planned.where(F.col("rest") > 0), LEVELS)
+        narrow.join(planned.where(F.col("rest") > 0).select("*", salted), [*LEVELS, "salt"])
         .withColumn("key", order_key(F.col("full") + 1, settings.seed))
         .select(*LEVELS, "key", "mix_tokens", "rest", F.floor(part * slices).alias("slice"))
     )
@@ -149,7 +157,9 @@ def leaf_cuts(docs: DataFrame, settings: MixSettings) -> DataFrame:
     upto = inside.select(*LEVELS, "key", "rest", (F.col("begins") + F.sum("mix_tokens").over(running)).alias("upto"))
     last = upto.where(F.col("upto") <= F.col("rest")).groupBy(*LEVELS).agg(F.max("key").alias("in_slice"))
     # No document of that slice fits: the last key of the slices before it.
-    before = keyed.join(ending.withColumnRenamed("slice", "end_slice").drop("begins"), LEVELS).where(F.col("slice") < F.col("end_slice")).groupBy(*LEVELS).agg(F.max("key").alias("in_earlier"))
+    # Slices are told apart first: the join then meets few rows of a leaf.
+    last_keys = keyed.groupBy(*LEVELS, "slice").agg(F.max("key").alias("key"))
+    before = last_keys.join(ending.withColumnRenamed("slice", "end_slice").drop("begins"), LEVELS).where(F.col("slice") < F.col("end_slice")).groupBy(*LEVELS).agg(F.max("key").alias("in_earlier"))
     return (
         planned.select(*LEVELS, "budget", "full")
         .join(last, LEVELS, "left")
@@ -160,11 +170,14 @@ def leaf_cuts(docs: DataFrame, settings: MixSettings) -> DataFrame:
 
 def select_documents(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, lang, source and others), ``mix_domain``, ``mix_tokens`` and
-    ``mix_epoch``: one row for each epoch a document is taken in. A leaf without tokens is taken in none."""
-    marked = with_leaf(docs)
-    cuts = cut_lineage(leaf_cuts(marked, settings)).withColumnsRenamed({c: f"cut_{c}" for c in LEVELS})
-    joined = marked.join(cuts, [F.col(c) == F.col(f"cut_{c}") for c in LEVELS])
+    ``mix_epoch``: one row for each epoch a document is taken in. A leaf without tokens is taken in none.
+    Columns of ``docs`` with these three names are replaced."""
+    marked = with_leaf(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(SALTS)).cast("int"))
+    cuts = write_scratch(leaf_cuts(marked, settings), "mix-cuts").withColumnsRenamed({c: f"cut_{c}" for c in LEVELS})
+    cuts = cuts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("cut_salt"))
+    joined = marked.join(cuts, [*[F.col(c) == F.col(f"cut_{c}") for c in LEVELS], F.col("salt") == F.col("cut_salt")])
     partial = F.col("cut").isNotNull() & (order_key(F.col("full") + 1, settings.seed) <= F.col("cut"))
     times = F.col("full") + partial.cast("int")
     epochs = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))
-    return joined.select(*docs.columns, "mix_domain", "mix_tokens", epochs.alias("mix_epoch"))
+    made = [c for c in docs.columns if c not in MADE]
+    return joined.select(*[F.col("row")[c].alias(c) for c in made], "mix_domain", "mix_tokens", epochs.alias("mix_epoch"))

@@ -8,19 +8,23 @@
    in the block of one's content. Sizes are banded, so that both sides use the same numbers. Empty
    segments agree with any other empty one, so a set only enters their blocks if it has more than
    ``c`` of them: two sets that agree on none but empty segments both do. Sharing a frequent shingle
-   or passage is not enough to meet, whole segments must be equal.
-3. **Pivots.** Each block's members are verified against its smallest. This is what keeps groups of
-   thousands of copies linear: members it links leave nothing to find among themselves.
-4. **Signature trees.** Blocks that still hold more than one group become trees: leaves are members,
-   with a bitmap of their hashed shingles and their size; inner nodes hold OR-combined bitmaps and size
-   ranges. A dual traversal drops node pairs that are one group already, whose size ranges rule a
-   link out, or whose common bits can't make up the overlap needed. Surviving leaf pairs are
-   verified in full. Blocks larger than ``TREE_MEMBERS`` are dealt to parts, and each pair of
-   parts is a tree.
-
-No link is lost: pairs of steps 3 and 4 cover all pairs in all blocks but those inside a group.
-Shuffled are segment hashes (about 0.1 to 0.25 per shingle and document) and, for members of blocks
-only, whole sets. Groups come from label spreading over tables; nothing is collected.
+   or passage is not enough to meet, whole segments must be equal. Blocks with the same members are
+   one: most of a group's segments say the same.
+3. **Signature trees.** Every block of two or more is a tree: leaves are members, with a bitmap of their
+   hashed shingles and their size; inner nodes hold OR-combined bitmaps and size ranges. A dual
+   traversal drops node pairs whose size ranges rule a link out or whose common bits can't make up
+   the overlap needed. It joins groups as it goes: members that may link become one group, which
+   no later pair is looked up in, so a tree gives a spanning forest, less pairs than members. The
+   smallest member is compared with all others first. Blocks larger than ``TREE_MEMBERS`` are dealt
+   to parts, and each pair of parts is a tree.
+4. **Verification.** Forest pairs are compared in full: the texts of a pair's ends meet in the task of its
+   smaller end, dealt to several tasks where many pairs share that one.
+5. **Trees with a pair that failed** are traversed once more over the members' whole sets, each pair of groups
+   not joined yet compared in full until one links or none is left.
+
+No link is lost: what a tree leaves out lies inside a verified group, or can't link by signature, or was
+compared in full. Groups come from label spreading over tables; nothing is collected. Tables are
+deleted once their successors stand.
 
 Results for odd input: a null or empty text has an empty set and links with nothing; a text with
 fewer words than a shingle is one shingle; rows that share an id are one node (each row keeps its
@@ -31,7 +35,7 @@ is null if no row of it has an id; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -40,14 +44,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, add_columns, cut_lineage, map_arrow, split_by_membership, split_words, text_of
+from .common import SPACE_RUN, Scratch, add_columns, map_arrow, packed, split_by_membership, split_words, text_of
 from .components import components
 
 SIGNATURE_WORDS = 32
 FAN_OUT = 16
 TREE_MEMBERS = 1_000
+#: Shingles of the members of one tree whose whole sets are compared, about; bounds memory only.
+TREE_SHINGLES = 4_000_000
 #: Node pairs that one step of a traversal looks at together; bounds memory only.
 PAIR_SLICE = 20_000
+#: Pairs of one smaller end that are compared in one task, about.
+HUB_PAIRS = 500
+#: Bits of the bitmap that tells which blocks have several members.
+BLOCK_BITS = 1 << 22
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -144,8 +154,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def folded(bits: np.ndarray) -> np.ndarray:
-    return np.bitwise_or.reduce(bits.reshape(-1, SIGNATURE_WORDS), axis=0)
+def folded(bits: np.ndarray, words: int = SIGNATURE_WORDS) -> np.ndarray:
+    return bits if len(bits) == words else np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
 
 
 def list_slices(column: pa.Array) -> Iterator[np.ndarray]:
@@ -207,75 +217,66 @@ def _block_keys(texts: DataFrame, settings: JoinSettings) -> DataFrame:
     return found.select(class_id(), "keys").select(F.explode("keys").alias("key"), "id")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, settings: JoinSettings) -> DataFrame:
-    """id, n and shingles of the classes ``ids`` (id, key_text: one of its texts)."""
-    likely, _ = split_by_membership(_keyed(docs), F.col("key_text"), ids, F.col("key_text"))
-    members = likely.join(ids.select("key_text"), "key_text", "left_semi").groupBy("key_text").agg(F.first("text").alias("text")).join(ids, "key_text")
-
-    def make(column: pa.Array) -> list[pa.Array]:
-        sets = [shingle_set(words, settings.shingle) for words in list_slices(column)]
-        return [pa.array([len(s) for s in sets], pa.int64()), longs_array(sets)]
-
-    return add_columns(members, ["id"], [word_hashes()], "n long, shingles array<long>", make)
-
-
-def _links(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, settings: JoinSettings) -> DataFrame:
-    """The pairs (a, b) whose sets link.
-
-    Sizes and signatures (id, n, bits, key_text), which are narrow, are compared first: each differing bit is a
-    differing shingle at least. Only for pairs that may link are whole sets made and compared.
-    """
-    p, q = settings.threshold.numerator, settings.threshold.denominator
-    narrow = lambda x: signatures.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    # Sizes that allow a link differ too little for widths to be more than one step apart.
-    width = F.least(F.size("bits_a"), F.size("bits_b"))
-    fold = lambda x: F.when(
-        F.size(x) > width, F.zip_with(F.slice(x, 1, width), F.slice(x, width + 1, width), lambda u, v: u.bitwiseOR(v))
-    ).otherwise(F.col(x))
-    xor = F.zip_with(fold("bits_a"), fold("bits_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    differing = F.aggregate(xor, F.lit(0), lambda total, x: total + x)
-    likely = cut_lineage(
-        pairs.join(narrow("a"), "a")
-        .join(narrow("b"), "b")
-        .where((q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")) & ((q + p) * differing <= (q - p) * (F.col("n_a") + F.col("n_b"))))
-        .select("a", "b")
-        .distinct()
-    )
-    ids = cut_lineage(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct().join(signatures.select("id", "key_text"), "id"))
-    sets = cut_lineage(_sets(docs, ids, settings))
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"set_{x}"))
-    both = likely.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    counted = both.select("a", "b", "n_a", "n_b", shared.alias("shared"))
-    return counted.where(q * F.col("shared") >= p * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b").distinct()
-
-
-def tree_pairs(bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray, settings: JoinSettings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of different labels that can link, by dual traversal of one signature tree.
-
-    ``bits`` (members x words, uint64), ``sizes`` ascending, ``labels`` the groups known so far.
-    """
-    p, q = settings.threshold.numerator, settings.threshold.denominator
-    collided = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-    # A level: OR of bitmaps, smallest and largest size, most shingles lost to shared bits, the label if there is but one (else -1).
-    levels = [(bits, sizes, sizes, collided, labels)]
-    while len(levels[-1][1]) > 1:
-        b, low, high, lost, label = levels[-1]
-        at = np.arange(0, len(low), FAN_OUT)
-        one = np.minimum.reduceat(label, at) == np.maximum.reduceat(label, at)
-        levels.append(
-            (
-                np.bitwise_or.reduceat(b, at, axis=0),
-                np.minimum.reduceat(low, at),
-                np.maximum.reduceat(high, at),
-                np.maximum.reduceat(lost, at),
-                np.where(one, np.minimum.reduceat(label, at), -1),
+class Groups:
+    """Union-find over the members of a tree; ``label`` is up to date after ``settle``."""
+
+    def __init__(self, labels: np.ndarray):
+        _, first, number = np.unique(labels, return_index=True, return_inverse=True)
+        self.up = first[number].tolist()
+        self.settle()
+
+    def find(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def settle(self) -> None:
+        self.label = np.array([self.find(i) for i in range(len(self.up))])
+
+    def join(self, i: np.ndarray, j: np.ndarray, links: Callable[[int, int], bool] | None) -> tuple[list[int], list[int]]:
+        """Joins the ends of the pairs that link (without ``links``: all), and gives those that joined two groups."""
+        out_i, out_j = [], []
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = self.find(a), self.find(b)
+            if x != y and (links is None or links(a, b)):
+                self.up[max(x, y)] = min(x, y)
+                out_i.append(a)
+                out_j.append(b)
+        if out_i:
+            self.settle()
+        return out_i, out_j
+
+
+class SignatureTree:
+    """Levels of one tree: OR of bitmaps, smallest and largest size, most shingles lost to shared bits."""
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, settings: JoinSettings):
+        self.p, self.q = settings.threshold.numerator, settings.threshold.denominator
+        lost = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        self.levels = [(bits, sizes, sizes, lost)]
+        while len(self.levels[-1][1]) > 1:
+            b, low, high, lost = self.levels[-1]
+            at = np.arange(0, len(low), FAN_OUT)
+            self.levels.append(
+                (np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(lost, at))
             )
-        )
 
-    def possible(level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        b, low, high, lost, label = levels[level]
-        keep = (q * np.minimum(high[i], high[j]) >= p * np.maximum(low[i], low[j])) & ((label[i] != label[j]) | (label[i] < 0))
+    def label_levels(self, label: np.ndarray) -> list[np.ndarray]:
+        """The one label below each node, -1 where there are several."""
+        out = [label]
+        for level in range(1, len(self.levels)):
+            at = np.arange(0, len(out[-1]), FAN_OUT)
+            low, high = np.minimum.reduceat(out[-1], at), np.maximum.reduceat(out[-1], at)
+            out.append(np.where(low == high, low, -1))
+        return out
+
+    def possible(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether members below the nodes can link."""
+        b, low, high, lost = self.levels[level]
+        p, q = self.p, self.q
+        keep = q * np.minimum(high[i], high[j]) >= p * np.maximum(low[i], low[j])
         i, j = i[keep], j[keep]
         least = low[i] + low[j]
         most = np.bitwise_count(b[i] & b[j]).sum(axis=1, dtype=np.int64) + np.minimum(lost[i], lost[j])
@@ -286,150 +287,320 @@ def tree_pairs(bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray, settings
         keep[keep] = able
         return keep
 
-    stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    while stack:
-        level, i, j = stack.pop()
-        if len(i) > PAIR_SLICE:
-            stack += [(level, i[PAIR_SLICE:], j[PAIR_SLICE:])]
-            i, j = i[:PAIR_SLICE], j[:PAIR_SLICE]
-        if level == 0:
-            apart = i < j
+    def forest(self, groups: Groups, first: int, links: Callable[[int, int], bool] | None = None) -> Iterator[tuple[list[int], list[int]]]:
+        """Index pairs that join ``groups``: those that can link, or, with ``links``, those that do. ``first`` is
+        compared with all others before the traversal."""
+        others = np.flatnonzero(groups.label != groups.label[first])
+        hub = np.full(len(others), first)
+        able = self.possible(0, hub, others)
+        yield groups.join(hub[able], others[able], links)
+        for i, j in self.pairs(lambda: groups.label):
+            joined = groups.join(i, j, links)
+            if joined[0]:
+                yield joined
+
+    def pairs(self, current: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs (i < j) that can link and whose labels differ, by dual traversal. ``current`` gives the labels,
+        which may come together on the way."""
+        label = current()
+        labels = self.label_levels(label)
+        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while stack:
+            level, i, j = stack.pop()
+            if current() is not label:
+                label = current()
+                labels = self.label_levels(label)
+            if len(i) > PAIR_SLICE:
+                stack += [(level, i[PAIR_SLICE:], j[PAIR_SLICE:])]
+                i, j = i[:PAIR_SLICE], j[:PAIR_SLICE]
+            apart = (labels[level][i] != labels[level][j]) | (labels[level][i] < 0)
+            if level == 0:
+                apart &= i < j
             i, j = i[apart], j[apart]
-        keep = possible(level, i, j)
-        i, j = i[keep], j[keep]
-        if level == 0:
-            if len(i):
-                yield i, j
-            continue
-        # The children of both, a node with itself once.
-        below = len(levels[level - 1][1])
-        step = np.arange(FAN_OUT)
-        for a in range(0, len(i), max(1, PAIR_SLICE // FAN_OUT**2)):
-            x, y = i[a : a + PAIR_SLICE // FAN_OUT**2], j[a : a + PAIR_SLICE // FAN_OUT**2]
-            ci = (x[:, None, None] * FAN_OUT + step[None, :, None]).repeat(FAN_OUT, 2).ravel()
-            cj = (y[:, None, None] * FAN_OUT + step[None, None, :]).repeat(FAN_OUT, 1).ravel()
-            inside = (ci < below) & (cj < below) & (ci <= cj)
-            if inside.any():
-                stack.append((level - 1, ci[inside], cj[inside]))
+            able = self.possible(level, i, j)
+            i, j = i[able], j[able]
+            if level == 0:
+                if len(i):
+                    yield i, j
+                continue
+            # The children of both, a node with itself once.
+            below = len(self.levels[level - 1][1])
+            step = np.arange(FAN_OUT)
+            for a in range(0, len(i), max(1, PAIR_SLICE // FAN_OUT**2)):
+                x, y = i[a : a + PAIR_SLICE // FAN_OUT**2], j[a : a + PAIR_SLICE // FAN_OUT**2]
+                ci = (x[:, None, None] * FAN_OUT + step[None, :, None]).repeat(FAN_OUT, 2).ravel()
+                cj = (y[:, None, None] * FAN_OUT + step[None, None, :]).repeat(FAN_OUT, 1).ravel()
+                inside = (ci < below) & (cj < below) & (ci <= cj)
+                if inside.any():
+                    stack.append((level - 1, ci[inside], cj[inside]))
 
 
-def _tree_candidates(members: DataFrame, settings: JoinSettings) -> DataFrame:
-    """Pairs (a, b), a < b, from ``members`` (tree, id, label, n, bits): each tree traversed."""
-    rows = members.repartition("tree").sortWithinPartitions("tree", "n", "id")
+def tree_pairs(bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray, settings: JoinSettings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs (i < j) of different ``labels`` that can link. ``bits``: members x words, uint64; ``sizes`` ascending."""
+    yield from SignatureTree(bits, sizes, settings).pairs(lambda: labels)
 
-    def traverse(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, numbers = np.unique(labels, return_inverse=True)
-        for i, j in tree_pairs(bits, sizes, numbers, settings):
-            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A tree may go on in the next batch; it has a bounded number of members.
-        held = None
-        for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "id", "label", "n")]
-            now.append(np.vstack([folded(bits) for bits in list_slices(batch.column("bits"))]))
-            if held is not None:
-                now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
-            starts = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                yield from traverse(*[x[a:b] for x in now[1:]])
-            held = [x[starts[-1] :] for x in now]
-        if held is not None:
-            yield from traverse(*held[1:])
+def alike(a: np.ndarray, b: np.ndarray, settings: JoinSettings) -> bool:
+    """Whether two sorted sets link."""
+    p, q = settings.threshold.numerator, settings.threshold.denominator
+    total = len(a) + len(b)
+    if q * min(len(a), len(b)) < p * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return q * shared >= p * (total - shared)
+
 
-    return map_arrow(rows.select("tree", "id", "label", "n", "bits"), run, "a long, b long")
+def _two_leaves(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, settings: JoinSettings) -> np.ndarray:
+    """``SignatureTree.possible`` of many trees of two leaves at once."""
+    tree = SignatureTree(np.concatenate([left, right]), np.concatenate([n_left, n_right]), settings)
+    at = np.arange(len(left))
+    return tree.possible(0, at, at + len(left))
 
 
-def _plant(open_blocks: DataFrame) -> DataFrame:
-    """``open_blocks`` (key, id, label, n, m: members of the block) dealt to trees (tree, id, label, n).
+def _pairs_batch(tree: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(tree), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["tree", "a", "b"])
 
-    A block of more than ``TREE_MEMBERS`` is dealt by hash to parts of about half as many; each pair of
-    parts is a tree, as is a block of one part. No task ever gets all of a large block.
+
+def _by_tree(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list]:
+    """Whole trees: lists of Arrow columns. A tree may go on in the next batch; it has a bounded number of members."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        trees = batch.column("tree").to_numpy()
+        starts = np.flatnonzero(np.r_[True, trees[1:] != trees[:-1]])
+        if held and held[-1].column("tree")[-1].as_py() != trees[0]:
+            yield _joined(held, columns)
+            held = []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            held.append(batch.slice(a, b - a))
+            yield _joined(held, columns)
+            held = []
+        held.append(batch.slice(starts[-1]))
+    if held:
+        yield _joined(held, columns)
+
+
+def _joined(held: list[pa.RecordBatch], columns: list[str]) -> list:
+    made = pa.Table.from_batches(held).combine_chunks()
+    return [made.column(c).chunk(0) for c in columns]
+
+
+def _tree_candidates(members: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Forest pairs (tree, a, b), a < b, from ``members`` (tree, id, n, bits): each tree traversed."""
+    rows = members.select("tree", "id", "n", "bits").repartition("tree").sortWithinPartitions("tree", "n", "id")
+    columns = ["tree", "id", "n", "bits"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small: list[tuple] = []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            for width in {len(x[3]) for x in small}:
+                now = [x for x in small if len(x[3]) == width]
+                tree, i, j, left, right, n_left, n_right = (np.array(c) for c in zip(*now, strict=True))
+                able = _two_leaves(left, right, n_left, n_right, settings)
+                if able.any():
+                    yield _pairs_batch(tree[able], i[able], j[able])
+
+        for tree, id_, n, bits in _by_tree(batches, columns):
+            ids, sizes = id_.to_numpy(), n.to_numpy()
+            raw = list(list_slices(bits))
+            # Sizes that allow a link have widths at most one step apart.
+            words = min(map(len, raw))
+            signatures = [folded(x, words) for x in raw]
+            if len(ids) == 2:
+                small.append((tree[0].as_py(), ids[0], ids[1], *signatures, sizes[0], sizes[1]))
+                if len(small) == 2_000:
+                    yield from pairs()
+                    small = []
+                continue
+            made = SignatureTree(np.vstack(signatures), sizes, settings)
+            for i, j in made.forest(Groups(np.arange(len(ids))), int(ids.argmin())):
+                if i:
+                    yield _pairs_batch(np.full(len(i), tree[0].as_py()), ids[i], ids[j])
+        if small:
+            yield from pairs()
+
+    return map_arrow(rows, run, "tree long, a long, b long")
+
+
+def _tree_links(members: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Pairs (a, b) that link and join the groups of ``members`` (tree, id, label, n, text): each tree
+    traversed over whole sets."""
+    rows = members.repartition("tree").sortWithinPartitions("tree", "n", "id").select("tree", "id", "label", word_hashes().alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tree, id_, label, words in _by_tree(batches, ["tree", "id", "label", "words"]):
+            ids = id_.to_numpy()
+            sets = [shingle_set(w, settings.shingle) for w in list_slices(words)]
+            raw = [signature(x) for x in sets]
+            width = min(map(len, raw))
+            made = SignatureTree(np.vstack([folded(x, width) for x in raw]), np.array([len(x) for x in sets]), settings)
+            groups = Groups(label.to_numpy())
+            for i, j in made.forest(groups, int(ids.argmin()), lambda x, y, s=sets: alike(s[x], s[y], settings)):
+                if i:
+                    yield _pairs_batch(np.full(len(i), tree[0].as_py()), ids[i], ids[j])
+
+    return map_arrow(rows, run, "tree long, a long, b long").select("a", "b")
+
+
+def _plant(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (key, id, n, m: members of the block, n_max: their largest size) dealt to trees (tree, id, n).
+
+    A block of more than ``TREE_MEMBERS``, or of more shingles than a task compares, is dealt by hash to parts
+    of about half as many; each pair of parts is a tree, as is a block of one part. No task ever gets all of a
+    large block.
     """
-    parts = F.when(F.col("m") <= TREE_MEMBERS, 1).otherwise(F.ceil(2 * F.col("m") / TREE_MEMBERS)).cast("int")
+    large = F.greatest(F.col("m") / TREE_MEMBERS, F.col("m") * F.col("n_max") / TREE_SHINGLES)
+    parts = F.when(large <= 1, 1).otherwise(F.least(F.ceil(2 * large), F.col("m"))).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")).cast("int")
-    dealt = open_blocks.withColumn("parts", parts).withColumn("own", own)
+    dealt = blocks.withColumn("parts", parts).withColumn("own", own)
     # With one part, or with each other part and itself.
     partner = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    paired = dealt.select("key", "id", "label", "n", "own", "parts", partner.alias("partner")).where(
+    paired = dealt.select("key", "id", "n", "own", "parts", partner.alias("partner")).where(
         (F.col("parts") == 1) | (F.col("own") != F.col("partner"))
     )
-    return paired.select(F.xxhash64("key", F.least("own", "partner"), F.greatest("own", "partner")).alias("tree"), "id", "label", "n")
+    return paired.select(F.xxhash64("key", F.least("own", "partner"), F.greatest("own", "partner")).alias("tree"), "id", "n")
+
+
+def _class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id and text of ``classes`` (id, key_text: the text they are read from), one row each."""
+    likely, _ = split_by_membership(_keyed(docs).select("key_text", "text"), F.col("key_text"), classes, F.col("key_text"))
+    once = likely.join(classes.select("key_text"), "key_text", "left_semi").groupBy("key_text").agg(F.first("text").alias("text"))
+    return once.join(classes, "key_text").select("id", "text")
 
 
-def _class_groups(docs: DataFrame, settings: JoinSettings) -> tuple[DataFrame, DataFrame]:
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: JoinSettings, scratch: Scratch) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets link, compared in full. ``classes``: id, key_text.
+
+    Both texts of a pair go to the task of its end ``a``, in as many parts as ``a`` has pairs for; a part gets the
+    text of ``a`` once."""
+    hubs = scratch.keep(pairs.groupBy("a").agg(F.count("*").alias("m")), "hubs")
+    dealt = pairs.join(hubs, "a").withColumn("part", F.pmod(F.xxhash64("b", F.lit(3)), F.ceil(F.col("m") / HUB_PAIRS)).cast("int"))
+    dealt = scratch.keep(dealt.select("a", "b", "part"), "dealt")
+    ends = dealt.select(F.col("a").alias("id"), "a", "part", F.lit(0).alias("side")).distinct()
+    routes = scratch.keep(ends.unionByName(dealt.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("side"))), "routes")
+    named = scratch.keep(routes.select("id").distinct().join(classes.select("id", "key_text"), "id"), "pair-classes")
+    sent = _class_texts(docs, named).join(routes, "id")
+    rows = sent.repartition("a", "part").sortWithinPartitions("a", "part", "side", "id").select("a", "side", "id", word_hashes().alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            columns = (batch.column(c).to_pylist() for c in ("a", "side", "id"))
+            for smaller, side, other, words in zip(*columns, list_slices(batch.column("words")), strict=True):
+                own = shingle_set(words, settings.shingle)
+                if not side:
+                    hub = own
+                elif alike(hub, own, settings):
+                    a.append(smaller)
+                    b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    links = scratch.keep(map_arrow(rows, run, "a long, b long"), "links")
+    scratch.drop(hubs, dealt, routes, named)
+    return links
+
+
+def _groups(links: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.keep(components(links), "groups")
+
+
+def _class_groups(docs: DataFrame, settings: JoinSettings, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, key_text, n, id: the class, null for an empty set), and the groups of linked
     classes (id, component)."""
-    measured = cut_lineage(_set_rows(docs, settings))
+    measured = scratch.keep(_set_rows(docs, settings), "measured")
     known = measured.where(F.col("n") > 0)
-    rows = measured.select("doc_id", "key_text", "n", F.when(F.col("n") > 0, F.col("id")).alias("id"))
     # The smallest text hash of a class names the text that it is read from.
-    classes = cut_lineage(known.groupBy("id").agg(F.min("key_text").alias("key_text"), F.count("*").alias("m")))
-    signatures = cut_lineage(known.select("id", "n", "bits").dropDuplicates(["id"]).join(classes.select("id", "key_text"), "id"))
+    classes = scratch.keep(known.groupBy("id").agg(F.min("key_text").alias("key_text"), F.count("*").alias("m")), "classes")
     several = classes.where(F.col("m") > 1).select("id", F.col("key_text").alias("first_text"))
-    texts = cut_lineage(known.select("id", "key_text").join(several, "id").select("key_text", "first_text").distinct())
+    texts = scratch.keep(known.select("id", "key_text").join(several, "id").select("key_text", "first_text").distinct(), "class-texts")
     keyed = _keyed(docs).select("key_text", "text")
     maybe, single = split_by_membership(keyed, F.col("key_text"), texts, F.col("key_text"))
     # One row for each class: copies of its text are combined within tasks first.
     left_out = texts.where(F.col("key_text") != F.col("first_text")).select("key_text")
     once = maybe.join(left_out, "key_text", "left_anti").groupBy("key_text").agg(F.first("text").alias("text"))
     met = _block_keys(single.unionByName(once), settings)
-    # Blocks of one row go. Counts by key are combined before the shuffle, and a large block's rows can
-    # be split in the join, which a window over the key could not.
-    shared = met.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("m")).where(F.col("m") > 1)
-    blocks = cut_lineage(met.join(shared, "key").select("key", "id", "pivot", "m"))
-    by_pivot = blocks.where(F.col("id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut_lineage(_links(by_pivot, signatures, docs, settings))
-    groups = cut_lineage(components(links))
-
-    labelled = blocks.join(groups, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("label"))
-    # Two members have been compared; with three or more of several groups, the tree goes on.
-    state = labelled.where(F.col("m") > 2).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    still = state.where(F.col("low") < F.col("high")).select("key")
-    sizes = signatures.select("id", "n")
-    open_blocks = cut_lineage(labelled.join(still, "key").join(sizes, "id").select("key", "id", "label", "n", "m"))
-    if not open_blocks.isEmpty():
-        planted = _plant(open_blocks).join(signatures, ["id", "n"])
-        more = _links(_tree_candidates(planted, settings).distinct(), signatures, docs, settings)
-        links = cut_lineage(links.unionByName(more))
-        groups = cut_lineage(components(links))
+    # Counts by key are combined before the shuffle. ``members`` stands for who is in the block; of blocks with the same
+    # members one is enough.
+    shared = met.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id", F.lit(5))).alias("members"))
+    shared = scratch.keep(shared.where(F.col("m") > 1).select("key", "m", "members"), "shared")
+    blocks = scratch.keep(shared.groupBy("members", "m").agg(F.min("key").alias("key")).select("key", "m"), "blocks")
+    scratch.drop(shared)
+    likely, _ = split_by_membership(met, F.col("key"), blocks, F.col("key"), BLOCK_BITS)
+    sizes = measured.where(F.col("n") > 0).select("id", "n").dropDuplicates(["id"])
+    joined = scratch.keep(likely.join(blocks, "key").join(sizes, "id").select("key", "id", "n", "m"), "block-members")
+    largest = scratch.keep(joined.groupBy("key").agg(F.max("n").alias("n_max")), "block-sizes")
+    planted = scratch.keep(_plant(joined.join(largest, "key")), "planted")
+    scratch.drop(blocks, joined, largest, texts)
+
+    signatures = known.select("id", "bits").dropDuplicates(["id"])
+    found = scratch.keep(_tree_candidates(planted.join(signatures, "id"), settings), "forest")
+    rows = scratch.keep(measured.select("doc_id", "key_text", "n", F.when(F.col("n") > 0, F.col("id")).alias("id")), "rows")
+    scratch.drop(measured)
+    pairs = scratch.keep(found.select("a", "b").distinct(), "pairs")
+    links = _links(pairs, classes, docs, settings, scratch)
+    groups = _groups(links, scratch)
+    failed = scratch.keep(found.join(links, ["a", "b"], "left_anti").select("tree").distinct(), "failed-trees")
+    scratch.drop(found, pairs)
+    if not failed.isEmpty():
+        again = planted.join(failed, "tree").join(groups, "id", "left").select("tree", "id", "n", F.coalesce("component", "id").alias("label"))
+        again = scratch.keep(again, "open-trees")
+        # Trees that other trees' links have joined to one group are done.
+        state = again.groupBy("tree").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high"))
+        state = scratch.keep(state.select("tree"), "open")
+        again = scratch.keep(again.join(state, "tree"), "open-members")
+        named = scratch.keep(again.select("id").distinct().join(classes.select("id", "key_text"), "id"), "open-classes")
+        more = scratch.keep(_tree_links(again.join(_class_texts(docs, named), "id"), settings).distinct(), "more-links")
+        groups = _groups(links.unionByName(more), scratch)
     return rows, groups
 
 
-def _grouped_rows(docs: DataFrame, settings: JoinSettings) -> DataFrame:
+def _grouped_rows(docs: DataFrame, settings: JoinSettings, scratch: Scratch) -> DataFrame:
     """doc_id, key_text, n and the group of each row (``near``, null for an empty set)."""
-    rows, groups = _class_groups(docs, settings)
-    return cut_lineage(rows.join(groups, "id", "left").select("doc_id", "key_text", "n", F.coalesce("component", "id").alias("near")))
+    rows, groups = _class_groups(docs, settings, scratch)
+    return scratch.keep(rows.join(groups, "id", "left").select("doc_id", "key_text", "n", F.coalesce("component", "id").alias("near")), "grouped")
+
+
+# The right sides of joins on ``near`` below are tables, not aggregates in place: a group with many rows can then
+# be split.
 
 
 def similarity_groups(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
-    rows = _grouped_rows(docs, settings)
-    roots = rows.where(F.col("near").isNotNull()).groupBy("near").agg(F.min("doc_id").alias("root"))
-    rooted = cut_lineage(rows.join(roots, "near", "left").select("doc_id", "n", "root"))
-    # Ids with several texts tie groups together.
-    ties = rooted.where(F.col("root") != F.col("doc_id")).select(F.col("root").alias("a"), F.col("doc_id").alias("b")).distinct()
-    final = components(cut_lineage(ties)).withColumnRenamed("id", "node")
-    out = rooted.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("doc_id", "root").alias("own"))
-    return out.join(final, F.col("own") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "own").alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = _grouped_rows(docs, settings, scratch)
+        roots = scratch.keep(rows.where(F.col("near").isNotNull()).groupBy("near").agg(F.min("doc_id").alias("root")), "roots")
+        rooted = scratch.keep(rows.join(roots, "near", "left").select("doc_id", "n", "root"), "rooted")
+        # Ids with several texts tie groups together.
+        ties = rooted.where(F.col("root") != F.col("doc_id")).select(F.col("root").alias("a"), F.col("doc_id").alias("b")).distinct()
+        ties = scratch.keep(ties, "ties")
+        final = scratch.keep(components(ties).withColumnRenamed("id", "node"), "final")
+        out = rooted.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("doc_id", "root").alias("own"))
+        joined = out.join(final, F.col("own") == F.col("node"), "left")
+        return scratch.keep(joined.select("doc_id", "n_shingles", F.coalesce("component", "own").alias("component_id")), "similar", for_result=True)
 
 
 def keep_first(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
     """``docs`` with one row of each group, the one with the smallest id (no id comes last). Rows that share an
     id but no text are told apart; rows without words stay."""
-    rows = _grouped_rows(docs, settings).where(F.col("near").isNotNull())
-    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key_text")
-    counted = rows.groupBy("near", "doc_id", "key_text").agg(F.count("*").alias("copies"))
-    best = rows.groupBy("near").agg(F.min(rank).alias("best"))
-    judged = counted.join(best, "near").withColumn("stays", rank == F.col("best"))
-    # What isn't named here stays as it is.
-    named = cut_lineage(
-        judged.where(~F.col("stays") | (F.col("copies") > 1)).select(F.col("doc_id").alias("near_id"), F.col("key_text").alias("near_text"), F.col("stays").alias("near_stays"))
-    )
-    keyed = docs.withColumn("near_key", F.xxhash64(text_of()))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = _grouped_rows(docs, settings, scratch).where(F.col("near").isNotNull())
+        rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key_text")
+        counted = scratch.keep(rows.groupBy("near", "doc_id", "key_text").agg(F.count("*").alias("copies")), "counted")
+        best = scratch.keep(rows.groupBy("near").agg(F.min(rank).alias("best")), "best")
+        judged = counted.join(best, "near").withColumn("stays", rank == F.col("best"))
+        # What isn't named here stays as it is.
+        named = scratch.keep(
+            judged.where(~F.col("stays") | (F.col("copies") > 1)).select(F.col("doc_id").alias("near_id"), F.col("key_text").alias("near_text"), F.col("stays").alias("near_stays")),
+            "named",
+            for_result=True,
+        )
+    keyed = docs.select(packed(docs), F.xxhash64(text_of()).alias("near_key"))
     maybe, clean = split_by_membership(keyed, F.col("near_key"), named, F.col("near_text"))
-    met = maybe.join(named, (F.col("near_key") == F.col("near_text")) & F.col("doc_id").eqNullSafe(F.col("near_id")), "left")
-    columns = docs.columns
-    once = met.where("near_stays").dropDuplicates(["doc_id", "near_key"]).select(*columns)
-    return clean.select(*columns).unionByName(met.where(F.col("near_stays").isNull()).select(*columns)).unionByName(once)
+    met = maybe.join(named, (F.col("near_key") == F.col("near_text")) & F.col("row.doc_id").eqNullSafe(F.col("near_id")), "left")
+    once = met.where("near_stays").withColumn("near_id", F.col("row.doc_id")).dropDuplicates(["near_id", "near_key"]).select("row.*")
+    return clean.select("row.*").unionByName(met.where(F.col("near_stays").isNull()).select("row.*")).unionByName(once)

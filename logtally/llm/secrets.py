@@ -17,6 +17,7 @@ spans each; rows that share an id keep their own; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as sre_parser
 from collections.abc import Iterable, Sequence
@@ -26,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, row_key, same_key, split_by_membership, text_of
+from .common import cut_lineage, packed, row_key, same_key, split_by_membership, text_of
 
 KEY = ["key_id", "key_text"]
 #: Strings that the derivation spells out at one place of an expression before it gives up there.
@@ -41,12 +42,18 @@ class SecretRule:
     least: int = 1
     base: bool = False
 
+    @property
+    def plain_pattern(self) -> str:
+        """The same for engines that never backtrack and have no possessive loops. Nothing here depends on giving back."""
+        return re.sub(r"(?<=[*+}])\+", "", self.pattern)
 
-# A key goes to its END line; where that is missing (five dashes, or many single ones, come first), through
-# all base64 lines that follow, and what is written together with the last of them. Line breaks can be spelled \n.
+
+# A key goes to its END line; where that is missing (five dashes come first), through all base64 lines that follow,
+# and what is written together with the last of them. Line breaks can be spelled \n. There are no largest numbers:
+# possessive loops run in constant stack, whatever they repeat.
 PEM_NAME = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
-PEM_TO_END = "[^-]*(?:-{1,4}[^-]+){0,50}-----END " + PEM_NAME
-PEM_LINES = r"(?:[\r\n]+[A-Za-z-]+: [^\r\n]*){0,20}(?:[\x09-\x0d\x20\\]*[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\r\n\\]*)+(?:[\x09-\x0d\x20\\]*[A-Za-z0-9+/]+=+)?"
+PEM_TO_END = "[^-]*+(?:-{1,4}+[^-]++)*+-----END " + PEM_NAME
+PEM_LINES = r"(?:[\r\n]+[A-Za-z-]+: [^\r\n]*)*+(?:[\x09-\x0d\x20\\]*[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\r\n\\]*)++(?:[\x09-\x0d\x20\\]*[A-Za-z0-9+/]+=+)?"
 
 # The kinds searched for, the base ones first. The order breaks ties of start. Secrets have no
 # largest length, and a password all characters but blanks, quotes, angle brackets and slashes.
@@ -205,9 +212,9 @@ def spans_by_document(spans: DataFrame, rules: Sequence[SecretRule] = RULES) ->
 def redact(docs: DataFrame, rules: Sequence[SecretRule] = RULES) -> DataFrame:
     """``docs`` with each stretch of overlapping or touching spans replaced by ``[secret]``."""
     found = cut_lineage(spans_by_document(find_spans(docs, rules), rules))
-    keyed = docs.withColumns(dict(zip(KEY, row_key(), strict=True)))
+    keyed = docs.select(packed(docs), *row_key())
     likely, clean = split_by_membership(keyed, F.col("key_text"), found, F.col("key_text"))
-    text = F.col("text")
+    text = F.col("row.text")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, span: Column) -> Column:
@@ -217,5 +224,6 @@ def redact(docs: DataFrame, rules: Sequence[SecretRule] = RULES) -> DataFrame:
 
     done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
     joined = likely.join(found.withColumnsRenamed({k: f"found_{k}" for k in KEY}), F.col("key_id").eqNullSafe(F.col("found_key_id")) & (F.col("key_text") == F.col("found_key_text")), "left")
-    redacted = joined.withColumn("text", F.when(F.col("spans").isNotNull(), done).otherwise(text))
-    return redacted.select(*docs.columns).unionByName(clean.select(*docs.columns))
+    masked = F.when(F.col("spans").isNotNull(), done).otherwise(text)
+    redacted = joined.select(*[masked.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return redacted.unionByName(clean.select("row.*"))
