@@ -19,8 +19,10 @@
    to parts, and each pair of parts is a tree.
 4. **Verification.** Forest pairs are compared in full: the texts of a pair's ends meet in the task of its
    smaller end, dealt to several tasks where many pairs share that one.
-5. **Trees with a pair that failed** are traversed once more over the members' whole sets, each pair of groups
-   not joined yet compared in full until one links or none is left.
+5. **Trees with a pair that failed** are traversed once more, now for every pair of different verified groups that
+   can link; each such pair is compared in full once, whatever trees it is in. A tree with more of them than
+   ``OPEN_PAIRS`` times its members is traversed over the members' whole sets instead, each pair of groups not
+   joined yet compared in its task until one links or none is left.
 
 No link is lost: what a tree leaves out lies inside a verified group, or can't link by signature, or was
 compared in full. Groups come from label spreading over tables; nothing is collected. Tables are
@@ -56,6 +58,8 @@ TREE_SHINGLES = 4_000_000
 PAIR_SLICE = 20_000
 #: Pairs of one smaller end that are compared in one task, about.
 HUB_PAIRS = 500
+#: Pairs that a tree with a failed pair may give for each member before its whole sets go to one task.
+OPEN_PAIRS = 4
 #: Bits of the bitmap that tells which blocks have several members.
 BLOCK_BITS = 1 << 22
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -426,6 +430,34 @@ def _tree_candidates(members: DataFrame, settings: JoinSettings) -> DataFrame:
     return map_arrow(rows, run, "tree long, a long, b long")
 
 
+def _open_pairs(members: DataFrame, settings: JoinSettings) -> DataFrame:
+    """(tree, a, b): all pairs of different labels that can link, from ``members`` (tree, id, label, n, bits); one row
+    without ends for a tree that has more than ``OPEN_PAIRS`` for each member."""
+    columns = ["tree", "id", "label", "n", "bits"]
+    rows = members.select(*columns).repartition("tree").sortWithinPartitions("tree", "n", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tree, id_, label, n, bits in _by_tree(batches, columns):
+            ids, labels, raw = id_.to_numpy(), label.to_numpy(), list(list_slices(bits))
+            words = min(map(len, raw))
+            made = SignatureTree(np.vstack([folded(x, words) for x in raw]), n.to_numpy(), settings)
+            _, labels = np.unique(labels, return_inverse=True)
+            found, size = [], 0
+            for pair in made.pairs(lambda labels=labels: labels):
+                found.append(pair)
+                size += len(pair[0])
+                if size > OPEN_PAIRS * len(ids):
+                    break
+            if size > OPEN_PAIRS * len(ids):
+                none = pa.array([None], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([tree[0].as_py()]), none, none], ["tree", "a", "b"])
+            elif size:
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield _pairs_batch(np.full(size, tree[0].as_py()), ids[i], ids[j])
+
+    return map_arrow(rows, run, "tree long, a long, b long")
+
+
 def _tree_links(members: DataFrame, settings: JoinSettings) -> DataFrame:
     """Pairs (a, b) that link and join the groups of ``members`` (tree, id, label, n, text): each tree
     traversed over whole sets."""
@@ -539,26 +571,37 @@ def _class_groups(docs: DataFrame, settings: JoinSettings, scratch: Scratch) ->
 
     signatures = known.select("id", "bits").dropDuplicates(["id"])
     found = scratch.keep(_tree_candidates(planted.join(signatures, "id"), settings), "forest")
-    rows = scratch.keep(measured.select("doc_id", "key_text", "n", F.when(F.col("n") > 0, F.col("id")).alias("id")), "rows")
-    scratch.drop(measured)
+    rows = measured.select("doc_id", "key_text", "n", F.when(F.col("n") > 0, F.col("id")).alias("id"))
     pairs = scratch.keep(found.select("a", "b").distinct(), "pairs")
     links = _links(pairs, classes, docs, settings, scratch)
     groups = _groups(links, scratch)
     failed = scratch.keep(found.join(links, ["a", "b"], "left_anti").select("tree").distinct(), "failed-trees")
-    scratch.drop(found, pairs)
+    scratch.drop(found)
     if not failed.isEmpty():
-        again = planted.join(failed, "tree").join(groups, "id", "left").select("tree", "id", "n", F.coalesce("component", "id").alias("label"))
-        again = scratch.keep(again, "open-trees")
-        # Trees that other trees' links have joined to one group are done.
-        state = again.groupBy("tree").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high"))
-        state = scratch.keep(state.select("tree"), "open")
-        again = scratch.keep(again.join(state, "tree"), "open-members")
-        named = scratch.keep(again.select("id").distinct().join(classes.select("id", "key_text"), "id"), "open-classes")
-        more = scratch.keep(_tree_links(again.join(_class_texts(docs, named), "id"), settings).distinct(), "more-links")
-        groups = _groups(links.unionByName(more), scratch)
+        again = _open_members(planted.join(failed, "tree"), groups, scratch)
+        more = scratch.keep(_open_pairs(again.join(signatures, "id"), settings), "open-pairs")
+        untested = more.where(F.col("a").isNotNull()).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        untested = scratch.keep(untested, "untested")
+        links = scratch.keep(links.unionByName(_links(untested, classes, docs, settings, scratch)), "all-links")
+        groups = _groups(links, scratch)
+        many = more.where(F.col("a").isNull()).select("tree")
+        if not many.isEmpty():
+            rest = _open_members(planted.join(many, "tree"), groups, scratch)
+            named = scratch.keep(rest.select("id").distinct().join(classes.select("id", "key_text"), "id"), "open-classes")
+            last = scratch.keep(_tree_links(rest.join(_class_texts(docs, named), "id"), settings).distinct(), "last-links")
+            groups = _groups(links.unionByName(last), scratch)
     return rows, groups
 
 
+def _open_members(members: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """``members`` (tree, id, n) with their groups as labels, of trees that still hold more than one."""
+    labelled = members.join(groups, "id", "left").select("tree", "id", "n", F.coalesce("component", "id").alias("label"))
+    labelled = scratch.keep(labelled, "labelled-trees")
+    state = labelled.groupBy("tree").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high"))
+    several = scratch.keep(state.select("tree"), "open-trees")
+    return scratch.keep(labelled.join(several, "tree"), "open-members")
+
+
 def _grouped_rows(docs: DataFrame, settings: JoinSettings, scratch: Scratch) -> DataFrame:
     """doc_id, key_text, n and the group of each row (``near``, null for an empty set)."""
     rows, groups = _class_groups(docs, settings, scratch)
