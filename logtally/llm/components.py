@@ -14,6 +14,9 @@ def components(links: DataFrame) -> DataFrame:
     Labels move to the smallest neighbour's label and then to their own label's label, until none
     changes; the rounds needed grow with the logarithm of a component's width. Each round reads and
     writes tables. A hub's neighbours are pre-aggregated before they are shuffled.
+
+    Results for odd input: links with a null end or to themselves say nothing, and an id with no others is not in
+    the result; repeated and reversed links count once; no links give no rows; other columns are ignored.
     """
     forward = links.where(F.col("a") != F.col("b"))
     both = cut_lineage(

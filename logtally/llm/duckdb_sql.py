@@ -1,5 +1,5 @@
 """What the queries return, as DuckDB SQL. Written from the contracts, by other means than the operators:
-windows are counted as rows, similar sets found by counting shared shingles."""
+windows are counted as rows, license notices sought in every run of words, similar sets found by counting shared shingles."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def _license_sql() -> str:
         for phrase, label in licenses.PHRASES
     )
     templates = ", ".join(
-        f"({_quoted(t.label)}, [{', '.join(map(_quoted, sorted(t.words)))}], {t.need})" for t in licenses.templates()
+        f"({_quoted(t.label)}, [{', '.join(map(_quoted, sorted(t.words)))}], {t.need}, {t.width})" for t in licenses.templates()
     )
     return f"""
 WITH words AS (
@@ -31,13 +31,15 @@ WITH words AS (
     {phrases}
 ), base AS (
     SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM hits GROUP BY 1
-), lines AS (
-    SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(line), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
-    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
-), templates(label, w, need) AS (VALUES {templates}
+), whole AS (
+    SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+), templates(label, t, need, width) AS (VALUES {templates}
+), able AS (
+    SELECT doc_id, w, label, t, need, width FROM whole, templates WHERE len(list_intersect(w, t)) >= need
+), runs AS (
+    SELECT doc_id, label, t, need, list_intersect(w[i:i + width - 1], t) AS held FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM able)
 ), found AS (
-    SELECT doc_id, label, max(len(list_intersect(l.w, t.w)) / len(t.w)::DOUBLE) AS containment
-    FROM lines l, templates t WHERE len(l.w) >= need AND len(list_intersect(l.w, t.w)) >= need GROUP BY 1, 2
+    SELECT doc_id, label, max(len(held) / len(t)::DOUBLE) AS containment FROM runs WHERE len(held) >= need GROUP BY 1, 2
 ), method AS (
     SELECT doc_id, list(label) AS labels, max(containment) AS best FROM found GROUP BY 1
 )

@@ -50,7 +50,8 @@ class TrainSettings:
     width: int = 8
     hidden: int = 8
     window: int = 32
-    stride: int = 28
+    #: Half a window: any expression of up to 17 words is whole in one.
+    stride: int = 16
     rounds: int = 8
     least_updates: int = 300
     """A small sample takes more rounds, to make so many steps."""
