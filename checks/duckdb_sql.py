@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from logtally.sources.accesslog import ACCESS_LOG_SQL, LOG_LINES_SQL
 
-from .spark_queries import BOUNDS, DEVICE, FOLDERLESS, REGISTRY, ROOTS, SERVICE
+from .spark_queries import BOUNDS, BROKEN_DATE, DEVICE, FIXED_ZONES, FOLDERLESS, REGISTRY, ROOTS, SERVICE
 
 START, TODAY, LAST7 = (f"DATE '{d}'" for d in (BOUNDS.year_start, BOUNDS.today, BOUNDS.last7_start))
 ROOT_LIST = ", ".join(f"'{r}'" for r in ROOTS)
@@ -468,12 +468,51 @@ ALL_SETS = " UNION ALL ".join(
     ]
 )
 
-TSV = q(
-    "SELECT 'Portal Item' || chr(9) || 'Hits' || chr(9) || 'Total Time Taken (s)' || chr(9) || 'Average Time Taken (s)' || chr(9) || 'Successful Hits' || chr(9) || 'Failed Hits' AS line "
-    "UNION ALL SELECT portal_item_id || chr(9) || sum(hits) || chr(9) || "
-    f"regexp_replace(CAST(CAST((round_even(({total()}) * 1000, 0) / 1e3) AS DECIMAL(30,3)) AS VARCHAR), '[.]?0+$', '') || chr(9) || "
-    f"regexp_replace(CAST(CAST((round_even(({total()} / sum(hits)) * 1000, 0) / 1e3) AS DECIMAL(30,3)) AS VARCHAR), '[.]?0+$', '') || chr(9) || "
-    f"sum(successful_hits) || chr(9) || sum(failed_hits) FROM t_item WHERE {IN_RANGE} GROUP BY portal_item_id"
+def _tsv(titles: tuple[str, ...], cells: list[str], rest: str) -> str:
+    header = " || chr(9) || ".join(f"'{t}'" for t in titles)
+    return q(f"SELECT {header} AS line UNION ALL SELECT {' || chr(9) || '.join(cells)} FROM {rest}")
+
+
+def _tsv_number(value: str) -> str:
+    return f"regexp_replace(CAST(CAST((round_even(({value}) * 1000, 0) / 1e3) AS DECIMAL(30,3)) AS VARCHAR), '[.]?0+$', '')"
+
+
+def _tsv_times(ms: str = "ms") -> list[str]:
+    return [_tsv_number(f"coalesce({total(ms)}, 0)"), _tsv_number(f"coalesce({total(ms)} / sum(hits), 0)")]
+
+
+TIME_TITLES = ("Total Time Taken (s)", "Average Time Taken (s)")
+TSV = _tsv(
+    ("Portal Item", "Hits", *TIME_TITLES, "Successful Hits", "Failed Hits"),
+    ["portal_item_id", "sum(hits)", *_tsv_times(), "sum(successful_hits)", "sum(failed_hits)"],
+    f"t_item WHERE {IN_RANGE} GROUP BY portal_item_id",
+)
+TSV_ROOT = _tsv(
+    ("Root", "Hits", *TIME_TITLES),
+    ["r.root", "coalesce(sum(hits), 0)", *_tsv_times()],
+    f"(SELECT unnest([{ROOT_LIST}]) AS root) r LEFT JOIN (SELECT * FROM t_root WHERE {IN_RANGE}) t ON t.root = r.root GROUP BY r.root",
+)
+TSV_SERVICE = _tsv(
+    ("Site", "Folder", "Service Name", "Service Type", "Hits", *TIME_TITLES, "Successful Hits", "Failed Hits"),
+    ["site", "coalesce(folder, '')", "service_name", "service_type", "sum(hits)", *_tsv_times("ok_ms + failed_ms"), "sum(successful_hits)", "sum(failed_hits)"],
+    f"t_service WHERE {IN_RANGE} AND {SITES} GROUP BY {SVC}",
+)
+
+
+def tsv_device(name: str) -> str:
+    return _tsv(
+        ("Username", "Device ID", "Hits", *TIME_TITLES, "Last Seen"),
+        ["coalesce(d.donor, '')", "t.device_id", "sum(hits)", *_tsv_times(), "max(local_date)"],
+        f"{name} t LEFT JOIN {name}_donor d ON t.device_id = d.device_id WHERE {IN_RANGE} GROUP BY t.device_id, d.donor",
+    )
+
+
+REPORT_BOUNDARIES = q(
+    "SELECT CAST(now AS VARCHAR) AS now, zone, CAST(year AS INTEGER) AS year, CAST(least(local_today, make_date(year, 12, 31)) AS VARCHAR) AS today, "
+    "CAST(make_date(year, 1, 1) AS VARCHAR) AS year_start, CAST(local_today - 6 AS VARCHAR) AS last7_start FROM ("
+    "SELECT now, zone, local_today, unnest([year(local_today), year(local_today) - 1]) AS year FROM ("
+    "SELECT now, zone, CAST(now + to_hours(hours) AS DATE) AS local_today FROM (SELECT min(utc_ts) AS now FROM al GROUP BY utc_date UNION SELECT max(utc_ts) FROM al GROUP BY utc_date), "
+    f"(VALUES {', '.join(f"('{z}', {h})" for z, h in FIXED_ZONES.items())}) zones(zone, hours)))"
 )
 
 # Local dates around the log, each with the two UTC days whose files it needs.
@@ -509,6 +548,12 @@ SQL: dict[str, str] = {
         f"FROM {NEEDED} LEFT JOIN (SELECT file_utc_date, count(DISTINCT file) AS files FROM lines GROUP BY 1) f ON f.file_utc_date = utc_date "
         "LEFT JOIN (SELECT file_utc_date, count(*) AS bad FROM t_skipped GROUP BY 1) s ON s.file_utc_date = utc_date GROUP BY local_date"
     ),
+    "unreadable_file": q(
+        "SELECT CAST(local_date AS VARCHAR) AS local_date, CAST(coalesce(sum(files), 0) AS BIGINT) AS files, "
+        f"count(*) FILTER (WHERE utc_date = DATE '{BROKEN_DATE}') AS skipped_files, "
+        f"count(*) FILTER (WHERE files IS NULL OR utc_date = DATE '{BROKEN_DATE}') = 0 AS complete "
+        f"FROM {NEEDED} LEFT JOIN (SELECT utc_date AS d, count(DISTINCT (event_id // 100000, forwarded_for IS NULL)) AS files FROM al GROUP BY 1) ON d = utc_date GROUP BY local_date"
+    ),
     # 2.2
     "header_blocks": HEADER_BLOCKS,
     "header_blocks_shuffled": HEADER_BLOCKS,
@@ -592,6 +637,7 @@ SQL: dict[str, str] = {
     "filter_device": rows("t_field", f"device_id = '{DEVICE}'"),
     "filter_referer_present": rows("t_referer", "referer <> '-'"),
     "filter_last_7_days": rows("t_root", f"local_date >= {LAST7}"),
+    "report_boundaries": REPORT_BOUNDARIES,
     "report_ranges": q(f"SELECT range, {_day()}, root, hits FROM {both_ranges('t_root')}"),
     # 2.5, 2.8
     "attach_login": q(f"SELECT {_day()}, device_id, username, hits FROM t_field"),
@@ -704,6 +750,10 @@ SQL: dict[str, str] = {
     "harvest_rejects": qt("SELECT file, line_no, reason FROM parsed WHERE reason IS NOT NULL"),
     "replace_daily_batch": rows("t_service", "local_date <> DATE '2024-01-05'"),
     "export_tsv": TSV,
+    "export_tsv_root": TSV_ROOT,
+    "export_tsv_service": TSV_SERVICE,
+    "export_tsv_field_maps": tsv_device("t_field"),
+    "export_tsv_survey123": tsv_device("t_survey"),
     # 2.12
     "mart_root_evolution": q(
         f"SELECT range, {_day()}, "

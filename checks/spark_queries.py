@@ -22,7 +22,7 @@ from logtally.operators import scoping
 from logtally.plans import leaderboards as L
 from logtally.plans import marts as M
 from logtally.plans import queries as Q
-from logtally.plans.harvest import Text, date_status, harvest, index_text
+from logtally.plans.harvest import Text, date_status, harvest, index_text, open_logs
 from logtally.session import new_scratch_dir
 from logtally.sinks import tsv
 from logtally.sinks.files import SharedFiles
@@ -495,10 +495,54 @@ def replaced(spark: SparkSession, sf: str) -> DataFrame:
     return store.read_table(S.BY_SERVICE)
 
 
-def exported_tsv(spark: SparkSession, sf: str) -> DataFrame:
-    path = new_scratch_dir(spark, "tsv")
-    tsv.export_tsv(M.mart_portal_complete(table(S.BY_PORTAL_ITEM, spark, sf), BOUNDS), path, tsv.PORTAL_REPORT)
-    return spark.read.text(path).withColumnRenamed("value", "line")
+def exported_tsv(name: str, report: tsv.TsvReport, mart: Callable[..., DataFrame], *args) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        path = new_scratch_dir(spark, "tsv")
+        tsv.export_tsv(mart(table(name, spark, sf), *args), path, report)
+        return spark.read.text(path).withColumnRenamed("value", "line")
+
+    return run
+
+
+BROKEN_DATE = date(2024, 1, 15)
+#: A checksum that no block has; file systems that keep none read the file all the same.
+WRONG_CHECKSUM = "crc\0\0\0\2\0\1\2\3\4"
+
+
+def unreadable_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Status of all dates when one file of ``BROKEN_DATE`` can't be read."""
+
+    def make(path: str) -> str:
+        AL.write_log_files(AL.clean_lines(access_log(spark, sf)), path)
+        files = SharedFiles(spark, path)
+        broken = files.glob(f"{path}/u_ex{BROKEN_DATE:%y%m%d}*.log")[0].rsplit("/", 1)[1]
+        files.delete(f"{path}/.{broken}.crc")
+        files.write_text(f"{path}/.{broken}.crc", WRONG_CHECKSUM)
+        return path
+
+    logs = _once(spark, ("broken_logs", sf), make)
+    text, _ = open_logs(spark, logs, file_dates(spark, sf))
+    return date_status(calendar(spark, sf), text.files, text.skipped).select("local_date", "files", "skipped_files", "complete")
+
+
+def report_boundary_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranges as seen at the first and last request of each day of the log, in three zones, for the local year
+    and the one before."""
+    log = access_log(spark, sf)
+    days = log.groupBy("utc_date").agg(F.min("utc_ts").alias("first"), F.max("utc_ts").alias("last")).collect()
+    rows = []
+    for day in days:
+        for now in {day["first"], day["last"]}:
+            for zone, hours in FIXED_ZONES.items():
+                local_year = (now + timedelta(hours=hours)).year
+                for year in (local_year, local_year - 1):
+                    b = report_boundaries(now, zone, year)
+                    rows.append((str(now), zone, year, b.today, b.year_start, b.last7_start))
+    return spark.createDataFrame(rows, "now string, zone string, year int, today date, year_start date, last7_start date")
+
+
+# Zones that never change their clocks, and their hours east of UTC.
+FIXED_ZONES = {ZONE: -7, "UTC": 0, "Asia/Tokyo": 9}
 
 
 # --- 2.13 streaming ------------------------------------------------------------------------------------
@@ -548,6 +592,7 @@ REGISTRY: dict[str, Query] = {
     "table_or_empty": table_or_empty,
     "date_completeness": date_completeness,
     "refusal_status": refusal_status,
+    "unreadable_file": unreadable_file,
     # 2.2
     "header_blocks": header_blocks,
     "header_blocks_shuffled": header_blocks_shuffled,
@@ -601,6 +646,7 @@ REGISTRY: dict[str, Query] = {
     "filter_referer_present": _table_filtered(S.BY_REFERER, FL.filter_referer_present),
     "filter_last_7_days": _table_filtered(S.BY_ROOT, lambda t: FL.filter_last_7_days(t, BOUNDS.last7_start)),
     "report_ranges": ranges,
+    "report_boundaries": report_boundary_rows,
     # 2.5, 2.8
     "attach_login": lambda spark, sf: table(FIELD, spark, sf).select("local_date", "device_id", "username", "hits"),
     "first_login": first_login,
@@ -667,7 +713,11 @@ REGISTRY: dict[str, Query] = {
     "harvest_skipped": harvest_skipped,
     "harvest_rejects": harvest_rejects,
     "replace_daily_batch": replaced,
-    "export_tsv": exported_tsv,
+    "export_tsv": exported_tsv(S.BY_PORTAL_ITEM, tsv.PORTAL_REPORT, M.mart_portal_complete, BOUNDS),
+    "export_tsv_root": exported_tsv(S.BY_ROOT, tsv.ROOT_REPORT, M.mart_root_complete, REPORT, BOUNDS),
+    "export_tsv_service": exported_tsv(S.BY_SERVICE, tsv.SERVICE_REPORT, M.mart_service_complete, REPORT, BOUNDS),
+    "export_tsv_field_maps": exported_tsv(FIELD, tsv.DEVICE_REPORT, M.mart_device_complete, BOUNDS),
+    "export_tsv_survey123": exported_tsv(SURVEY, tsv.DEVICE_REPORT, M.mart_device_complete, BOUNDS),
     # 2.12
     "mart_root_evolution": _on(S.BY_ROOT, M.mart_root_evolution, REPORT, BOUNDS),
     "mart_root_complete": _on(S.BY_ROOT, M.mart_root_complete, REPORT, BOUNDS),
