@@ -217,11 +217,39 @@ def test_leaks_equal_containment(spark):
     assert set(want) <= got and len(got) == len(set(want))
 
 
-def test_blocks_of_items_change_nothing(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    items = spark.read.parquet(f"{SF}/benchmark.parquet")
-    rows = lambda words: sorted(decontamination.find_leaks(docs, items, decontamination.TilingSettings(block_words=words)).collect())
-    assert rows(100) == rows(500_000)
+def test_candidates_equal_all_pairs(spark):
+    """Shuffled pieces of items on both sides of the threshold, shared seeds, short items and repeated rows, whatever the filter."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(8)]
+    words = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    items = [words(rng.randrange(1, 9)) for _ in range(8)] + [common + words(rng.randrange(4, 40)) for _ in range(12)]
+    docs = []
+    for _ in range(80):
+        item = rng.choice(items)
+        size = rng.choice([5, 6, 9, 14])
+        parts = [item[i : i + size] for i in range(0, len(item), size)]
+        rng.shuffle(parts)
+        some = parts[: max(1, round(len(parts) * rng.choice([0.4, 0.6, 0.8, 1])))]
+        docs.append(" ".join(w for p in some for w in ["gap", *p, "end"]))
+    docs += docs[:5] * 20
+    plain = {}
+    for i, text in enumerate(docs[:80]):
+        ids = {w: k for k, w in enumerate(sorted({*text.split(), *(w for x in items for w in x)}))}
+        number = lambda x: np.array([ids[w] for w in x], np.uint64)
+        for j, item in enumerate(items):
+            cover = sum(n for *_, n in decontamination.tiles(number(item), number(text.split()), min(5, len(item)))) / len(item)
+            if cover >= 0.6:
+                plain[i, j] = cover
+    rows = [(i if i < 80 else (i - 80) % 5, t) for i, t in enumerate(docs)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    want = sorted((i, j, c) for (i, j), c in plain.items() for _ in range(21 if i < 5 else 1))
+    for bits in (64, 1 << 23):
+        found = decontamination.find_leaks(frame, bench, decontamination.TilingSettings(filter_bits=bits, salts=3)).collect()
+        assert sorted((r.doc_id, r.item_id, r.coverage) for r in found) == want
+    assert len(plain) > 40
+    left = decontamination.drop_leaks(frame, bench).collect()
+    assert {r.doc_id for r in left} == set(range(80)) - {i for i, _ in plain}
 
 
 # -- licenses ---------------------------------------------------------------------------------------------
