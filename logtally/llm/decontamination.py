@@ -147,8 +147,9 @@ def seed_index(places: DataFrame) -> DataFrame:
 
 
 def seed_filter(index: DataFrame, settings: TilingSettings) -> np.ndarray:
-    """Bits of the seeds, as words of 64: at most ``filter_bits`` / 64 rows come to the driver."""
-    slot = F.pmod(F.col("seed"), F.lit(settings.filter_bits))
+    """Two bits for each seed, as words of 64: at most ``filter_bits`` / 64 rows come to the driver."""
+    halves = F.array(F.col("seed"), F.call_function("shiftright", F.col("seed"), F.lit(32)))
+    slot = F.explode(F.transform(halves, lambda h: F.pmod(h, F.lit(settings.filter_bits))))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
     rows = (
         index.select(slot.alias("slot"))
@@ -175,9 +176,10 @@ def seeded_documents(docs: DataFrame, words: np.ndarray, sizes: list[int]) -> Da
             seeds = []
             for doc in list_slices(batch.column(2)):
                 hashes = np.concatenate([window_hashes(doc, size) for size in sizes])
-                slots = hashes & mask
-                set_here = (bits[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1)
-                seeds.append(np.unique(hashes[set_here == 1]))
+                for shift in (np.uint64(0), np.uint64(32)):
+                    slots = (hashes >> shift) & mask
+                    hashes = hashes[(bits[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1]
+                seeds.append(np.unique(hashes))
             out = pa.RecordBatch.from_arrays([*batch.columns, longs_array(seeds)], schema.names)
             yield out.filter(pa.array([len(s) > 0 for s in seeds], pa.bool_()))
 
