@@ -25,6 +25,8 @@ LEAST_SEEN_SHARE = 0.12
 #: A given language gives way to a prediction that leads by so much more than the doubt.
 RELABEL_MARGIN = 0.2
 LANGUAGE_SEED = 17
+#: Near copies have many block keys for each document: so many passes, each of which shuffles a part of them.
+KEY_PARTS = 2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8), the one with the smallest id."""
-    return ngram_join.keep_first(docs, ngram_join.JoinSettings())
+    return ngram_join.keep_first(docs, ngram_join.JoinSettings(key_parts=KEY_PARTS))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

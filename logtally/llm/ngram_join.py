@@ -40,6 +40,7 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +68,12 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 @dataclass(frozen=True)
 class JoinSettings:
-    """Sets link when intersection / union is at least ``threshold``, which is 1/2 or more."""
+    """Sets link when intersection / union is at least ``threshold``, which is 1/2 or more. ``key_parts``: passes over
+    the texts in which block keys are counted; more take less room and more time, with the same result."""
 
     shingle: int = 5
     threshold: Fraction = Fraction(8, 10)
+    key_parts: int = 1
 
     def __post_init__(self) -> None:
         if not Fraction(1, 2) <= self.threshold <= 1:
@@ -207,14 +210,15 @@ def _set_rows(docs: DataFrame, settings: JoinSettings) -> DataFrame:
     return found.select("doc_id", "key_text", "n", class_id(), "bits")
 
 
-def _block_keys(texts: DataFrame, settings: JoinSettings) -> DataFrame:
+def _block_keys(texts: DataFrame, settings: JoinSettings, part: int = 0, parts: int = 1) -> DataFrame:
     """(key, id): the blocks each class enters, from one of its texts. Made from the texts when needed: the
-    keys take more room than their shuffle leaves free."""
+    keys take more room than their shuffle leaves free. Of ``parts`` by key, ``part`` alone."""
     bands = Bands(settings)
 
     def make(column: pa.Array) -> list[pa.Array]:
         sets = [shingle_set(words, settings.shingle) for words in list_slices(column)]
-        keys = longs_array([segment_keys(x, bands) if len(x) else x for x in sets])
+        made = [segment_keys(x, bands) if len(x) else x for x in sets]
+        keys = longs_array([x[x % np.uint64(parts) == part] for x in made] if parts > 1 else made)
         return [*_measure_arrays([_measures(x) for x in sets]), keys]
 
     found = add_columns(texts, ["key_text"], [word_hashes()], "n long, set_a long, set_b long, keys array<long>", make)
@@ -555,13 +559,18 @@ def _class_groups(docs: DataFrame, settings: JoinSettings, scratch: Scratch) ->
     # One row for each class: copies of its text are combined within tasks first.
     left_out = texts.where(F.col("key_text") != F.col("first_text")).select("key_text")
     once = maybe.join(left_out, "key_text", "left_anti").groupBy("key_text").agg(F.first("text").alias("text"))
-    met = _block_keys(single.unionByName(once), settings)
+    texts_once = single.unionByName(once)
+    met = _block_keys(texts_once, settings)
     # Counts by key are combined before the shuffle. ``members`` stands for who is in the block; of blocks with the same
-    # members one is enough.
-    shared = met.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id", F.lit(5))).alias("members"))
-    shared = scratch.keep(shared.where(F.col("m") > 1).select("key", "m", "members"), "shared")
-    blocks = scratch.keep(shared.groupBy("members", "m").agg(F.min("key").alias("key")).select("key", "m"), "blocks")
-    scratch.drop(shared)
+    # members one is enough. Part of the keys at a time, so that the shuffle of one part is freed before the next.
+    shared = []
+    for part in range(settings.key_parts):
+        some = _block_keys(texts_once, settings, part, settings.key_parts)
+        counted = some.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id", F.lit(5))).alias("members"))
+        shared.append(scratch.keep(counted.where(F.col("m") > 1).select("key", "m", "members"), "shared"))
+    together = reduce(DataFrame.unionByName, shared)
+    blocks = scratch.keep(together.groupBy("members", "m").agg(F.min("key").alias("key")).select("key", "m"), "blocks")
+    scratch.drop(*shared)
     likely, _ = split_by_membership(met, F.col("key"), blocks, F.col("key"), BLOCK_BITS)
     sizes = measured.where(F.col("n") > 0).select("id", "n").dropDuplicates(["id"])
     joined = scratch.keep(likely.join(blocks, "key").join(sizes, "id").select("key", "id", "n", "m"), "block-members")

@@ -88,12 +88,12 @@ def near_texts(seed: int) -> list[str]:
     return texts
 
 
-@pytest.mark.parametrize("shingle, threshold", [(3, Fraction(9, 10)), (5, Fraction(8, 10)), (2, Fraction(6, 10))])
-def test_groups_equal_all_pairs(spark, monkeypatch, shingle, threshold):
+@pytest.mark.parametrize("shingle, threshold, parts", [(3, Fraction(9, 10), 1), (5, Fraction(8, 10), 3), (2, Fraction(6, 10), 1)])
+def test_groups_equal_all_pairs(spark, monkeypatch, shingle, threshold, parts):
     monkeypatch.setattr(ngram_join, "TREE_MEMBERS", 3)
     texts = near_texts(shingle)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similarity_groups(docs, ngram_join.JoinSettings(shingle, threshold)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similarity_groups(docs, ngram_join.JoinSettings(shingle, threshold, parts)).collect()}
     sets = []
     for text in texts:
         words = text.lower().split()
