@@ -173,8 +173,8 @@ def write_log_files(lines: DataFrame, directory: str) -> str:
         .text(staging)
     )
     files = SharedFiles(lines.sparkSession, directory)
-    for part in files.glob(f"{staging}/file=*/part-*"):
-        files.publish(part, f"{directory}/{part.split('/file=')[1].split('/')[0]}")
+    parts = files.glob(f"{staging}/file=*/part-*")
+    files.move({part: f"{directory}/{part.split('/file=')[1].split('/')[0]}" for part in parts})
     files.delete(staging)
     return directory
 

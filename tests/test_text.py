@@ -155,3 +155,18 @@ def test_plan_of_parsing(spark, tmp_path):
     # Lines are split once, whatever tests come later, and not shuffled before they are grouped.
     assert physical.count("split(line") <= 2
     assert physical.count("Exchange hashpartitioning") == 1
+
+
+def test_log_files_are_moved_without_asking_for_each(spark, tmp_path, monkeypatch):
+    from logtally.sinks.files import SharedFiles
+    from logtally.sources.accesslog import write_log_files
+
+    monkeypatch.setattr(SharedFiles, "publish", lambda *_: pytest.fail("one rename after the other"))
+    rows = [(f"u_ex2401{d:02d}_x_0a.log", e, 1, f"{d} {e}") for d in range(1, 31) for e in (2, 1)]
+    target = write_log_files(spark.createDataFrame(rows, "file string, event_id long, kind int, line string"), f"{tmp_path}/logs")
+    assert {p.name: p.read_text() for p in (tmp_path / "logs").glob("*.log")} == {
+        f"u_ex2401{d:02d}_x_0a.log": f"{d} 1\n{d} 2\n" for d in range(1, 31)
+    }
+    assert not (tmp_path / "logs" / "staging").exists()
+    with pytest.raises(ValueError):
+        SharedFiles(spark, target).move({f"{target}/a": f"{target}/c", f"{target}/b": f"{target}/c"})
