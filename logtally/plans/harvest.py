@@ -154,6 +154,7 @@ def harvest(
 
     With ``diagnostics``, a folder, skipped files go to ``<diagnostics>/skipped`` and rejected lines of
     all other files to ``<diagnostics>/rejects``, each with its reason; that reads the text once more.
+    :func:`diagnose` writes these alone.
     """
     began = time.monotonic()
     with fixed_splits(spark), scratch_run(spark):
@@ -162,6 +163,30 @@ def harvest(
     return result
 
 
+def diagnose(
+    spark: SparkSession,
+    log_dir: str,
+    start: date,
+    end: date,
+    diagnostics: str,
+    settings: HarvestSettings = HarvestSettings(),
+) -> None:
+    """The files that ``harvest`` writes to ``diagnostics`` for these dates, and nothing else: the passes for the
+    skipped files and for the rejected lines read all of the text as there, no aggregate is made or stored."""
+    with fixed_splits(spark), scratch_run(spark):
+        text, _ = open_logs(spark, log_dir, _utc_dates(calendar(spark, start, end, settings.local_time_zone)))
+        _write_diagnostics(text, diagnostics)
+
+
+def _utc_dates(cal: DataFrame) -> list[date]:
+    return sorted({r.utc_date for r in cal.select("utc_date").collect()})
+
+
+def _write_diagnostics(text: Text, folder: str) -> None:
+    text.skipped.write.mode("overwrite").parquet(f"{folder}/skipped")
+    reject_lines(text.parsed()).write.mode("overwrite").parquet(f"{folder}/rejects")
+
+
 def _harvest(
     spark: SparkSession,
     log_dir: str,
@@ -171,15 +196,13 @@ def _harvest(
     before_commit,
     diagnostics: str | None,
 ) -> HarvestResult:
-    utc_dates = sorted({r.utc_date for r in cal.select("utc_date").collect()})
-    text, unreadable = open_logs(spark, log_dir, utc_dates)
+    text, unreadable = open_logs(spark, log_dir, _utc_dates(cal))
     result = HarvestResult(date_status(cal, text.files, text.skipped).orderBy("local_date").collect())
     if unreadable:
         for r in text.skipped.where(F.col("file").isin(list(unreadable))).orderBy("file").collect():
             result.unreadable[r.file_utc_date] = "; ".join(filter(None, [result.unreadable.get(r.file_utc_date), f"{r.file} {r.reason}"]))
     if diagnostics:
-        text.skipped.write.mode("overwrite").parquet(f"{diagnostics}/skipped")
-        reject_lines(text.parsed()).write.mode("overwrite").parquet(f"{diagnostics}/rejects")
+        _write_diagnostics(text, diagnostics)
     if not result.replaced:
         return result
     base, batch = store.manifest(), store.new_batch()

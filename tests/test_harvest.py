@@ -9,7 +9,7 @@ from logtally import schemas as S
 from logtally.config import HarvestSettings, ReportSettings
 from logtally.operators import aggregates as A
 from logtally.operators import devices as D
-from logtally.plans.harvest import harvest
+from logtally.plans.harvest import diagnose, harvest
 from logtally.plans.regenerate import regenerate
 from logtally.sinks.store import AggregateStore, replace_daily_batch
 
@@ -390,3 +390,17 @@ def test_backfill_inside_replace_daily_batch(spark, tmp_path):
         for name in S.DEVICE_TABLES:
             got = {(r.local_date, r.device_id): r.username for r in store.read_table(name).collect()}
             assert got == {(d, "x"): "ann", (e, "x"): "ann", (d, "y"): None, (e, "y"): None}
+
+
+def test_diagnostics_alone_are_those_of_a_harvest(spark, tmp_path, monkeypatch):
+    log(tmp_path, "2024-03-05", ("09:00:00", "/a", APP, "2x0", 10), ("09:00:01", "/a", APP, 200, "1.5"), ("09:00:02", "/a", APP, 200, 1))
+    log(tmp_path, "2024-03-06", ("09:00:00", "/a", APP, 200, 10), header="#Fields: date time cs-uri-stem")
+    log(tmp_path, "2024-03-06", name="empty", header="")
+    whole, alone = str(tmp_path / "whole"), str(tmp_path / "alone")
+    run(spark, tmp_path, "2024-03-05", "2024-03-06", diagnostics=whole)
+    # No aggregate is made for them.
+    monkeypatch.setattr(A, "aggregate_all", None)
+    diagnose(spark, str(tmp_path / "logs"), date(2024, 3, 5), date(2024, 3, 6), alone, UTC)
+    for name, count in (("skipped", 2), ("rejects", 2)):
+        found = [sorted(map(tuple, spark.read.parquet(f"{path}/{name}").collect())) for path in (whole, alone)]
+        assert found[0] == found[1] and len(found[0]) == count
