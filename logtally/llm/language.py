@@ -23,7 +23,6 @@ shared ids are like any other; extra columns are ignored; a training set without
 from __future__ import annotations
 
 import itertools
-from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -78,6 +77,13 @@ class Scores:
         start = np.searchsorted(name, np.arange(len(names) + 1))
         return Scores({x: i for i, x in enumerate(names)}, start, language.astype(np.int32), np.log1p(share / (SMOOTHING * mean[name])).astype(np.float32))
 
+    def __getstate__(self) -> dict:
+        """With the names in one buffer: pickling so many texts one by one takes far more memory."""
+        return vars(self) | {"names": pa.array(list(self.names), pa.string())}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state, names={x: i for i, x in enumerate(state["names"].to_pylist())})
+
     def dense(self, rows: np.ndarray, languages: int) -> np.ndarray:
         """One row of scores over all languages for each of ``rows``."""
         sizes = self.start[rows + 1] - self.start[rows]
@@ -177,52 +183,51 @@ def fit(labelled: DataFrame, settings: FitSettings = FitSettings()) -> LanguageM
     """Count words of a sample of ``labelled`` (doc_id, text, lang; rows without lang are left out).
 
     The sample takes texts by their hash, at the rate that gives each language ``rows_per_language`` rows. What
-    comes to the driver is bounded by languages and ``words_per_language``.
+    comes to the driver is bounded by languages, ``words_per_language`` and ``grams_per_language``.
     """
     rows = labelled.where(F.col("lang").isNotNull()).select("lang", text_of().alias("text"))
     sizes = write_scratch(rows.groupBy("lang").count(), "language-sizes")
     sample = rows.join(sizes, "lang").where(by_hash(F.col("text"), settings.seed) * F.col("count") < settings.rows_per_language)
     counts = sample.select("lang", "text").distinct().select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n"))
     place = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    kept = (
+    words = write_scratch(
         counts.withColumn("total", F.sum("n").over(Window.partitionBy("lang")))
         .withColumn("place", F.row_number().over(place))
         .where(F.col("place") <= settings.words_per_language)
-        .select("word", "lang", "n", "total")
-        .toArrow()
-        .sort_by([("word", "ascending"), ("lang", "ascending")])
+        .select("word", "lang", "n", "total"),
+        "language-words",
     )
-    return model_of(kept["word"].to_pylist(), kept["lang"].to_pylist(), kept["n"].to_numpy(), kept["total"].to_numpy(), settings)
+    grams = _gram_counts(words, settings).toArrow().sort_by([("lang", "ascending"), ("n", "descending"), ("gram", "ascending")])
+    return model_of(words.toArrow().sort_by([("word", "ascending"), ("lang", "ascending")]), grams, settings)
+
+
+def _gram_counts(words: DataFrame, settings: FitSettings) -> DataFrame:
+    """(gram, lang, n, total): the most frequent n-grams of the padded ``words`` in each language. Counted and chosen by
+    tasks, since a language has many times as many as are kept."""
+    padded = F.concat(F.lit("^"), "word", F.lit("$"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(settings.longest_gram), F.length(padded)))
+    of_length = lambda k: F.transform(F.sequence(F.lit(1), F.length(padded) - k + 1), lambda i: F.substring(padded, i, k))
+    grams = words.select("lang", "n", F.explode(F.flatten(F.transform(lengths, of_length))).alias("gram"))
+    counts = write_scratch(grams.groupBy("gram", "lang").agg(F.sum("n").alias("n")), "language-grams")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    kept = counts.withColumn("place", place).where(F.col("place") <= settings.grams_per_language)
+    return kept.join(counts.groupBy("lang").agg(F.sum("n").alias("total")), "lang").select("gram", "lang", "n", "total")
+
+
+def _scores(counts: pa.Table, languages: list[str]) -> Scores:
+    """From rows (word or n-gram, lang, n, total)."""
+    name, lang = (counts.column(c).combine_chunks().dictionary_encode() for c in (0, 1))
+    at = np.array([languages.index(x) for x in lang.dictionary.to_pylist()], np.int64)
+    language = at[lang.indices.to_numpy()]
+    totals = np.ones(len(languages))
+    totals[language] = counts["total"].to_numpy()
+    return Scores.of(name.dictionary.to_pylist(), name.indices.to_numpy().astype(np.int64), language, counts["n"].to_numpy(), totals)
 
 
-def model_of(word: list[str], lang: list[str], n: np.ndarray, total: np.ndarray, settings: FitSettings) -> LanguageModel:
-    """The model from counts ``n`` of words in languages that have ``total`` words in all."""
-    languages = sorted(set(lang))
-    at = {x: i for i, x in enumerate(languages)}
-    language = np.array([at[x] for x in lang], np.int64)
-    totals = np.ones(len(languages))
-    totals[language] = total
-    words = list(dict.fromkeys(word))
-    row = {x: i for i, x in enumerate(words)}
-    known = Scores.of(words, np.array([row[x] for x in word], np.int64), language, n, totals)
-
-    counts: dict[tuple[str, int], int] = defaultdict(int)
-    for x, b, k in zip(word, language.tolist(), n.tolist(), strict=True):
-        padded = f"^{x}$"
-        for size in range(1, settings.longest_gram + 1):
-            for i in range(len(padded) - size + 1):
-                counts[padded[i : i + size], b] += k
-    by_language: dict[int, list[tuple[int, str]]] = defaultdict(list)
-    for (gram, b), k in counts.items():
-        by_language[b].append((-k, gram))
-    pairs = [(gram, b, -k) for b in range(len(languages)) for k, gram in sorted(by_language[b])[: settings.grams_per_language]]
-    sums = np.ones(len(languages))
-    for b in by_language:
-        sums[b] = -sum(k for k, _ in by_language[b])
-    grams = list(dict.fromkeys(g for g, _, _ in pairs))
-    row = {x: i for i, x in enumerate(grams)}
-    seen = Scores.of(grams, np.array([row[g] for g, _, _ in pairs], np.int64), np.array([b for _, b, _ in pairs], np.int64), np.array([k for _, _, k in pairs], np.int64), sums)
-    return LanguageModel(languages, known, seen, settings.longest_gram)
+def model_of(words: pa.Table, grams: pa.Table, settings: FitSettings) -> LanguageModel:
+    """The model from counts ``n`` of words and of n-grams in languages that have ``total`` of them in all."""
+    languages = sorted(words["lang"].unique().to_pylist())
+    return LanguageModel(languages, _scores(words, languages), _scores(grams, languages), settings.longest_gram)
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str | Column]) -> DataFrame:

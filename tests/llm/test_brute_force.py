@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
@@ -388,6 +389,19 @@ def test_language_equals_plain_version(spark):
     assert all(got[i][0] == w[0] and abs(got[i][1] - w[1]) < 1e-9 for i, w in clear.items())
 
 
+def test_language_fit_keeps_n_grams_off_the_driver(spark):
+    words = [f"{i:x}".translate({48 + k: 103 + k for k in range(10)}) + "xyzw" for i in range(40_000, 52_000)]
+    rows = [(i, " ".join(words[i::20]), "en") for i in range(20)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    try:
+        model = language.fit(labelled, language.FitSettings(grams_per_language=10))
+        assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    finally:
+        tracemalloc.stop()
+    assert len(model.words.names) == len(words) and len(model.grams.names) == 10
+
+
 def test_small_languages_neither_win_nor_vanish(spark):
     rng = random.Random(5)
     aa, bb = ([f"{x}{''.join(rng.choice('klmno') for _ in range(6))}" for _ in range(3000)] for x in "ab")
