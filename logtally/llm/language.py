@@ -23,11 +23,12 @@ shared ids are like any other; extra columns are ignored; a training set without
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,27 +60,47 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+class Names(Mapping[str, int]):
+    """Place of each text in an Arrow array of distinct ones, in a small part of a dict's memory. The driver holds
+    names so, since it looks hardly any up; tasks make a dict of them."""
+
+    def __init__(self, texts: pa.Array):
+        self.texts = texts
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __iter__(self) -> Iterator[str]:
+        return (x.as_py() for x in self.texts)
+
+    def __getitem__(self, name: str) -> int:
+        at = pc.index(self.texts, name).as_py()
+        if at < 0:
+            raise KeyError(name)
+        return at
+
+
 @dataclass
 class Scores:
     """Scores of words or n-grams: ``names[x]`` is a row; its languages and scores are those from ``start[row]`` on."""
 
-    names: dict[str, int]
+    names: Mapping[str, int]
     start: np.ndarray
     language: np.ndarray
     score: np.ndarray
 
     @staticmethod
-    def of(names: list[str], name: np.ndarray, language: np.ndarray, count: np.ndarray, totals: np.ndarray) -> Scores:
+    def of(names: pa.Array, name: np.ndarray, language: np.ndarray, count: np.ndarray, totals: np.ndarray) -> Scores:
         """From counts of (name, language) pairs, each at most once; ``totals``: all there is of each language."""
         order = np.lexsort((language, name))
         name, language, share = name[order], language[order], count[order] / totals[language[order]]
         mean = np.bincount(name, share, len(names)) / len(totals)
         start = np.searchsorted(name, np.arange(len(names) + 1))
-        return Scores({x: i for i, x in enumerate(names)}, start, language.astype(np.int32), np.log1p(share / (SMOOTHING * mean[name])).astype(np.float32))
+        return Scores(Names(names), start, language.astype(np.int32), np.log1p(share / (SMOOTHING * mean[name])).astype(np.float32))
 
     def __getstate__(self) -> dict:
         """With the names in one buffer: pickling so many texts one by one takes far more memory."""
-        return vars(self) | {"names": pa.array(list(self.names), pa.string())}
+        return vars(self) | {"names": self.names.texts if isinstance(self.names, Names) else pa.array(list(self.names), pa.string())}
 
     def __setstate__(self, state: dict) -> None:
         vars(self).update(state, names={x: i for i, x in enumerate(state["names"].to_pylist())})
@@ -221,7 +242,7 @@ def _scores(counts: pa.Table, languages: list[str]) -> Scores:
     language = at[lang.indices.to_numpy()]
     totals = np.ones(len(languages))
     totals[language] = counts["total"].to_numpy()
-    return Scores.of(name.dictionary.to_pylist(), name.indices.to_numpy().astype(np.int64), language, counts["n"].to_numpy(), totals)
+    return Scores.of(name.dictionary, name.indices.to_numpy().astype(np.int64), language, counts["n"].to_numpy(), totals)
 
 
 def model_of(words: pa.Table, grams: pa.Table, settings: FitSettings) -> LanguageModel:

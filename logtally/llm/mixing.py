@@ -109,7 +109,7 @@ def leaf_budgets(leaves: DataFrame, settings: MixSettings) -> DataFrame:
         nodes = nodes.withColumn("weight", _weight(child, weights[child]))
         nodes = nodes.join(budgets, parent) if parent else nodes.crossJoin(F.broadcast(budgets))
         shared = share(nodes, parent, child)
-        budgets = shared.select(*LEVELS[: depth + 1], F.col("budget").alias("parent_budget"))
+        budgets = write_scratch(shared.select(*LEVELS[: depth + 1], F.col("budget").alias("parent_budget")), f"mix-budgets-{depth}")
     return leaves.join(budgets, LEVELS).withColumnRenamed("parent_budget", "budget")
 
 
@@ -126,7 +126,9 @@ def leaf_cuts(docs: DataFrame, settings: MixSettings) -> DataFrame:
     """
     salt = F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(SALTS)).cast("int")
     narrow = write_scratch(docs.select("doc_id", *LEVELS, "mix_tokens", salt.alias("salt")), "mix-rows")
-    leaves = narrow.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
+    # Small tables are written before what follows reads them, often: one plan for all would make each again at each
+    # use, and broadcast more than a dozen of them at a time in the driver.
+    leaves = write_scratch(narrow.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("n_tokens"), F.count("*").alias("n_rows")), "mix-leaves")
     budgets = leaf_budgets(leaves, settings)
     planned = write_scratch(
         budgets.select(
@@ -147,23 +149,23 @@ def leaf_cuts(docs: DataFrame, settings: MixSettings) -> DataFrame:
         .withColumn("key", order_key(F.col("full") + 1, settings.seed))
         .select(*LEVELS, "key", "mix_tokens", "rest", F.floor(part * slices).alias("slice"))
     )
-    by_slice = keyed.groupBy(*LEVELS, "rest", "slice").agg(F.sum("mix_tokens").alias("tokens"))
+    slices_of = keyed.groupBy(*LEVELS, "rest", "slice").agg(F.sum("mix_tokens").alias("tokens"), F.max("key").alias("last_key"))
     so_far = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_slice.select(*LEVELS, "rest", "slice", "tokens", F.coalesce(F.sum("tokens").over(so_far), F.lit(0)).alias("begins"))
-    # The slice in which the budget ends; if it never does, all are taken, and the last stands for them.
-    ending = starts.where((F.col("begins") <= F.col("rest"))).groupBy(*LEVELS).agg(F.max_by("slice", "slice").alias("slice"), F.max_by("begins", "slice").alias("begins"))
+    starts = slices_of.select(
+        *LEVELS, "rest", "slice", F.coalesce(F.sum("tokens").over(so_far), F.lit(0)).alias("begins"), F.max("last_key").over(so_far).alias("in_earlier")
+    )
+    # The slice in which the budget ends; if it never does, all are taken, and the last stands for them. With it the
+    # last key of the slices before, for when no document of that slice fits.
+    at_end = [F.max_by(c, "slice").alias(c) for c in ("slice", "begins", "in_earlier")]
+    ending = write_scratch(starts.where(F.col("begins") <= F.col("rest")).groupBy(*LEVELS).agg(*at_end), "mix-ending")
     inside = keyed.join(ending, [*LEVELS, "slice"])
     running = Window.partitionBy(*LEVELS).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     upto = inside.select(*LEVELS, "key", "rest", (F.col("begins") + F.sum("mix_tokens").over(running)).alias("upto"))
     last = upto.where(F.col("upto") <= F.col("rest")).groupBy(*LEVELS).agg(F.max("key").alias("in_slice"))
-    # No document of that slice fits: the last key of the slices before it.
-    # Slices are told apart first: the join then meets few rows of a leaf.
-    last_keys = keyed.groupBy(*LEVELS, "slice").agg(F.max("key").alias("key"))
-    before = last_keys.join(ending.withColumnRenamed("slice", "end_slice").drop("begins"), LEVELS).where(F.col("slice") < F.col("end_slice")).groupBy(*LEVELS).agg(F.max("key").alias("in_earlier"))
     return (
         planned.select(*LEVELS, "budget", "full")
+        .join(ending.select(*LEVELS, "in_earlier"), LEVELS, "left")
         .join(last, LEVELS, "left")
-        .join(before, LEVELS, "left")
         .select(*LEVELS, "budget", "full", F.coalesce("in_slice", "in_earlier").alias("cut"))
     )
 
